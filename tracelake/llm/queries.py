@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, matroska, mixing, quality, sharding, simhash
+from . import chat, exact_dedup, langid, licenses, matroska, mixing, quality, sharding, simhash
 from .common import documents
 
 
@@ -33,6 +33,10 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.to_media(documents(spark, sf_dir)))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_hypergeometric_shards": op4_hypergeometric_shards,
     "op5_matroska": op5_matroska,
+    "op6_licenses": op6_licenses,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_entropy_mix": op8_entropy_mix,
     "op10_chat_format": op10_chat_format,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, licenses, matroska, mixing, quality, sharding, simhash
+from . import bpe, chat, exact_dedup, langid, licenses, matroska, mixing, quality, sharding, simhash
 from .common import documents
 
 
@@ -45,6 +45,11 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip_digest(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     told = r"\### Assistant: </turn> ok"
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_licenses": op6_licenses,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_entropy_mix": op8_entropy_mix,
+    "op9_bpe": op9_bpe,
     "op10_chat_format": op10_chat_format,
 }
 

@@ -187,15 +187,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(placed.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
+def _with_fingerprint(df: DataFrame, text_col: str, name: str, words: int) -> DataFrame:
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, texts in text_blocks(batch.column(at)):
+                fp = pa.array(fingerprints(texts, words).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns), fp], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` long"]))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``df`` that stay, with its columns: one row of each component, that of the smallest doc_id.
 
-    Rows that repeat the doc_id of one that stays are copies of it and go; rows without doc_id stay.
+    Rows are known by doc_id. Where several share one, they are known by fingerprint as well, and one
+    of each component stays. Rows without doc_id stay.
     """
-    lost, again = fresh_name("lost_id", df.columns), fresh_name("copy", df.columns)
-    losers = near_duplicates(df, id_col, text_col, words, max_bits).filter("doc_id <> component_id").select(F.col("doc_id").alias(lost)).distinct()
-    stay = df.join(losers, df[id_col] == losers[lost], "left_anti")
-    repeated = df.groupBy(id_col).count().filter(F.col("count") > 1).select(F.col(id_col).alias(lost)).filter(F.col(lost).isNotNull())
-    once = stay.join(repeated, stay[id_col] == repeated[lost], "left_anti")
-    first = stay.join(repeated, stay[id_col] == repeated[lost], "left_semi").withColumn(again, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(again) == 1)
-    return once.unionByName(first.drop(again)).select(*df.columns)
+    odd_id, fp, odd_fp = (fresh_name(c, df.columns) for c in ("odd_id", "fp", "odd_fp"))
+    report = shared_checkpoint(near_duplicates(df, id_col, text_col, words, max_bits))
+    lost = F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))
+    ids = report.filter("doc_id is not null").groupBy(F.col("doc_id").alias(odd_id)).agg(F.count(F.lit(1)).alias("n"), F.max(lost).alias("lost"))
+    out, many = ids.filter("lost or n > 1").select(odd_id), ids.filter("n > 1").select(odd_id)
+    plain = df.join(out, df[id_col] == out[odd_id], "left_anti")
+    shared = _with_fingerprint(df.join(many, df[id_col] == many[odd_id], "left_semi"), text_col, fp, words)
+    first = report.filter(~lost).groupBy(F.col("doc_id").alias(odd_id)).agg(F.min("fp").alias(odd_fp))
+    again = shared.join(first, (shared[id_col] == first[odd_id]) & (shared[fp] == first[odd_fp]), "left_semi").dropDuplicates([id_col])
+    return plain.unionByName(again.drop(fp)).select(*df.columns)

@@ -1,3 +1,3 @@
 """Registered queries, with the SQL that checks them."""
 
-from . import kv_queries  # noqa: F401
+from . import kv_queries, range_queries  # noqa: F401

@@ -32,7 +32,7 @@ FIXTURES: dict[str, str] = {
     "descriptors": "SELECT range_id, min(c_custkey) AS start, max(c_custkey) + 1 AS stop, CAST(1 AS BIGINT) AS generation, CAST(-1 AS BIGINT) AS arrival, 'live' AS state FROM (SELECT c_custkey, 1 + CAST(floor(c_custkey * 10 / (SELECT max(c_custkey) + 1 FROM {customer})) AS BIGINT) AS range_id FROM {customer}) b GROUP BY range_id UNION ALL SELECT 100 + o_orderkey AS range_id, o_custkey AS start, o_custkey + 50 AS stop, 2 + (o_orderkey % 5) AS generation, o_orderkey AS arrival, CASE WHEN o_orderkey % 1500 = 0 THEN 'subsumed' ELSE 'live' END AS state FROM {orders} WHERE o_orderkey % 500 = 0",
     "tiles": "SELECT range_id, start, CASE WHEN range_id % 4 = 2 THEN stop - 3 WHEN range_id % 4 = 3 THEN stop + 2 ELSE stop END AS stop FROM {descriptors} WHERE arrival = -1",
     "leases": "SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS idx, CAST(l_suppkey % 5 AS BIGINT) AS node, CAST(l_linenumber AS BIGINT) AS size FROM {lineitem} WHERE l_orderkey < 100",
-    "splits": "SELECT o_orderkey AS idx, 1 + CAST(o_orderkey % 10 AS BIGINT) AS range_id, o_custkey AS at, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE 1000 + o_orderkey END AS right_id, (o_orderkey % 11 = 5) AS joint FROM {orders} WHERE o_orderkey % 250 = 0",
+    "splits": "SELECT o_orderkey AS idx, 1 + CAST(o_orderkey % 10 AS BIGINT) AS range_id, o_custkey AS split_at, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE 1000 + o_orderkey END AS right_id, (o_orderkey % 11 = 5) AS joint FROM {orders} WHERE o_orderkey % 250 = 0",
     # the trace: every event is a line, in the order of event_id; 1 ms a step
     "trace": "SELECT event_id AS seq, event_id * 1000000 AS t, CAST(user_id % 5 AS INT) + 1 AS node, user_id % 4 AS range_id, user_id, event_type, value, CAST(floor(value) AS BIGINT) AS v FROM {events}",
     "leaders": "SELECT range_id, CAST(floor(seq / 97) AS BIGINT) AS term, CASE WHEN seq % 1009 = 5 THEN 9 ELSE CAST(floor(seq / 97) AS BIGINT) % 3 + 1 END AS server, seq, t FROM {trace} WHERE event_type = 'signup'",
@@ -52,7 +52,7 @@ FIXTURES: dict[str, str] = {
     "configs": "SELECT range_id, CAST(0 AS BIGINT) AS seq, 1 AS v1, 2 AS v2, 3 AS v3 FROM (SELECT DISTINCT range_id FROM {trace}) r UNION ALL SELECT range_id, max(seq) AS seq, 1 AS v1, 3 AS v2, 4 AS v3 FROM {appends} WHERE idx = 150 GROUP BY range_id",
     "completions": "SELECT t, range_id, seq FROM {trace} WHERE event_type = 'purchase'",
     "outages": "SELECT t AS from_t, t + 7000000 AS until_t FROM {trace} WHERE seq % 50 = 10",
-    "downs": "SELECT DISTINCT 1 + seq % 3 AS server, t AS at FROM {trace} WHERE seq % 400 = 123",
+    "downs": "SELECT DISTINCT 1 + seq % 3 AS server, t AS down_t FROM {trace} WHERE seq % 400 = 123",
     "meta_updates": "SELECT seq AS idx, 1 + v % 12 AS range_id, v % 40 AS start, v % 40 + 6 + v % 5 AS stop, CAST(floor(seq / 300) AS BIGINT) + v % 3 AS generation, seq, t FROM {trace} WHERE event_type = 'purchase' AND seq < 3000",
     "verdicts": "SELECT CAST(seq % 100 AS BIGINT) AS seed, CASE user_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'no_guard' ELSE 'late_fsync' END AS variant, event_type AS check_name, (v % 17 = 0) AS failed FROM {trace}",
     "history": "SELECT user_id % 25 AS process, CAST(row_number() OVER (PARTITION BY user_id % 25 ORDER BY seq) AS BIGINT) AS pseq, lpad(CAST(v % 10 AS STRING), 12, '0') AS key, CASE event_type WHEN 'click' THEN 'put' WHEN 'purchase' THEN 'cas' WHEN 'view' THEN 'get' WHEN 'error' THEN 'delete' ELSE 'get' END AS op, seq, t FROM {trace} WHERE seq < 2000",
@@ -88,6 +88,7 @@ def with_fixtures(sql: str) -> str:
     visit(sql)
     # a fixture may not bear the name of one of the driver's tables
     named = ", ".join(f"{name}_fx AS ({FIXTURES[name]})" for name in order)
-    body = re.sub(r"^\s*WITH\b", ",", sql, flags=re.I) if order and re.match(r"\s*WITH\b", sql, re.I) else sql
-    whole = f"WITH {named} {body}" if order else body
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I)
+    body = f", {sql[own.end() :]}" if order and own else sql
+    whole = f"WITH {own[1] or '' if own else ''}{named} {body}" if order else body
     return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES else f"{m[1]}_fx", whole)

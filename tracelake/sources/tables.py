@@ -41,7 +41,7 @@ FIXTURES: dict[str, str] = {
     "applies": "SELECT range_id, server, idx, term, hash, CASE WHEN idx % 5 = 0 THEN NULL WHEN idx % 457 = 11 AND server = 3 THEN 'refused' ELSE 'applied' END AS effect, seq + 7 AS seq, t + 3000000 + (idx % 7) * 100000 AS t FROM {appends} WHERE NOT (idx % 613 = 10 AND server = 1)",
     "truncates": "SELECT range_id, server, idx - 1 AS from_idx, seq + 1 AS seq, t FROM {appends} WHERE idx % 50 = 49 AND server = 2",
     "resets": "SELECT range_id, server, seq + 5 AS seq, t FROM {appends} WHERE idx % 211 = 100",
-    "descriptor_values": "SELECT range_id, CAST(floor(idx / 40) AS BIGINT) * 40 AS idx, CASE WHEN idx = 400 AND server = 3 THEN 0 ELSE 10 * range_id END AS start, 10 * range_id + 40 + CAST(floor(idx / 40) AS BIGINT) % 3 AS stop, CAST(floor(idx / 40) AS BIGINT) + 1 AS generation, 'live' AS state, seq FROM {appends} WHERE idx % 40 = 0",
+    "descriptor_values": "SELECT range_id, CAST(floor(idx / 40) AS BIGINT) * 40 AS idx, CASE WHEN idx = 400 AND server = 3 THEN 0 ELSE 10 * range_id END AS start, 10 * range_id + 40 + CAST(floor(idx / 40) AS BIGINT) % 3 AS stop, CAST(floor(idx / 40) AS BIGINT) + 1 AS generation, 'live' AS state, server, seq FROM {appends} WHERE idx % 40 = 0",
     "served": "SELECT range_id, server, idx, (range_id * 10 + idx % 44) AS key, CASE WHEN idx % 44 >= 42 THEN 'out_of_span' ELSE 'applied' END AS effect, seq FROM {appends} WHERE server = 1 AND idx > 0",
     "writes_by_owner": "SELECT range_id, idx, CAST(v % 50 AS BIGINT) AS key, 1 + CAST(floor(seq / 500) AS BIGINT) - CASE WHEN seq % 701 = 0 THEN 1 ELSE 0 END AS generation, seq FROM (SELECT range_id, seq, v, CAST(row_number() OVER (PARTITION BY range_id ORDER BY seq) AS BIGINT) AS idx FROM {trace} WHERE event_type IN ('click', 'purchase')) w",
     "mismatches": "SELECT user_id AS client, CAST(floor(seq / 200) AS BIGINT) AS invoked, v % 9 AS generation, v % 20 AS start, v % 20 + 15 AS stop, seq FROM {trace} WHERE event_type = 'error'",

@@ -2,9 +2,9 @@
 
 Texts are cut into pieces by the vocabulary's pattern. A piece that is a token stands for itself; the
 other distinct pieces of each run of rows ("chunk", CHUNK_BYTES of text at most) go to the JVM once,
-where ``aggregate`` folds merges over them: the state is a string with one character per token so far,
-and one per adjacent pair for the rank of its merge, both found in a literal map from pairs of tokens
-to the merged token, whose id is its rank. Each step merges the leftmost pair of the least rank. Then
+where ``aggregate`` folds merges over them: the state is a string with one character per token so far
+(one per byte at first), and one with a character per adjacent pair for the rank of its merge, found in
+a literal map from pairs of tokens to the merged token, whose id is its rank. Each step merges the leftmost pair of the least rank. Then
 each text's ids are gathered by piece number. Nothing shuffles, and a lost task is simply run again.
 
 Pieces over LONG_PIECE bytes, whose fold would take quadratic time, are merged by the same rule with a
@@ -34,7 +34,7 @@ from xxhash import xxh64_intdigest
 
 from .common import text_blocks
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 24 << 20
 LONG_PIECE = 512
 BUCKETS = 1 << 16
 NO_MERGE = "\uffff"
@@ -69,8 +69,31 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fold_merges(word: Column, merges: dict[str, str]) -> Column:
-    """The merged form of ``word``, a string of one token character per byte, between the marks ^ and $."""
+def start_states(words: list[bytes], tokens: list[bytes]) -> tuple[list[str], list[str]]:
+    """Each word's characters between the marks ^ and $, and a character per adjacent pair: what it merges to, or NO_MERGE."""
+    ranks = {token: k for k, token in enumerate(tokens)}
+    chars = np.array([ord(token_char(ranks[bytes([b])])) for b in range(256)], "<u2")
+    pairs = np.full(1 << 16, ord(NO_MERGE), "<u2")
+    for token, k in ranks.items():
+        if len(token) == 2:
+            pairs[token[0] << 8 | token[1]] = ord(token_char(k))
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    n = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(n) - n
+    word = np.repeat(np.arange(len(words)), n)
+    place = np.arange(len(data)) - first[word]
+    p_at, r_at = np.cumsum(n + 2) - (n + 2), np.cumsum(n + 1) - (n + 1)
+    p, r = np.full(int((n + 2).sum()), ord("^"), "<u2"), np.full(int((n + 1).sum()), ord(NO_MERGE), "<u2")
+    p[p_at + n + 1] = ord("$")
+    p[p_at[word] + 1 + place] = chars[data]
+    inner = np.flatnonzero(place[1:] > 0) + 1
+    r[r_at[word[inner]] + place[inner]] = pairs[data[inner - 1] << 8 | data[inner]]
+    p_text, r_text = p.tobytes().decode("utf-16-le"), r.tobytes().decode("utf-16-le")
+    return [p_text[a : a + k + 2] for a, k in zip(p_at.tolist(), n.tolist(), strict=True)], [r_text[a : a + k + 1] for a, k in zip(r_at.tolist(), n.tolist(), strict=True)]
+
+
+def fold_merges(parts: Column, ranks: Column, merges: dict[str, str]) -> Column:
+    """The merged form of a word, between the marks, from its start_states(): the marks merge with nothing, so every pair has neighbours."""
     buckets: list[dict[str, str] | None] = [None] * BUCKETS
     for pair, merged in merges.items():
         at = xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)
@@ -80,10 +103,6 @@ def fold_merges(word: Column, merges: dict[str, str]) -> Column:
     def merged(pair: Column) -> Column:
         return F.coalesce(F.try_element_at(F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), pair), F.lit(NO_MERGE))
 
-    def start(p: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: merged(F.substring(p, i, F.lit(2))))
-        return F.struct(p.alias("p"), F.array_join(ranks, "").alias("r"))
-
     def step(s: Column, _: Column) -> Column:
         def at(low: Column, i: Column) -> Column:
             def around(p: Column) -> Column:
@@ -94,10 +113,8 @@ def fold_merges(word: Column, merges: dict[str, str]) -> Column:
 
         return _let(F.array_min(F.split(s["r"], "")), lambda low: F.when(low < F.lit(NO_MERGE), _let(F.call_function("instr", s["r"], low), lambda i: at(low, i))).otherwise(s))
 
-    # the ends' marks merge with nothing, so every pair has neighbours
-    ended = _let(F.concat(F.lit("^"), word, F.lit("$")), start)
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), ended, step, lambda s: s["p"])
-    return folded
+    start = F.struct(parts.alias("p"), ranks.alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(parts) - 3, F.lit(1))), start, step, lambda s: s["p"])
 
 
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -163,23 +180,26 @@ class Pieces(dict):
         self.new, self.size = [], self.known
 
 
+CUT = ["doc_id", "is_word", "word", "ranks", "pieces"]
+
+
 def _cut(tokens: list[bytes], pattern: str):
-    """Rows of a chunk's new words (word), then of its texts (doc_id, pieces: piece numbers)."""
-    to_chars = {b: token_char(tokens.index(bytes([b]))) for b in range(256)}
+    """Rows of a chunk's new words (word and ranks, or a long piece), then of its texts (doc_id, pieces: piece numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, pieces, held, size = splitter(pattern), Pieces(tokens), [], 0
         kind = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = [w.encode() for w in pieces.new]
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                short = [w.decode("latin-1").translate(to_chars) if len(w) <= LONG_PIECE else None for w in some]
-                long = [w if len(w) > LONG_PIECE else None for w in some]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kind), pa.array([True] * len(some)), pa.array(short, pa.string()), pa.array(long, pa.binary())], ["doc_id", "is_word", "word", "pieces"])
+            for at in range(0, len(pieces.new), 20_000):
+                words = [w.encode() for w in pieces.new[at : at + 20_000]]
+                is_long = [len(w) > LONG_PIECE for w in words]
+                parts, ranks = start_states([b"" if far else w for far, w in zip(is_long, words, strict=True)], tokens)
+                long = [w if far else None for far, w in zip(is_long, words, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), kind), pa.array([True] * len(words)), pa.array(parts, pa.string()), pa.array(ranks, pa.string()), pa.array(long, pa.binary())], CUT)
             for ids, blobs in held:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([False] * len(ids)), pa.nulls(len(ids), pa.string()), pa.array(blobs, pa.binary())], ["doc_id", "is_word", "word", "pieces"])
+                empty = pa.nulls(len(ids), pa.string())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([False] * len(ids)), empty, empty, pa.array(blobs, pa.binary())], CUT)
             held.clear()
             pieces.forget()
 
@@ -202,53 +222,62 @@ def _gathered(tokens: list[bytes]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = {}
-        parts: list[np.ndarray] = []
-        lengths: np.ndarray | None = None
-        flat = starts = np.zeros(0, np.int32)
+        ids: list[np.ndarray] = []  # of the chunk's words, end to end
+        counts: list[np.ndarray] = []
+        flat = lengths = starts = None
         for batch in batches:
             is_word = batch.column(1).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < len(is_word):
-                end = at + int(np.argmax(np.r_[is_word[at:], not is_word[at]] != is_word[at]))
+            cuts = np.flatnonzero(np.diff(is_word.astype(np.int8))) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(is_word)], strict=True):
+                if at == end:
+                    continue
                 rows = batch.slice(at, end - at)
                 if is_word[at]:
-                    if lengths is not None:  # a new chunk begins
-                        parts, lengths = [], None
-                    for folded, long in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                        if long is not None:
-                            ranks = ranks or {t: k for k, t in enumerate(tokens)}
-                            parts.append(np.array(heap_merges(long, ranks), np.int32))
-                        else:
-                            chars = np.frombuffer(folded[1:-1].encode("utf-16-le"), "<u2").astype(np.int32)
-                            parts.append(chars - np.where(chars < 0xD800, 0x100, 0x900))
+                    if flat is not None:  # a new chunk begins
+                        ids, counts, flat = [], [], None
+                    folded = [f[1:-1] if f is not None else "" for f in rows.column(2).to_pylist()]
+                    chars = np.frombuffer("".join(folded).encode("utf-16-le"), "<u2").astype(np.int32)
+                    chars -= np.where(chars < 0xD800, 0x100, 0x900).astype(np.int32)
+                    n = np.array([len(f) for f in folded], np.int64)
+                    if rows.column(4).null_count < len(folded):
+                        ranks = ranks or {t: k for k, t in enumerate(tokens)}
+                        heads = np.r_[0, np.cumsum(n)]
+                        merged = [chars[heads[k] : heads[k + 1]] if long is None else np.array(heap_merges(long, ranks), np.int32) for k, long in enumerate(rows.column(4).to_pylist())]
+                        chars, n = np.concatenate(merged), np.array([len(m) for m in merged], np.int64)
+                    ids.append(chars)
+                    counts.append(n)
                 else:
-                    if lengths is None:
-                        lengths = np.r_[np.ones(len(tokens), np.int64), [len(p) for p in parts]].astype(np.int64)
+                    if flat is None:
+                        lengths = np.concatenate([np.ones(len(tokens), np.int64), *counts])
                         starts = np.cumsum(lengths) - lengths
-                        flat = np.concatenate([np.arange(len(tokens), dtype=np.int32), *parts])
+                        flat = np.concatenate([np.arange(len(tokens), dtype=np.int32), *ids])
                     out = []
-                    for blob in rows.column(3).to_pylist():
+                    for blob in rows.column(4).to_pylist():
                         number = np.frombuffer(blob, "<i4")
                         n = lengths[number]
                         ends = np.cumsum(n)
                         out.append(flat[np.repeat(starts[number] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
                     offsets = np.r_[0, np.cumsum([len(o) for o in out])].astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), ids], ["doc_id", "token_ids"])
-                at = end
+                    found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([rows.column(0), found], ["doc_id", "token_ids"])
 
     return run
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, token_ids) of every row. ``rank_path`` lies on the driver; its tokens go along with the tasks."""
+def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "token_ids array<int>") -> DataFrame:
+    """(doc_id, token_ids) of every row. ``rank_path`` lies on the driver; its tokens go along with the tasks.
+
+    ``then``, a function over record batches, goes on with that table in the same Python worker; ``schema`` is
+    what it returns beside doc_id. A worker of its own would cost each running task some 150 MB.
+    """
     with open(rank_path, "rb") as file:
         tokens = load_ranks(file.read().splitlines())
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    cut = narrow.mapInArrow(_cut(tokens, pattern), f"doc_id {kind}, is_word boolean, word string, pieces binary")
-    folded = cut.select("doc_id", "is_word", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), pair_map(tokens))).alias("word"), "pieces")
-    return folded.mapInArrow(_gathered(tokens), f"doc_id {kind}, token_ids array<int>")
+    cut = narrow.mapInArrow(_cut(tokens, pattern), f"doc_id {kind}, is_word boolean, word string, ranks string, pieces binary")
+    folded = cut.select("doc_id", "is_word", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("ranks"), pair_map(tokens))).alias("word"), F.lit(None).cast("string").alias("ranks"), "pieces")
+    gather = _gathered(tokens)
+    return folded.mapInArrow((lambda batches: then(gather(batches))) if then else gather, f"doc_id {kind}, {schema}")
 
 
 def _each(tokens: list[bytes], finish, columns: list[tuple[str, pa.DataType]]):
@@ -256,7 +285,9 @@ def _each(tokens: list[bytes], finish, columns: list[tuple[str, pa.DataType]]):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                found = [finish(ids or []) for ids in rows.column(1).to_pylist()]
+                lists = rows.column(1)
+                heads = lists.offsets.to_numpy()
+                found = [finish(lists.values[a:b].to_numpy().tolist()) for a, b in zip(heads[:-1], heads[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([f[c] for f in found], kind) for c, (_, kind) in enumerate(columns))], ["doc_id", *(name for name, _ in columns)])
 
     return run
@@ -270,8 +301,11 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     return encoded.select("doc_id", "token_ids").mapInArrow(_each(tokens, lambda ids: (b"".join(map(tokens.__getitem__, ids)),), [("decoded", pa.binary())]), schema)
 
 
-def round_trip_digest(encoded: DataFrame, rank_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of (doc_id, token_ids)."""
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def round_trip_digest(rank_path: str):
+    """n_tokens, ids_sha256 and decoded_sha256 beside doc_id, as the ``then`` of encode()."""
     with open(rank_path, "rb") as file:
         tokens = load_ranks(file.read().splitlines())
     said = [str(k) for k in range(len(tokens))]
@@ -279,5 +313,9 @@ def round_trip_digest(encoded: DataFrame, rank_path: str) -> DataFrame:
     def finish(ids: list[int]) -> tuple[int, str, str]:
         return len(ids), hashlib.sha256(" ".join(map(said.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest()
 
-    schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded.select("doc_id", "token_ids").mapInArrow(_each(tokens, finish, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]), schema)
+    return _each(tokens, finish, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def encode_digest(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: its ids, decoded again."""
+    return encode(df, rank_path, pattern, then=round_trip_digest(rank_path), schema=DIGEST)

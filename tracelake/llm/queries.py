@@ -47,7 +47,7 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip_digest(bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    return bpe.encode_digest(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the distinct words.
 
-Texts are cut into pieces by the vocabulary's pattern. A piece that is a token stands for itself; the
-other distinct pieces of each run of rows ("chunk", CHUNK_BYTES of text at most) go to the JVM once,
-where ``aggregate`` folds merges over them: the state is a string with one character per token so far
-(one per byte at first), and one with a character per adjacent pair for the rank of its merge, found in
-a literal map from pairs of tokens to the merged token, whose id is its rank. Each step merges the leftmost pair of the least rank. Then
-each text's ids are gathered by piece number. Nothing shuffles, and a lost task is simply run again.
+Texts are cut into pieces by the vocabulary's pattern. A piece that is a token stands for itself; a
+task's other distinct pieces go to the JVM once, after each CHUNK_BYTES of text, where ``aggregate``
+folds merges over them. Its state is a string with one character per token so far (one per byte at
+first), and one with a character per adjacent pair for the rank of its merge, found in a literal map
+from pairs of tokens to the merged token, whose id is its rank. Each step merges the leftmost pair of
+the least rank. Then each text's ids are gathered by piece number. Nothing shuffles, and a lost task is
+simply run again.
 
 Pieces over LONG_PIECE bytes, whose fold would take quadratic time, are merged by the same rule with a
 heap. Decoding concatenates the tokens' bytes.
@@ -34,7 +35,9 @@ from xxhash import xxh64_intdigest
 
 from .common import text_blocks
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 4 << 20
+#: Words remembered from chunk to chunk of a task; then the numbers start again.
+MAX_WORDS = 500_000
 LONG_PIECE = 512
 BUCKETS = 1 << 16
 NO_MERGE = "\uffff"
@@ -69,31 +72,41 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def start_states(words: list[bytes], tokens: list[bytes]) -> tuple[list[str], list[str]]:
-    """Each word's characters between the marks ^ and $, and a character per adjacent pair: what it merges to, or NO_MERGE."""
-    ranks = {token: k for k, token in enumerate(tokens)}
-    chars = np.array([ord(token_char(ranks[bytes([b])])) for b in range(256)], "<u2")
-    pairs = np.full(1 << 16, ord(NO_MERGE), "<u2")
-    for token, k in ranks.items():
-        if len(token) == 2:
-            pairs[token[0] << 8 | token[1]] = ord(token_char(k))
-    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-    n = np.array([len(w) for w in words], np.int64)
-    first = np.cumsum(n) - n
-    word = np.repeat(np.arange(len(words)), n)
-    place = np.arange(len(data)) - first[word]
-    p_at, r_at = np.cumsum(n + 2) - (n + 2), np.cumsum(n + 1) - (n + 1)
-    p, r = np.full(int((n + 2).sum()), ord("^"), "<u2"), np.full(int((n + 1).sum()), ord(NO_MERGE), "<u2")
-    p[p_at + n + 1] = ord("$")
-    p[p_at[word] + 1 + place] = chars[data]
-    inner = np.flatnonzero(place[1:] > 0) + 1
-    r[r_at[word[inner]] + place[inner]] = pairs[data[inner - 1] << 8 | data[inner]]
-    p_text, r_text = p.tobytes().decode("utf-16-le"), r.tobytes().decode("utf-16-le")
-    return [p_text[a : a + k + 2] for a, k in zip(p_at.tolist(), n.tolist(), strict=True)], [r_text[a : a + k + 1] for a, k in zip(r_at.tolist(), n.tolist(), strict=True)]
+def _strings(codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """UTF-16 units (no surrogates), cut into strings of these lengths."""
+    bytes_of = 1 + (codes >= 0x80) + (codes >= 0x800)
+    ends = np.r_[0, np.cumsum(bytes_of)][np.r_[0, np.cumsum(lengths)]].astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(codes.tobytes().decode("utf-16-le").encode()))
+
+
+class StartStates:
+    """Makes the fold's first state of words: each word's characters between the marks ^ and $, and a character
+    per adjacent pair: what it merges to, or NO_MERGE."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        ranks = {token: k for k, token in enumerate(tokens)}
+        self.chars = np.array([ord(token_char(ranks[bytes([b])])) for b in range(256)], "<u2")
+        self.pairs = np.full(1 << 16, ord(NO_MERGE), "<u2")
+        for token, k in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = ord(token_char(k))
+
+    def __call__(self, words: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+        n = np.array([len(w) for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), n)
+        first = np.cumsum(n) - n
+        at = np.arange(len(data))
+        p, r = np.full(len(data) + 2 * len(words), ord("^"), "<u2"), np.full(len(data) + len(words), ord(NO_MERGE), "<u2")
+        p[np.cumsum(n + 2) - 1] = ord("$")
+        p[at + 2 * word + 1] = self.chars[data]
+        inner = at[at > first[word]]
+        r[inner + word[inner]] = self.pairs[data[inner - 1] << 8 | data[inner]]
+        return _strings(p, n + 2), _strings(r, n + 1)
 
 
 def fold_merges(parts: Column, ranks: Column, merges: dict[str, str]) -> Column:
-    """The merged form of a word, between the marks, from its start_states(): the marks merge with nothing, so every pair has neighbours."""
+    """The merged form of a word, between the marks, from its StartStates: the marks merge with nothing, so every pair has neighbours."""
     buckets: list[dict[str, str] | None] = [None] * BUCKETS
     for pair, merged in merges.items():
         at = xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)
@@ -159,14 +172,8 @@ class Pieces(dict):
 
     def __init__(self, tokens: list[bytes]) -> None:
         super().__init__()
-        for k, token in enumerate(tokens):
-            try:
-                self[token.decode()] = k
-            except UnicodeDecodeError:
-                pass
-        self.known = len(tokens)
-        self.size = self.known
-        self.new: list[str] = []
+        self.tokens = tokens
+        self.forget()
 
     def __missing__(self, piece: str) -> int:
         self[piece] = number = self.size
@@ -175,33 +182,42 @@ class Pieces(dict):
         return number
 
     def forget(self) -> None:
-        for piece in self.new:
-            del self[piece]
-        self.new, self.size = [], self.known
+        self.clear()
+        for k, token in enumerate(self.tokens):
+            try:
+                self[token.decode()] = k
+            except UnicodeDecodeError:
+                pass
+        self.new: list[str] = []
+        self.size = len(self.tokens)
 
 
-CUT = ["doc_id", "is_word", "word", "ranks", "pieces"]
+CUT = ["doc_id", "number", "word", "ranks", "pieces"]
 
 
 def _cut(tokens: list[bytes], pattern: str):
-    """Rows of a chunk's new words (word and ranks, or a long piece), then of its texts (doc_id, pieces: piece numbers)."""
+    """Rows of a chunk's new words (number, and word with ranks, or a long piece), then of its texts (doc_id, pieces: numbers).
+
+    Words are numbered on from chunk to chunk of a task, from 0 again after MAX_WORDS.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, pieces, held, size = splitter(pattern), Pieces(tokens), [], 0
-        kind = None
+        cut, pieces, states, held, size, kind = splitter(pattern), Pieces(tokens), StartStates(tokens), [], 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
+            known = pieces.size - len(pieces.new) - len(tokens)
             for at in range(0, len(pieces.new), 20_000):
                 words = [w.encode() for w in pieces.new[at : at + 20_000]]
-                is_long = [len(w) > LONG_PIECE for w in words]
-                parts, ranks = start_states([b"" if far else w for far, w in zip(is_long, words, strict=True)], tokens)
-                long = [w if far else None for far, w in zip(is_long, words, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), kind), pa.array([True] * len(words)), pa.array(parts, pa.string()), pa.array(ranks, pa.string()), pa.array(long, pa.binary())], CUT)
+                long = [w if len(w) > LONG_PIECE else None for w in words]
+                parts, ranks = states([w if far is None else b"" for far, w in zip(long, words, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), kind), pa.array(np.arange(known + at, known + at + len(words)), pa.int64()), parts, ranks, pa.array(long, pa.binary())], CUT)
             for ids, blobs in held:
                 empty = pa.nulls(len(ids), pa.string())
-                yield pa.RecordBatch.from_arrays([ids, pa.array([False] * len(ids)), empty, empty, pa.array(blobs, pa.binary())], CUT)
+                yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), empty, empty, pa.array(blobs, pa.binary())], CUT)
             held.clear()
-            pieces.forget()
+            pieces.new.clear()
+            if pieces.size > MAX_WORDS:
+                pieces.forget()
 
         for batch in batches:
             kind = batch.column(0).type
@@ -222,19 +238,20 @@ def _gathered(tokens: list[bytes]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks: dict[bytes, int] = {}
-        ids: list[np.ndarray] = []  # of the chunk's words, end to end
+        ids: list[np.ndarray] = []  # of the words so far, end to end
         counts: list[np.ndarray] = []
         flat = lengths = starts = None
         for batch in batches:
-            is_word = batch.column(1).to_numpy(zero_copy_only=False)
+            is_word = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(is_word.astype(np.int8))) + 1
             for at, end in zip([0, *cuts], [*cuts, len(is_word)], strict=True):
                 if at == end:
                     continue
                 rows = batch.slice(at, end - at)
                 if is_word[at]:
-                    if flat is not None:  # a new chunk begins
-                        ids, counts, flat = [], [], None
+                    flat = None
+                    if rows.column(1)[0].as_py() == 0:
+                        ids, counts = [], []
                     folded = [f[1:-1] if f is not None else "" for f in rows.column(2).to_pylist()]
                     chars = np.frombuffer("".join(folded).encode("utf-16-le"), "<u2").astype(np.int32)
                     chars -= np.where(chars < 0xD800, 0x100, 0x900).astype(np.int32)
@@ -274,8 +291,8 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
         tokens = load_ranks(file.read().splitlines())
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    cut = narrow.mapInArrow(_cut(tokens, pattern), f"doc_id {kind}, is_word boolean, word string, ranks string, pieces binary")
-    folded = cut.select("doc_id", "is_word", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("ranks"), pair_map(tokens))).alias("word"), F.lit(None).cast("string").alias("ranks"), "pieces")
+    cut = narrow.mapInArrow(_cut(tokens, pattern), f"doc_id {kind}, number long, word string, ranks string, pieces binary")
+    folded = cut.select("doc_id", "number", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("ranks"), pair_map(tokens))).alias("word"), F.lit(None).cast("string").alias("ranks"), "pieces")
     gather = _gathered(tokens)
     return folded.mapInArrow((lambda batches: then(gather(batches))) if then else gather, f"doc_id {kind}, {schema}")
 

@@ -100,7 +100,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             found_text.append(word_text[: len(run)][own])
             found.append(_hashed(run[own], 4 + n))
     keys = np.sort(np.concatenate(found_text) << HASH_BITS | np.concatenate(found))
-    keys = keys[np.r_[len(keys) > 0, keys[1:] != keys[:-1]]]
+    keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
     return keys >> HASH_BITS, keys & (FEATURES - 1)
 
 

@@ -270,3 +270,44 @@ def tiling(spans: DataFrame, low: int, high: int) -> DataFrame:
     from ..functions.intervals import gaps_and_overlaps
 
     return gaps_and_overlaps(spans, []).unionByName(outside)
+
+
+def created_twice(events: DataFrame) -> DataFrame:
+    """A range created on a node that holds it already: ``events`` has range_id, node, what, seq."""
+    before = F.lag("what").over(Window.partitionBy("range_id", "node").orderBy("seq"))
+    return events.withColumn("before", before).filter("what = 'created' and before = 'created'").select("range_id", "node", "seq")
+
+
+def right_half_owed(splits: DataFrame, events: DataFrame) -> DataFrame:
+    """Splits applied on a node (node, right_id, seq) whose right half that node never created, before or after."""
+    made = events.filter("what = 'created'").select(F.col("range_id").alias("right_id"), "node").distinct()
+    return splits.join(made, ["right_id", "node"], "left_anti").select("node", "right_id", "seq")
+
+
+def install_over_another(installs: DataFrame, held: DataFrame) -> DataFrame:
+    """Installs (node, range_id, start, stop, seq) over a span that another range of the node holds at that moment."""
+    i, h = installs.alias("i"), held.alias("h")
+    on = (F.col("i.node") == F.col("h.node")) & (F.col("i.range_id") != F.col("h.range_id")) & (F.col("h.start") < F.col("i.stop")) & (F.col("i.start") < F.col("h.stop"))
+    alive = (F.col("h.from_seq") < F.col("i.seq")) & (F.col("h.to_seq").isNull() | (F.col("h.to_seq") > F.col("i.seq")))
+    return i.join(h, on & alive).groupBy("i.node", "i.range_id", "i.seq").agg(F.min("h.range_id").alias("holder"))
+
+
+def recovery_losses(writes: DataFrame, recovered: DataFrame, faults: DataFrame) -> DataFrame:
+    """Durable writes (epoch, seq, t) that a recovery (epoch, seq) lost without a traced fault (from_t, until_t) at that time."""
+    gone = writes.join(recovered, ["epoch", "seq"], "left_anti")
+    return gone.join(faults, (gone["t"] >= faults["from_t"]) & (gone["t"] <= faults["until_t"]), "left_anti").select("epoch", "seq")
+
+
+def table_of_writes(writes: DataFrame, flushes: DataFrame, compactions: DataFrame) -> DataFrame:
+    """The table that holds each write (seq) now: its flush's (number, first_seq, max_seq), followed through compactions
+    (input, output). Tables are few beside writes: their last successors are found first, then flushes join by seq."""
+    spark = writes.sparkSession
+    last = spark.sql(
+        """WITH RECURSIVE walk(number, now, depth) AS (
+               SELECT number, number, 0 FROM {flushes}
+               UNION ALL SELECT w.number, c.output, w.depth + 1 FROM walk w JOIN {compactions} c ON c.input = w.now)
+           SELECT number, max_by(now, depth) AS table_number FROM walk GROUP BY number""",
+        flushes=flushes.select("number"), compactions=compactions,
+    )
+    placed = as_of(writes.withColumn("one", F.lit(0)), flushes.select(F.lit(0).alias("one"), F.col("first_seq").alias("seq"), "number", "max_seq"), ["one"], "seq", value="flush")
+    return placed.filter(F.col("flush.max_seq") >= F.col("seq")).select("seq", F.col("flush.number").alias("number")).join(last, "number").select("seq", "table_number")

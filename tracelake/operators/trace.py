@@ -112,3 +112,25 @@ def audit_breaks(chain: DataFrame) -> DataFrame:
 
     before = F.coalesce(F.lag("digest").over(Window.partitionBy("chain").orderBy("seq")), F.lit(""))
     return chain.withColumn("expected", F.sha2(F.concat(before, F.col("payload")), 256)).filter("digest <> expected").select("chain", "seq")
+
+
+def fnv_body(lines: DataFrame) -> DataFrame:
+    """Per run the 64-bit FNV-1a hash of its bodies in order, each ended by a line feed: sequential within a run."""
+    import pandas as pd
+
+    from ..functions.scalar import FNV_OFFSET, FNV_PRIME, MAX_U64
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        h = FNV_OFFSET
+        for body in pdf.sort_values("line")["body"]:
+            for byte in f"{body}\n".encode():
+                h = (h ^ byte) * FNV_PRIME & MAX_U64
+        return pd.DataFrame({"run": [key[0]], "hash": [f"{h:016x}"]})
+
+    return lines.select("run", "line", "body").groupBy("run").applyInPandas(run, "run string, hash string")
+
+
+def messages_of(lines: DataFrame) -> DataFrame:
+    """A row per message of batched sends: (run, seq, node, kind, range_id, term)."""
+    batch = F.from_json(F.get_json_object("data", "$.msgs"), "array<struct<kind: string, range_id: long, term: long>>")
+    return lines.filter("kind in ('send', 'deliver')").select("run", "seq", "node", F.explode(batch).alias("m")).select("run", "seq", "node", "m.kind", "m.range_id", "m.term")

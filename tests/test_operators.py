@@ -116,6 +116,28 @@ def test_as_of_before_and_at(spark):
     assert sorted(rows(intervals.as_of(left, right, ["k"], "idx", inclusive=False).select("k", "idx", "found.v")), key=str) == [(1, 5, "y"), (1, 6, "x"), (2, 5, None)]
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_as_of_in_buckets_equals_one_window(spark, inclusive):
+    random.seed(8)
+    left = spark.createDataFrame([(random.randrange(2), random.randrange(-50, 300), k) for k in range(200)], "k long, idx long, n long")
+    right = spark.createDataFrame([(random.randrange(2), random.randrange(-20, 200), k) for k in range(15)], "k long, idx long, v long")
+    whole = sorted(map(tuple, intervals.as_of(left, right, ["k"], "idx", inclusive).collect()))
+    for width in (1, 7, 1000):
+        assert sorted(map(tuple, intervals.as_of(left, right, ["k"], "idx", inclusive, width=width).collect())) == whole
+
+
+def test_next_row_in_buckets(spark):
+    random.seed(9)
+    made = [(random.randrange(3), random.randrange(100), n) for n in range(80)]
+    want = []
+    for key in range(3):
+        own = sorted((t, n) for k, t, n in made if k == key)
+        want += [(key, t, n, own[j + 1][0] if j + 1 < len(own) else None) for j, (t, n) in enumerate(own)]
+    for width in (1, 9, 500):
+        found = intervals.with_next(spark.createDataFrame(made, "k long, t long, n long"), ["k"], "t", "n", width, "after")
+        assert sorted(map(tuple, found.select("k", "t", "n", "after").collect()), key=str) == sorted(want, key=str)
+
+
 def test_split_lineage_follows_the_new_half(spark):
     have = spark.createDataFrame([(1, 0, 100, 1, "live")], "range_id long, start long, stop long, generation long, state string")
     asked = spark.createDataFrame([(1, 1, 50, 7, False), (2, 1, 75, 8, False), (3, 1, 50, 9, False), (4, 1, 20, None, False)], "idx long, range_id long, split_at long, right_id long, joint boolean")

@@ -7,18 +7,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, inclusive: bool = True, value: str = "found") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, inclusive: bool = True, value: str = "found", width: int | None = None) -> DataFrame:
     """``left`` with a struct of the latest row of ``right`` per ``keys`` whose ``on`` is at (inclusive) or before its own.
 
     Both sides go through one window: rows of both sorted by key and place, the last right row carried on.
-    Ties on the right go to its greatest other columns.
+    Ties on the right go to its greatest other columns. With ``width`` (for longs) a key's rows are split into
+    buckets of that width, and each bucket begins with the last right row before it: no key is one task then.
     """
     kept = F.struct(F.col(on), *[F.col(c) for c in right.columns if c not in (*keys, on)])
-    sides = [F.struct(*[F.col(c) for c in left.columns]).alias("row"), F.lit(None).cast(right.select(kept.alias("r")).schema["r"].dataType).alias("r")]
-    a = left.select(*keys, F.col(on).alias("place"), F.lit(2 if inclusive else 0).alias("turn"), *sides)
-    b = right.select(*keys, F.col(on).alias("place"), F.lit(1).alias("turn"), F.lit(None).cast(a.schema["row"].dataType).alias("row"), kept.alias("r"))
-    w = Window.partitionBy(*keys).orderBy("place", "turn", "r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(b).withColumn(value, F.last("r", ignorenulls=True).over(w)).filter("row is not null").select("row.*", value)
+    kind = right.select(kept.alias("r")).schema["r"].dataType
+    bucket = F.floor(F.col(on) / width).cast("long") if width else F.lit(0).cast("long")
+    a = left.select(*keys, bucket.alias("bucket"), F.col(on).alias("place"), F.lit(2 if inclusive else 0).alias("turn"), F.struct(*[F.col(c) for c in left.columns]).alias("row"), F.lit(None).cast(kind).alias("r"))
+    row = a.schema["row"].dataType
+    b = right.select(*keys, bucket.alias("bucket"), F.col(on).alias("place"), F.lit(1).alias("turn"), F.lit(None).cast(row).alias("row"), kept.alias("r"))
+    both = a.unionByName(b)
+    if width:
+        # one row a key and bucket: the last right row of the buckets before
+        last = b.groupBy(*keys, "bucket").agg(F.max(F.struct("place", "r")).alias("last")).unionByName(a.select(*keys, "bucket").distinct().withColumn("last", F.lit(None).cast(b.select(F.struct("place", "r").alias("l")).schema["l"].dataType)))
+        last = last.groupBy(*keys, "bucket").agg(F.max("last").alias("last"))
+        before = F.last("last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        both = both.unionByName(last.withColumn("last", before).filter("last is not null").select(*keys, "bucket", "last.place", F.lit(-1).alias("turn"), F.lit(None).cast(row).alias("row"), "last.r"))
+    w = Window.partitionBy(*keys, "bucket").orderBy("place", "turn", "r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(value, F.last("r", ignorenulls=True).over(w)).filter("row is not null").select("row.*", value)
+
+
+def bucket_width(rows: DataFrame, low: str, high: str, buckets: int = 1024) -> int:
+    """A width that cuts the span of two long columns into so many buckets."""
+    ends = rows.agg(F.min(low).alias("low"), F.max(high).alias("high")).first()
+    return 1 if ends.low is None else max(1, -(-(ends.high - ends.low) // buckets))
+
+
+def with_next(rows: DataFrame, keys: list[str], on: str, tie: str, width: int, name: str) -> DataFrame:
+    """``rows`` with the ``on`` of the next row of its keys, in buckets of ``width``: a bucket's last row takes the first
+    of the next bucket that has any, from a table of one row a bucket."""
+    cut = rows.withColumn("bucket", F.floor(F.col(on) / width).cast("long"))
+    firsts = cut.groupBy(*keys, "bucket").agg(F.min(on).alias("first"))
+    after = firsts.withColumn("after", F.lead("first").over(Window.partitionBy(*keys).orderBy("bucket"))).drop("first")
+    inside = cut.withColumn("inside", F.lead(on).over(Window.partitionBy(*keys, "bucket").orderBy(on, tie)))
+    return inside.join(after, [*keys, "bucket"]).withColumn(name, F.coalesce("inside", "after")).drop("bucket", "inside", "after")
 
 
 def valid_until(rows: DataFrame, keys: list[str], on: str, name: str = "until") -> DataFrame:

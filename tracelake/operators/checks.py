@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of
+from ..functions.intervals import as_of, bucket_width
 from ..functions.scalar import joint_majority
 
 #: Fixed value: the order in which the checks of one trace are judged.
@@ -309,5 +309,5 @@ def table_of_writes(writes: DataFrame, flushes: DataFrame, compactions: DataFram
            SELECT number, max_by(now, depth) AS table_number FROM walk GROUP BY number""",
         flushes=flushes.select("number"), compactions=compactions,
     )
-    placed = as_of(writes.withColumn("one", F.lit(0)), flushes.select(F.lit(0).alias("one"), F.col("first_seq").alias("seq"), "number", "max_seq"), ["one"], "seq", value="flush")
+    placed = as_of(writes.withColumn("one", F.lit(0)), flushes.select(F.lit(0).alias("one"), F.col("first_seq").alias("seq"), "number", "max_seq"), ["one"], "seq", value="flush", width=bucket_width(flushes, "first_seq", "max_seq"))
     return placed.filter(F.col("flush.max_seq") >= F.col("seq")).select("seq", F.col("flush.number").alias("number")).join(last, "number").select("seq", "table_number")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.intervals import bucket_width, with_next
+
 #: Fixed value: the least span in seconds that a rate divides by.
 EPSILON = 2.220446049250313e-16
 
@@ -85,7 +87,7 @@ def availability_gap(completions: DataFrame, outages: DataFrame, by: list[str] |
     by = by or []
     keyed = completions if by else completions.withColumn("all", F.lit(0))
     keys = by or ["all"]
-    gaps = keyed.select(*keys, "t", "seq").withColumn("next_t", F.lead("t").over(Window.partitionBy(*keys).orderBy("t", "seq"))).filter("next_t is not null")
+    gaps = with_next(keyed.select(*keys, "t", "seq"), keys, "t", "seq", bucket_width(completions, "t", "t"), "next_t").filter("next_t is not null")
     met = gaps.join(outages.select("from_t", "until_t"), (F.col("from_t") < F.col("next_t")) & (F.col("until_t") > F.col("t")), "left")
     part = F.when(F.col("from_t").isNotNull(), F.least("next_t", "until_t") - F.greatest("t", "from_t"))  # least() passes over nulls
     left = met.groupBy(*keys, "t", "seq", "next_t").agg(F.coalesce(F.sum(part), F.lit(0)).alias("covered"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of
+from ..functions.intervals import as_of, bucket_width
 
 
 def contains(key: Column, start: Column, stop: Column) -> Column:
@@ -48,10 +48,11 @@ def coalesce_intervals(owned: DataFrame) -> DataFrame:
 def lookup(keys: DataFrame, owned: DataFrame, key: str = "key") -> DataFrame:
     """``keys`` with the range that owns each: the interval of the greatest low at or below the key, if its high is above.
 
-    An as-of join over disjoint intervals: one sort, where a range join would compare.
+    An as-of join over disjoint intervals of longs: one sort, where a range join would compare. Keys are dealt to
+    buckets of the map's span, so the keyspace isn't one task.
     """
     spans = owned.select(F.lit(0).alias("one"), F.col("low").alias(key), "high", "range_id", "generation")
-    found = as_of(keys.withColumn("one", F.lit(0)), spans, ["one"], key)
+    found = as_of(keys.withColumn("one", F.lit(0)), spans, ["one"], key, width=bucket_width(owned, "low", "high"))
     hit = F.col("found.high") > F.col(key)
     return found.select(*keys.columns, F.when(hit, F.col("found.range_id")).alias("range_id"), F.when(hit, F.col("found.generation")).alias("generation"))
 

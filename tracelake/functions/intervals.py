@@ -42,9 +42,9 @@ def with_next(rows: DataFrame, keys: list[str], on: str, tie: str, width: int, n
     of the next bucket that has any, from a table of one row a bucket."""
     cut = rows.withColumn("bucket", F.floor(F.col(on) / width).cast("long"))
     firsts = cut.groupBy(*keys, "bucket").agg(F.min(on).alias("first"))
-    after = firsts.withColumn("after", F.lead("first").over(Window.partitionBy(*keys).orderBy("bucket"))).drop("first")
-    inside = cut.withColumn("inside", F.lead(on).over(Window.partitionBy(*keys, "bucket").orderBy(on, tie)))
-    return inside.join(after, [*keys, "bucket"]).withColumn(name, F.coalesce("inside", "after")).drop("bucket", "inside", "after")
+    after = firsts.withColumn("__after", F.lead("first").over(Window.partitionBy(*keys).orderBy("bucket"))).drop("first")
+    inside = cut.withColumn("__inside", F.lead(on).over(Window.partitionBy(*keys, "bucket").orderBy(on, tie)))
+    return inside.join(after, [*keys, "bucket"]).withColumn(name, F.coalesce("__inside", "__after")).drop("bucket", "__inside", "__after")
 
 
 def valid_until(rows: DataFrame, keys: list[str], on: str, name: str = "until") -> DataFrame:

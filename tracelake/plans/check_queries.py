@@ -57,7 +57,7 @@ def chk_leader_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle(f"""
     WITH {_ENTRIES}, c AS (SELECT range_id, server, idx, term, seq FROM {{commits}} WHERE idx % 3 = 0),
     held AS (SELECT c.range_id, c.server, c.idx, c.term, c.seq, count(DISTINCT e.server) AS holders,
-                count(DISTINCT e.server) FILTER (WHERE e.server IN (1, 2, 3)) AS early, count(DISTINCT e.server) FILTER (WHERE e.server IN (1, 3, 4)) AS late
+                count(DISTINCT e.server) FILTER (WHERE e.server IN (1, 2, 3)) AS early, count(DISTINCT e.server) FILTER (WHERE e.server IN (1, 4, 3 + 2 * (c.range_id % 2))) AS late
              FROM c LEFT JOIN entries e ON e.range_id = c.range_id AND e.idx = c.idx AND e.term = c.term AND e.from_seq <= c.seq AND e.to_seq > c.seq GROUP BY ALL),
     since AS (SELECT range_id, max(seq) AS seq FROM {{configs}} WHERE seq > 0 GROUP BY range_id)
     SELECT h.range_id, h.server, h.idx, h.holders, h.seq FROM held h LEFT JOIN since s USING (range_id) WHERE CASE WHEN s.seq <= h.seq THEN late ELSE early END * 2 <= 3

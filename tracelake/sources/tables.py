@@ -32,7 +32,7 @@ FIXTURES: dict[str, str] = {
     "descriptors": "SELECT range_id, min(c_custkey) AS start, max(c_custkey) + 1 AS stop, CAST(1 AS BIGINT) AS generation, CAST(-1 AS BIGINT) AS arrival, 'live' AS state FROM (SELECT c_custkey, 1 + CAST(floor(c_custkey * 10 / (SELECT max(c_custkey) + 1 FROM {customer})) AS BIGINT) AS range_id FROM {customer}) b GROUP BY range_id UNION ALL SELECT 100 + o_orderkey AS range_id, o_custkey AS start, o_custkey + 50 AS stop, 2 + (o_orderkey % 5) AS generation, o_orderkey AS arrival, CASE WHEN o_orderkey % 1500 = 0 THEN 'subsumed' ELSE 'live' END AS state FROM {orders} WHERE o_orderkey % 500 = 0",
     "tiles": "SELECT range_id, start, CASE WHEN range_id % 4 = 2 THEN stop - 3 WHEN range_id % 4 = 3 THEN stop + 2 ELSE stop END AS stop FROM {descriptors} WHERE arrival = -1",
     "leases": "SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS idx, CAST(l_suppkey % 5 AS BIGINT) AS node, CAST(l_linenumber AS BIGINT) AS size FROM {lineitem} WHERE l_orderkey < 100",
-    "splits": "SELECT o_orderkey AS idx, 1 + CAST(o_orderkey % 10 AS BIGINT) AS range_id, o_custkey AS split_at, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE 1000 + o_orderkey END AS right_id, (o_orderkey % 11 = 5) AS joint FROM {orders} WHERE o_orderkey % 250 = 0",
+    "splits": "SELECT o_orderkey AS idx, 1 + CAST(floor(o_orderkey / 250) AS BIGINT) % 10 AS range_id, o_custkey AS split_at, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE 1000 + o_orderkey END AS right_id, (o_orderkey % 11 = 5) AS joint FROM {orders} WHERE o_orderkey % 250 = 0",
     # the trace: every event is a line, in the order of event_id; 1 ms a step
     "trace": "SELECT event_id AS seq, event_id * 1000000 AS t, CAST(user_id % 5 AS INT) + 1 AS node, user_id % 4 AS range_id, user_id, event_type, value, CAST(floor(value) AS BIGINT) AS v FROM {events}",
     "leaders": "SELECT range_id, CAST(floor(seq / 97) AS BIGINT) AS term, CASE WHEN seq % 1009 = 5 THEN 9 ELSE CAST(floor(seq / 97) AS BIGINT) % 3 + 1 END AS server, seq, t FROM {trace} WHERE event_type = 'signup'",
@@ -49,7 +49,7 @@ FIXTURES: dict[str, str] = {
     "grants": "SELECT idx, node, server, first_id + CASE WHEN idx % 37 = 0 AND server = 3 THEN 1 ELSE 0 END AS first_id, last_id + CASE WHEN idx % 53 = 0 THEN 1 ELSE 0 END AS last_id, idx * 3 + server AS seq FROM (SELECT idx, node, CAST(sum(size) OVER (ORDER BY idx) AS BIGINT) - size + 1 AS first_id, CAST(sum(size) OVER (ORDER BY idx) AS BIGINT) AS last_id FROM {leases}) g, (SELECT CAST(r_regionkey + 1 AS BIGINT) AS server FROM {region} WHERE r_regionkey < 3) s",
     "replica_states": "SELECT range_id, node, CASE event_type WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'created' END AS what, seq FROM {trace} WHERE event_type IN ('error', 'signup')",
     "votes": "SELECT range_id, node, CAST(floor(seq / 97) AS BIGINT) AS term, (v % 2 = 0) AS granted, seq FROM {trace} WHERE event_type = 'purchase'",
-    "configs": "SELECT range_id, CAST(0 AS BIGINT) AS seq, 1 AS v1, 2 AS v2, 3 AS v3 FROM (SELECT DISTINCT range_id FROM {trace}) r UNION ALL SELECT range_id, max(seq) AS seq, 1 AS v1, 3 AS v2, 4 AS v3 FROM {appends} WHERE idx = 150 GROUP BY range_id",
+    "configs": "SELECT range_id, CAST(0 AS BIGINT) AS seq, 1 AS v1, 2 AS v2, 3 AS v3 FROM (SELECT DISTINCT range_id FROM {trace}) r UNION ALL SELECT range_id, max(seq) AS seq, 1 AS v1, 4 AS v2, CAST(3 + 2 * (range_id % 2) AS INT) AS v3 FROM {appends} WHERE idx = 150 GROUP BY range_id",
     "completions": "SELECT t, range_id, seq FROM {trace} WHERE event_type = 'purchase'",
     "outages": "SELECT t AS from_t, t + 7000000 AS until_t FROM {trace} WHERE seq % 50 = 10",
     "downs": "SELECT DISTINCT 1 + seq % 3 AS server, t AS down_t FROM {trace} WHERE seq % 400 = 123",

@@ -39,7 +39,7 @@ CHUNK_BYTES = 4 << 20
 #: Words remembered from chunk to chunk of a task; then the numbers start again.
 MAX_WORDS = 500_000
 LONG_PIECE = 512
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 NO_MERGE = "\uffff"
 
 
@@ -111,23 +111,26 @@ def fold_merges(parts: Column, ranks: Column, merges: dict[str, str]) -> Column:
     for pair, merged in merges.items():
         at = xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)
         buckets[at] = (buckets[at] or {}) | {pair: merged}
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")  # folded to a literal
+    table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")  # folded to a literal
 
-    def merged(pair: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), pair), F.lit(NO_MERGE))
+    def folded(table: Column) -> Column:
+        def merged(pair: Column) -> Column:
+            return F.coalesce(F.try_element_at(F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), pair), F.lit(NO_MERGE))
 
-    def step(s: Column, _: Column) -> Column:
-        def at(low: Column, i: Column) -> Column:
-            def around(p: Column) -> Column:
-                beside = F.concat(merged(F.substring(p, i - 1, F.lit(2))), merged(F.substring(p, i, F.lit(2))))
-                return F.struct(p.alias("p"), F.overlay(s["r"], beside, i - 1, F.lit(3)).alias("r"))
+        def step(s: Column, _: Column) -> Column:
+            def at(low: Column, i: Column) -> Column:
+                def around(p: Column) -> Column:
+                    beside = F.concat(merged(F.substring(p, i - 1, F.lit(2))), merged(F.substring(p, i, F.lit(2))))
+                    return F.struct(p.alias("p"), F.overlay(s["r"], beside, i - 1, F.lit(3)).alias("r"))
 
-            return _let(F.overlay(s["p"], low, i, F.lit(2)), around)
+                return _let(F.overlay(s["p"], low, i, F.lit(2)), around)
 
-        return _let(F.array_min(F.split(s["r"], "")), lambda low: F.when(low < F.lit(NO_MERGE), _let(F.call_function("instr", s["r"], low), lambda i: at(low, i))).otherwise(s))
+            return _let(F.array_min(F.split(s["r"], "")), lambda low: F.when(low < F.lit(NO_MERGE), _let(F.call_function("instr", s["r"], low), lambda i: at(low, i))).otherwise(s))
 
-    start = F.struct(parts.alias("p"), ranks.alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(parts) - 3, F.lit(1))), start, step, lambda s: s["p"])
+        start = F.struct(parts.alias("p"), ranks.alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(parts) - 3, F.lit(1))), start, step, lambda s: s["p"])
+
+    return _let(table, folded)  # named once: the plan holds the literal once
 
 
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:

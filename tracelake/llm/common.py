@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at once by the numpy kernels, whose temporaries are some 50 times as large.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -53,7 +53,20 @@ def fresh_name(stem: str, taken: list[str]) -> str:
     return stem
 
 
+#: Rows of an Arrow batch: at Spark's 10,000, texts of 100 KB make batches of 1 GB.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, unless they are smaller: whole texts go through them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -119,38 +119,37 @@ class Profiles:
         return out
 
 
-def _predicted(shared):
+def _predicted(shared, text_at: int, rest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
         for batch in batches:
-            names, scores = [], []
-            for _, _, texts in text_blocks(batch.column(1)):
-                far = profiles.distances(texts)
-                if not profiles.langs:
-                    names += [UNDETERMINED] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                best = far.argmin(axis=1)
-                near = np.sort(far, axis=1)[:, :2]
-                first, second = near[:, 0], near[:, 1] if near.shape[1] > 1 else np.ones(len(texts))
-                names += [profiles.langs[k] for k in best]
-                scores += np.where(first + second > 0, second / np.maximum(first + second, 1e-12), 0.5).tolist()
-            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            lang = [name if some else UNDETERMINED for name, some in zip(names, letters, strict=True)]
-            score = np.where(letters, np.array(scores, dtype=np.float64), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[3:], "lang_pred", "lang_score"])
+            for at, end, texts in text_blocks(batch.column(text_at)):
+                own = batch.slice(at, end - at)
+                letters = own.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                if profiles.langs:
+                    far = profiles.distances(texts)
+                    near = np.sort(far, axis=1)[:, :2]
+                    first, second = near[:, 0], near[:, 1] if near.shape[1] > 1 else np.ones(len(texts))
+                    best = far.argmin(axis=1)
+                    score = np.where(first + second > 0, second / np.maximum(first + second, 1e-12), 0.5)
+                else:
+                    letters, best, score = np.zeros(len(texts), bool), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+                lang = [profiles.langs[k] if some else UNDETERMINED for k, some in zip(best, letters, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.columns[rest:], pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*own.schema.names[rest:], "lang_pred", "lang_score"])
 
     return run
 
 
 def identify(df: DataFrame, profiles: pd.DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``df`` (all by default), with lang_pred and lang_score."""
+    """The columns ``keep`` of ``df`` (all by default), with lang_pred and lang_score. A kept text is sent to Python once."""
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "lang_score")]
     shared = df.sparkSession.sparkContext.broadcast(Profiles(profiles))
     text = F.col(text_col)
-    wide = df.select(F.lit(0).alias("_0"), text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+    own = [F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *([] if text_col in keep else [text.alias("_text")])]
+    wide = df.select(*own, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+    text_at = len(own) + keep.index(text_col) if text_col in keep else 1
     schema = ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = wide.mapInArrow(_predicted(shared), f"{schema}, lang_pred string, lang_score double")
+    out = wide.mapInArrow(_predicted(shared, text_at, len(own)), f"{schema}, lang_pred string, lang_score double")
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "lang_score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, langid, licenses, matroska, mixing, quality, sharding, simhash
-from .common import documents
+from .common import bound_batches, documents
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     told = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")

@@ -6,8 +6,8 @@ Its dual is convex with one multiplier a source, and w = min(limit, exp(multipli
 words)): exponentially tilted rates. Newton's iterations, kept inside a bracket, solve the dual;
 each is one distributed sum over the (source, words) histogram, in fixed point, so that the order
 of addition can't change a result. Rates are rounded to copies by carrying the error from document
-to document, largest first, inside hash chunks of bounded size: the words taken in a chunk then
-miss its rates' words by about its smallest document.
+to document, largest first, inside hash chunks of bounded size; what a chunk's words still miss at the
+end moves a few documents by one copy, so that a source's words come close to its target.
 
 Defined cases: a null text has no words; documents without words are taken zero times. Sources sort
 by code point, null last. Rows that share doc_id and size are told apart by nothing, and share the
@@ -141,6 +141,10 @@ def _rounded(state: dict[str | None, tuple[float, float]], limit: int):
                 carry += w * s
                 copies[k] = n = min(max(round(carry / s), math.floor(w)), math.ceil(w), limit)
                 carry -= n * s
+        for k, s in enumerate(size.tolist()):  # what is still missed goes to the largest documents that make it smaller
+            if s and 2 * abs(carry) > s and 0 <= copies[k] + (step := 1 if carry > 0 else -1) <= limit:
+                copies[k] += step
+                carry -= step * s
         return pdf.assign(copies=copies)[["doc_id", "source", "size", "copies"]]
 
     return run

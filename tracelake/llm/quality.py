@@ -169,14 +169,17 @@ def dual_coordinate_descent(samples: list[np.ndarray], labels: np.ndarray, scale
     return weights * scale, bias
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(scale, weights, bias) from ``rows`` (doc_id, text, label)."""
+def fit(rows: DataFrame, docs: DataFrame, known: DataFrame, max_rows: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(scale, weights, bias) from all ``rows`` (text, label), the labelled rows of ``docs`` (doc_id, text); ``known`` holds
+    the labels (doc_id, label). The sample is chosen by doc_id before any text is moved."""
     ratios, classes = log_count_ratios(rows)
     if not classes.all():
         share = classes[1] / classes.sum() if classes.sum() else 0.5
         return ratios, np.zeros(FEATURES), float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6)))) / SLOPE
-    sample = rows.select("label", "doc_id", "text").orderBy(F.xxhash64(F.lit(1), F.col("doc_id")), "doc_id", F.xxhash64("text")).limit(max_rows)
-    found = sample.select("text", "label").mapInArrow(_feature_lists, "label int, features binary").toPandas()  # max_rows rows at most
+    chosen = known.orderBy(F.xxhash64(F.lit(1), F.col("doc_id")), "doc_id").limit(max_rows)
+    sample = docs.join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
+    found = sample.select("text", "label").mapInArrow(_feature_lists, "label int, features binary").toPandas()  # as many, but for repeated doc_ids
+    found = found.sort_values(["label", "features"], ignore_index=True)  # the order of tasks doesn't matter
     labels = found["label"].to_numpy(np.int64)
     if len(np.unique(labels)) < 2:
         return ratios, np.zeros(FEATURES), float(np.log(classes[1] / classes[0])) / SLOPE
@@ -202,7 +205,7 @@ def quality_report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(F.when(F.col(label_col) > 0, 1.0).otherwise(0.0)) >= 0.5).cast("int").alias("label"))
     known = known.filter(~held_out(F.col("doc_id")))
     few = labels.count() <= BROADCAST_LABELS
-    scale, weights, bias = fit(rows.join(F.broadcast(known) if few else known, "doc_id"))
+    scale, weights, bias = fit(rows.join(F.broadcast(known) if few else known, "doc_id"), rows, known)
     shared = df.sparkSession.sparkContext.broadcast((scale, weights, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

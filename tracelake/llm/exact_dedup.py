@@ -99,7 +99,7 @@ def _merged(width: int):
 def repeated_filter(hashes: DataFrame, max_slots: int = MAX_SLOTS) -> tuple[np.ndarray, int]:
     """Pass one: the bits of the slots that two or more rows of ``hashes`` touch, and their number."""
     rows = hashes.count()
-    slots = 1 << min(max(rows * SLOTS_PER_ROW - 1, 1 << 15).bit_length(), max_slots.bit_length() - 1)
+    slots = 1 << max(7, min(max(rows * SLOTS_PER_ROW - 1, 1 << 15).bit_length(), max_slots.bit_length() - 1))  # whole bytes a block
     blocks = 1 << min(12, max(4, slots.bit_length() - 20))
     merged = hashes.select("sha").mapInArrow(_touched(slots, blocks), "block int, once binary, twice binary").groupBy("block").applyInPandas(_merged(slots // blocks), "block int, bits binary")
     bits = np.zeros(slots // 8, dtype=np.uint8)
@@ -136,6 +136,7 @@ def dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probed = _repeats(hashes, df.sparkSession.sparkContext.broadcast(bits), slots)
     alone = probed.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     rows, groups = _groups(probed.filter("maybe"))
+    groups = shared_checkpoint(groups)  # a plain table beside the join, so that Spark can split a hot text's rows
     copies = rows.join(groups, "sha").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     copies = copies.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "sha")
     return alone.unionByName(copies).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

@@ -39,7 +39,7 @@ CHUNK_BYTES = 4 << 20
 #: Words remembered from chunk to chunk of a task; then the numbers start again.
 MAX_WORDS = 500_000
 LONG_PIECE = 512
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 NO_MERGE = "\uffff"
 
 
@@ -128,7 +128,8 @@ def fold_merges(parts: Column, ranks: Column, merges: dict[str, str]) -> Column:
             return _let(F.array_min(F.split(s["r"], "")), lambda low: F.when(low < F.lit(NO_MERGE), _let(F.call_function("instr", s["r"], low), lambda i: at(low, i))).otherwise(s))
 
         start = F.struct(parts.alias("p"), ranks.alias("r"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(parts) - 3, F.lit(1))), start, step, lambda s: s["p"])
+        # a piece that is a token never comes here, so two tokens are left at least: bytes - 2 merges at most
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(parts) - 4, F.lit(1))), start, step, lambda s: s["p"])
 
     return _let(table, folded)  # named once: the plan holds the literal once
 

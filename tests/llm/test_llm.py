@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, chat, components, exact_dedup, langid, licenses, matroska, mixing, quality, queries, sharding, simhash
+from tracelake.llm import bpe, chat, components, exact_dedup, langid, licenses, matroska, mixing, near_copies, quality, queries, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 SPACES = rb"[^\x20\x09-\x0D]+"
@@ -514,3 +514,67 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, reference):
     assert max(Counter(r.doc_id for r in found).values()) <= 2
     for s, want in mixing.targets(dict(whole)).items():
         assert abs(taken[s] - float(want)) <= max(0.02 * float(want), 60)
+
+
+# near copies of the pipeline
+
+
+def slow_sets(texts: dict[int, str]) -> dict[int, set[bytes]]:
+    out = {}
+    for d, t in texts.items():
+        words = re.findall(SPACES, (t or "").encode().lower())
+        out[d] = {b" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    return out
+
+
+def slow_near_copies(texts: dict[int, str]) -> dict[int, int]:
+    sets = slow_sets(texts)
+    least = {d: d for d in texts}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or (5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and sets[a]))]
+    while True:
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least
+
+
+def edited(random, words: list[str], n: int) -> list[str]:
+    out = list(words)
+    for k in random.choice(len(out), n, replace=False):
+        out[k] = f"new{random.integers(1 << 40)}"
+    return out
+
+
+@pytest.mark.parametrize(("small", "block"), [(16, 256), (2, 3)])
+def test_near_copies_equal_brute_force_at_jaccard(spark, small, block):
+    random = np.random.default_rng(8)
+    texts = [None, "", " \n", "a b", "A  b", "a b c"]
+    for g in range(6):
+        base = [f"w{g}x{random.integers(1 << 30)}" for _ in range(150)]
+        texts += [" ".join(edited(random, base, n)) for n in (0, 1, 2, 2, 3, 5, 9, 30)]
+    base = [f"hot{k}" for k in range(200)]
+    texts += [" ".join(edited(random, base, n)) for n in (1, 2, 3, 4, 6) for _ in range(8)]
+    docs = docs_of(spark, texts)
+    found = {r.doc_id: r.component_id for r in near_copies.near_duplicates(docs, small=small, block=block).collect()}
+    want = slow_near_copies(dict(enumerate(texts)))
+    assert found == want and 6 < len(set(want.values())) < len(texts)
+
+
+def test_the_pipeline_drops_near_copies_beyond_three_bits(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    random = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    docs = docs_of(spark, [" ".join(base), " ".join(edited(random, base, 2)), " ".join(edited(random, base, 12))])
+    assert slow_components({r.doc_id: slow_fingerprint(r.text) for r in docs.collect()}) == {0: 0, 1: 1, 2: 2}
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()) == [0, 2]
+    again = docs_of(spark, [BASE, BASE, "other text here today", None, "", BASE, "y z w", "y z w q r s t"], [5, 4, 7, 9, 8, 4, 7, None])
+    kept = Counter(r.doc_id for r in corpus_pipeline.near(spark, again, SF).collect())
+    assert kept in (Counter([None, 4, 7, 8]), Counter([None, 4, 7, 7, 8]))
+
+
+def test_pipeline_near_stage_equals_brute_force_at_jaccard(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = corpus_pipeline.exact(spark, corpus_pipeline.language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF)
+    comps = slow_near_copies({r.doc_id: r.text for r in docs.collect()})
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()) == sorted(d for d, c in comps.items() if c == d)

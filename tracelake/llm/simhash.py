@@ -19,7 +19,7 @@ is the smallest non-null doc_id. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -187,13 +187,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(placed.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def _with_fingerprint(df: DataFrame, text_col: str, name: str, words: int) -> DataFrame:
+def _with_fingerprint(df: DataFrame, text_col: str, name: str, of: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, texts in text_blocks(batch.column(at)):
-                fp = pa.array(fingerprints(texts, words).view(np.int64), pa.int64())
+                fp = pa.array(of(texts).view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns), fp], [*batch.schema.names, name])
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` long"]))
@@ -205,13 +205,18 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Rows are known by doc_id. Where several share one, they are known by fingerprint as well, and one
     of each component stays. Rows without doc_id stay.
     """
+    return kept_rows(df, near_duplicates(df, id_col, text_col, words, max_bits), id_col, text_col, lambda texts: fingerprints(texts, words))
+
+
+def kept_rows(df: DataFrame, report: DataFrame, id_col: str, text_col: str, of: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` that stay by its ``report`` (doc_id, fp, component_id), whose fingerprints are ``of`` the texts."""
     odd_id, fp, odd_fp = (fresh_name(c, df.columns) for c in ("odd_id", "fp", "odd_fp"))
-    report = shared_checkpoint(near_duplicates(df, id_col, text_col, words, max_bits))
+    report = shared_checkpoint(report)
     lost = F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))
     ids = report.filter("doc_id is not null").groupBy(F.col("doc_id").alias(odd_id)).agg(F.count(F.lit(1)).alias("n"), F.max(lost).alias("lost"))
     out, many = ids.filter("lost or n > 1").select(odd_id), ids.filter("n > 1").select(odd_id)
     plain = df.join(out, df[id_col] == out[odd_id], "left_anti")
-    shared = _with_fingerprint(df.join(many, df[id_col] == many[odd_id], "left_semi"), text_col, fp, words)
+    shared = _with_fingerprint(df.join(many, df[id_col] == many[odd_id], "left_semi"), text_col, fp, of)
     first = report.filter(~lost).groupBy(F.col("doc_id").alias(odd_id)).agg(F.min("fp").alias(odd_fp))
     again = shared.join(first, (shared[id_col] == first[odd_id]) & (shared[fp] == first[odd_fp]), "left_semi").dropDuplicates([id_col])
     return plain.unionByName(again.drop(fp)).select(*df.columns)

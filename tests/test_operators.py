@@ -279,3 +279,17 @@ def test_trace_lines_round_trip(spark, tmp_path):
     jsonl.write_trace(lines, str(tmp_path / "out"))
     assert sorted(map(str, jsonl.read_trace(spark, str(tmp_path / "out")).collect())) == sorted(map(str, lines.collect()))
     assert jsonl.header(spark, str(path)).count() == 1
+
+
+def test_registers_cover_every_event_and_wrong_reads_are_violations(spark):
+    from tracelake.plans import measure_queries
+
+    sf = "/root/testdata/sf0.01"
+    history = measure_queries._registers(spark, sf).cache()
+    assert history.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+    wrong = {r.key for r in history.filter(f"known and result = {measure_queries.WRONG}").select("key").distinct().collect()}
+    flipped = {r.key for r in history.filter("known and op = 'cas' and pseq % 307 = 5").select("key").distinct().collect()}
+    status = {r.key: r.status for r in measure_queries.lin_verdict(spark, sf).collect()}
+    assert wrong and {status[k] for k in wrong} <= {"violation", "exhausted"} and "violation" in {status[k] for k in wrong}
+    rest = {k: s for k, s in status.items() if k not in wrong | flipped}
+    assert rest and set(rest.values()) <= {"ok", "exhausted"} and "ok" in rest.values()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,7 +159,7 @@ def m_catch_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations on registers: calls from the trace, returns made by a register, some late and some lost."""
+    """Operations on registers: calls from the trace, returns of puts and deletes, some late and some lost."""
     rows = fixture(spark, sf_dir, "history")
     invokes = rows.select("process", "pseq", "key", "op", (F.col("seq") % 7).alias("value"), F.when(F.col("seq") % 2 == 0, F.col("seq") % 7).alias("expect"), (F.col("seq") * 10).alias("t"), "seq")
     proposals = rows.filter("seq % 13 <> 0").select("process", "pseq", F.lit(1).alias("range_id"), F.col("seq").alias("idx"), F.lit(1).alias("term"))
@@ -176,11 +177,50 @@ def lin_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(spark, sf_dir).select("process", "pseq", "key", "op", "call", "ret", "known", "fate")
 
 
+WRONG = 100
+
+
+def _registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as an operation on the register of its user, applied in order of seq, with the result it had.
+
+    Some are never proposed, never applied or refused, and some returns are lost. Answers come up to 4000
+    steps late, so operations overlap. A few are wrong on purpose: a get returns WRONG, a cas the opposite.
+    """
+    rows = fixture(spark, sf_dir, "trace").selectExpr(
+        "CAST(user_id % 25 AS BIGINT) AS process", "seq AS pseq", "lpad(CAST(user_id AS STRING), 12, '0') AS key", "seq % 7 AS value", "IF(seq % 2 = 0, v % 7, NULL) AS expect", "seq",
+        "CASE event_type WHEN 'click' THEN 'put' WHEN 'purchase' THEN 'cas' WHEN 'error' THEN 'delete' ELSE 'get' END AS op", "seq % 13 <> 0 AS proposed", "seq % 17 <> 0 AS applied", "seq % 19 = 0 AS refused",
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, results, swaps = None, [], []
+        pdf = pdf.sort_values("seq")
+        for r in pdf.itertuples():
+            expect = None if pd.isna(r.expect) else int(r.expect)
+            went = r.proposed and r.applied and not r.refused
+            swaps.append(held == expect if went and r.op == "cas" else None)
+            results.append(held if went and r.op == "get" else None)
+            if went:
+                held = lin.run_register((r.op, int(r.value), expect, False, None, None), held)[1]
+        return pdf.assign(result=pd.array(results, "Int64"), swapped=pd.array(swaps, "boolean"), expect=pdf["expect"].astype("Int64"))
+
+    schema = "process long, pseq long, key string, value long, expect long, seq long, op string, proposed boolean, applied boolean, refused boolean, result long, swapped boolean"
+    ran = rows.groupBy("key").applyInPandas(run, schema)
+    place = [F.lit(1).alias("range_id"), F.col("seq").alias("idx"), F.lit(1).alias("term")]
+    invokes = ran.select("process", "pseq", "key", "op", "value", "expect", (F.col("seq") * 10).alias("t"), "seq")
+    proposals = ran.filter("proposed").select("process", "pseq", *place)
+    applies = ran.filter("applied").select(*place, F.when(F.col("refused"), "refused").otherwise("applied").alias("effect"), (F.col("seq") * 10 + 5).alias("t"), "seq")
+    result = F.when((F.col("op") == "get") & (F.col("seq") % 211 == 7), F.lit(WRONG).cast("long")).otherwise(F.col("result"))
+    swapped = F.when(F.col("seq") % 307 == 5, ~F.col("swapped")).otherwise(F.col("swapped"))
+    late = F.col("seq") * 10 + 9 + F.col("seq") % 11 * 400
+    returns = ran.filter("seq % 5 <> 0 and proposed and applied and not refused").select("process", "pseq", result.alias("result"), swapped.alias("swapped"), late.alias("t"), "seq")
+    return lin.build_history(invokes, returns, proposals, applies)
+
+
 @query()
 def lin_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lin.verdicts(_history(spark, sf_dir))
+    return lin.verdicts(_registers(spark, sf_dir))
 
 
 @query()
 def lin_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lin.timeline(_history(spark, sf_dir))
+    return lin.timeline(_registers(spark, sf_dir))

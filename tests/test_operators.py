@@ -293,3 +293,29 @@ def test_registers_cover_every_event_and_wrong_reads_are_violations(spark):
     assert wrong and {status[k] for k in wrong} <= {"violation", "exhausted"} and "violation" in {status[k] for k in wrong}
     rest = {k: s for k, s in status.items() if k not in wrong | flipped}
     assert rest and set(rest.values()) <= {"ok", "exhausted"} and "ok" in rest.values()
+
+
+def test_id_blocks_of_every_lineitem_row_take_several_tasks(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey").collect()
+    sizes = [int(r.l_linenumber) for r in sorted(lines)]
+    leases = spark.createDataFrame([(k + 1, k % 5, n) for k, n in enumerate(sizes)], "idx long, node long, size long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = ranges.id_blocks(leases).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    upto = 0
+    want = {}
+    for k, n in enumerate(sizes):
+        want[k + 1] = (upto + 1, upto + n)
+        upto += n
+    assert {r.idx: (r.first_id, r.last_id) for r in found} == want and len(found) == len(lines) == 60_000
+    assert len({r.task for r in found}) > 1
+    grants = spark.createDataFrame([(i, a, b + (1 if i % 10_007 == 0 else 0), i) for i, (a, b) in want.items()], "idx long, first_id long, last_id long, seq long")
+    bad = {(r.idx, r.what) for r in checks.ids_unique(grants).collect()}
+    reach, over = 0, set()
+    for i, (a, b) in want.items():
+        if a <= reach:
+            over.add((i, "overlap"))
+        reach = max(reach, b + (1 if i % 10_007 == 0 else 0))
+    assert bad == over and over

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,3 +61,25 @@ def gaps_and_overlaps(spans: DataFrame, by: list[str], order: Column | str = "st
     least = F.least("reach", "start")
     most = F.when(F.col("kind") == "gap", F.col("start")).otherwise(F.least("reach", "stop"))
     return found.filter("kind is not null").select(*by, "kind", least.alias("from_key"), most.alias("until_key"))
+
+
+#: Rows of one counter that a task takes at a time, on average.
+RUN_ROWS = 10_000
+
+
+def running(df: DataFrame, order: list[str], value: str, fold: Callable[[str], Column], join: Callable[[Column, Column], Column], before: bool, name: str, rows: int = RUN_ROWS) -> DataFrame:
+    """``df`` with the running ``fold`` (F.sum, F.max) of ``value`` in ``order``, over the rows up to each or only those before it.
+
+    The first column of ``order`` is a number: its range is cut evenly, each part has its own window, and what
+    the parts before it come to is joined as an offset (``join`` of offset and own), so no task takes all rows.
+    """
+    x = F.col(order[0]).cast("double")
+    ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
+    width = (F.col("_hi") - F.col("_lo") + 1) / F.col("_parts")
+    dealt = df.crossJoin(F.broadcast(ends)).withColumn("_part", F.coalesce(F.floor((x - F.col("_lo")) / width), F.lit(-1))).drop("_lo", "_hi", "_parts")  # one row
+    own = Window.partitionBy("_part").orderBy(*order)
+    own = own.rowsBetween(Window.unboundedPreceding, -1) if before else own.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = dealt.groupBy("_part").agg(fold(value).alias("_whole"))
+    offsets = offsets.select("_part", fold("_whole").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"))  # a row a part
+    out = dealt.withColumn("_own", fold(value).over(own)).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, F.coalesce(join(F.col("_offset"), F.col("_own")), "_offset", "_own")).drop("_part", "_own", "_offset")

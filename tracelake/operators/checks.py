@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of, bucket_width
+from ..functions.intervals import as_of, bucket_width, running
 from ..functions.scalar import joint_majority
 
 #: Fixed value: the order in which the checks of one trace are judged.
@@ -217,8 +217,8 @@ def ids_unique(grants: DataFrame) -> DataFrame:
     """Id blocks that are empty, overlap an earlier block, or that another replica applied otherwise at the same index."""
     firsts = grants.groupBy("idx").agg(F.min_by(F.struct("first_id", "last_id", "seq"), "seq").alias("g")).select("idx", "g.first_id", "g.last_id", "g.seq")
     empty = firsts.filter("first_id > last_id").select("idx", F.lit("empty").alias("what"), "seq")
-    reach = F.max("last_id").over(Window.orderBy("first_id", "idx").rowsBetween(Window.unboundedPreceding, -1))  # the blocks of one counter
-    overlap = firsts.withColumn("reach", reach).filter("first_id <= reach").select("idx", F.lit("overlap").alias("what"), "seq")
+    reached = running(firsts, ["first_id", "idx"], "last_id", F.max, F.greatest, before=True, name="reach")
+    overlap = reached.filter("first_id <= reach").select("idx", F.lit("overlap").alias("what"), "seq")
     other = grants.alias("g").join(firsts.alias("f"), "idx").filter("g.first_id <> f.first_id or g.last_id <> f.last_id").groupBy("idx").agg(F.min("g.seq").alias("seq")).select("idx", F.lit("replicas differ").alias("what"), "seq")
     return empty.unionByName(overlap).unionByName(other)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of, bucket_width
+from ..functions.intervals import as_of, bucket_width, running
 
 
 def contains(key: Column, start: Column, stop: Column) -> Column:
@@ -131,8 +131,8 @@ def split_lineage(splits: DataFrame, descriptors: DataFrame) -> DataFrame:
 
 def id_blocks(leases: DataFrame) -> DataFrame:
     """Disjoint blocks (first_id, last_id) from a counter that rises by each lease's size, in index order."""
-    upto = F.sum("size").over(Window.orderBy("idx"))  # the lease log of one counter
-    return leases.select("idx", "node", (upto - F.col("size") + 1).alias("first_id"), upto.alias("last_id"))
+    upto = running(leases.select("idx", "node", "size"), ["idx"], "size", F.sum, lambda a, b: a + b, before=False, name="upto")
+    return upto.select("idx", "node", (F.col("upto") - F.col("size") + 1).alias("first_id"), F.col("upto").alias("last_id"))
 
 
 def in_force(places: DataFrame, values: DataFrame, inclusive: bool) -> DataFrame:

@@ -578,3 +578,12 @@ def test_pipeline_near_stage_equals_brute_force_at_jaccard(spark):
     docs = corpus_pipeline.exact(spark, corpus_pipeline.language(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF), SF)
     comps = slow_near_copies({r.doc_id: r.text for r in docs.collect()})
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()) == sorted(d for d, c in comps.items() if c == d)
+
+
+def test_language_ranks_counts_beyond_the_packed_key():
+    import pandas as pd
+
+    learned = pd.DataFrame([("xx", 1 << 24 | ord("b"), 0)], columns=["lang", "code", "rank"])
+    text = b"a " * ((1 << 20) + 50) + b"b " * ((1 << 20) + 90)
+    found = langid.Profiles(learned).distances([text, b"a b b"])
+    assert found[:, 0].tolist() == pytest.approx([7 / 8, 7 / 8])

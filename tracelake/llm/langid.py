@@ -101,11 +101,15 @@ class Profiles:
         text, code = ngrams(texts)
         keys, n = counted(text << CODE_BITS | code)
         mask = (1 << CODE_BITS) - 1
-        rarity = (1 << COUNT_BITS) - 1 - np.minimum(n, (1 << COUNT_BITS) - 1)
-        order = np.sort(keys >> CODE_BITS << CODE_BITS + COUNT_BITS | rarity << CODE_BITS | keys & mask)
-        text, code = order >> CODE_BITS + COUNT_BITS, order & mask
+        if n.max(initial=0) < 1 << COUNT_BITS:
+            rarity = (1 << COUNT_BITS) - 1 - n
+            order = np.sort(keys >> CODE_BITS << CODE_BITS + COUNT_BITS | rarity << CODE_BITS | keys & mask)
+            text, code = order >> CODE_BITS + COUNT_BITS, order & mask
+        else:  # counts of a text of many MB don't fit the key
+            keys = keys[np.lexsort((keys & mask, -n, keys >> CODE_BITS))]
+            text, code = keys >> CODE_BITS, keys & mask
         heads = np.searchsorted(text, np.arange(len(texts) + 1))
-        rank = np.arange(len(order)) - heads[:-1][text]
+        rank = np.arange(len(code)) - heads[:-1][text]
         top = rank < PROFILE_SIZE
         text, code, rank = text[top], code[top], rank[top]
         at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))

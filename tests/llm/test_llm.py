@@ -9,10 +9,12 @@ import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -410,7 +412,7 @@ def reference():
 
 @pytest.mark.parametrize("limits", [None, (200, 40, 30)])
 def test_bpe_equals_the_library(spark, odd, reference, monkeypatch, limits):
-    if limits:  # many chunks, words forgotten between them, and the heap for most words
+    if limits:  # many chunks, words forgotten between them, and the heap for long words
         monkeypatch.setattr(bpe, "CHUNK_BYTES", limits[0])
         monkeypatch.setattr(bpe, "MAX_WORDS", limits[1])
         monkeypatch.setattr(bpe, "LONG_PIECE", limits[2])
@@ -425,30 +427,70 @@ def test_bpe_equals_the_library(spark, odd, reference, monkeypatch, limits):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
-def test_chunks_in_one_worker(reference):
+def test_chunks_in_one_worker(reference, monkeypatch):
     """The Python sides without Spark, with the fold replaced by the library: chunk bounds and forgotten words."""
     import pyarrow as pa
 
-    tokens = bpe.load_ranks(open(RANKS, "rb").read().splitlines())
+    vocabulary = bpe.load_vocabulary(RANKS)
+    shared = SimpleNamespace(value=vocabulary)
     texts = [f"zzqx{k} vvbn{k % 7} thouherion{k}" for k in range(50)]
     batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts)], ["doc_id", "text"])
-    ranks = {t: k for k, t in enumerate(tokens)}
-    back = {ord(bpe.token_char(ranks[bytes([b])])): chr(b) for b in range(256)}
+    back = {c: chr(b) for b, c in enumerate(vocabulary.chars.tolist())}
 
     def fold(part):
-        words = [None if w is None else "^" + "".join(bpe.token_char(i) for i in reference._core_bpe.encode_single_piece(w[1:-1].translate(back).encode("latin-1"))) + "$" for w in part.column(2).to_pylist()]
+        words = [None if w is None else "".join(bpe.token_char(i) for i in reference._core_bpe.encode_single_piece(w.translate(back).encode("latin-1"))) for w in part.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.string()), part.column(3), part.column(4)], part.schema.names)
 
-    kept = bpe.CHUNK_BYTES, bpe.MAX_WORDS
-    try:
-        bpe.CHUNK_BYTES, bpe.MAX_WORDS = 1, len(tokens) + 30
-        batches = [batch.slice(k, 5) for k in range(0, 50, 5)]
-        out = [r for b in bpe._gathered(tokens)(map(fold, bpe._cut(tokens, public_tokenizers.PATTERN)(iter(batches)))) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    finally:
-        bpe.CHUNK_BYTES, bpe.MAX_WORDS = kept
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 30)
+    batches = [batch.slice(k, 5) for k in range(0, 50, 5)]
+    out = [r for b in bpe._gathered(shared)(map(fold, bpe._cut(shared, public_tokenizers.PATTERN)(iter(batches)))) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
     assert dict(out) == {k: reference.encode_ordinary(t) for k, t in enumerate(texts)}
 
 
+def test_merges_of_words_are_the_tokens_inside_them():
+    vocabulary = bpe.load_vocabulary(RANKS)
+    words = [b"thouherion", b"", b"a", b"\xc3\xa9\xff\x00", b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", bytes(range(256))]
+    found = vocabulary.trie.merges(words).to_pylist()
+    assert found == [sorted({vocabulary.ranks[w[i:j]] for i in range(len(w)) for j in range(i + 2, len(w) + 1) if w[i:j] in vocabulary.ranks}) for w in words]
+    assert vocabulary.trie.merges([]).to_pylist() == []
+
+
+def test_ranks_that_merges_cannot_make_are_refused():
+    bytes_only = [bytes([b]) for b in range(256)]
+    assert bpe.merge_pairs([*bytes_only, b"ab", b"abc"])[-2:] == [(97, 98), (256, 99)]
+    with pytest.raises(ValueError, match="isn't made by merges"):
+        bpe.merge_pairs([*bytes_only, b"abc", b"ab"])
+
+
+OTHER_PATTERN = r"""(?i:'s|'t)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+"""
+
+
+def test_bpe_with_another_pattern(spark):
+    vocabulary = bpe.load_vocabulary(RANKS)
+    other = tiktoken.Encoding("other", pat_str=OTHER_PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    texts = ["Hello, world's (ok) 1234 x", "naïve — \n\n 'T", "中文 abc"]
+    found = {r.doc_id: list(r.token_ids) for r in bpe.encode(docs_of(spark, texts), RANKS, OTHER_PATTERN).collect()}
+    assert found == {k: other.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
+def test_quick_cuts_equal_the_pattern():
+    random = np.random.default_rng(5)
+    whole = regex.compile(public_tokenizers.PATTERN).findall
+    pool = [chr(c) for c in range(256)] + list(" '  \n\n''ssttrevemlld  aé1²") * 6
+    for _ in range(400):
+        text = "".join(random.choice(pool, 80))
+        assert bpe.splitter(public_tokenizers.PATTERN)(text) == whole(text)
+    assert public_tokenizers.PATTERN == bpe.COMMON_PATTERN
+
+
+def test_bytes_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62' AS string) AS text UNION ALL SELECT 2L, cast(X'C3' AS string)")
+    found = {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()}
+    assert found == {1: "a\ufffdb".encode(), 2: "\ufffd".encode()}
+    assert bpe.encode_digest(docs, RANKS, public_tokenizers.PATTERN).count() == 2
+
+
 def test_heap_merges_equal_the_library(reference):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     random = np.random.default_rng(9)

@@ -2,18 +2,22 @@
 
 Texts are cut into pieces by the vocabulary's pattern. A piece that is a token stands for itself; a
 task's other distinct pieces go to the JVM once, after each CHUNK_BYTES of text, where ``aggregate``
-folds merges over them. Its state is a string with one character per token so far (one per byte at
-first), and one with a character per adjacent pair for the rank of its merge, found in a literal map
-from pairs of tokens to the merged token, whose id is its rank. Each step merges the leftmost pair of
-the least rank. Then each text's ids are gathered by piece number. Nothing shuffles, and a lost task is
-simply run again.
+folds merges over them. Its state is the word's byte array as a string of one character per token (one
+per byte at first). It runs over the merges that the word's bytes can make, in order of rank, and each
+replaces its pair of characters, looked up in a literal map from rank to pair, by the merged token's.
+
+That order is the library's, which merges the leftmost pair of the least rank each time: where every
+token is itself made by merges of lesser ranks from its own bytes (load_vocabulary checks it), its parts
+at its rank are one known pair, and no merge makes room for one of lesser rank. Which merges a word's
+bytes can make is read from a trie of the tokens. Then each text's ids are gathered by piece number.
+Nothing shuffles, and a lost task is simply run again.
 
 Pieces over LONG_PIECE bytes, whose fold would take quadratic time, are merged by the same rule with a
 heap. Decoding concatenates the tokens' bytes.
 
-Defined cases: a null text is empty and has no tokens; special tokens have no meaning in a text;
-repeated rows and ties give equal results; an empty table gives an empty result. Other columns play
-no part.
+Defined cases: a null text is empty and has no tokens; special tokens have no meaning in a text; bytes
+that aren't UTF-8 are read as U+FFFD; a text of any length is encoded whole; repeated rows and ties give
+equal results; an empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ import base64
 import functools
 import hashlib
 import heapq
-import json
 import re
 from collections.abc import Iterator
 
@@ -31,16 +34,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from .common import text_blocks
 
 CHUNK_BYTES = 4 << 20
 #: Words remembered from chunk to chunk of a task; then the numbers start again.
-MAX_WORDS = 500_000
-LONG_PIECE = 512
-BUCKETS = 1 << 16
-NO_MERGE = "\uffff"
+MAX_WORDS = 400_000
+LONG_PIECE = 4096
 
 
 def load_ranks(lines: list[bytes]) -> list[bytes]:
@@ -57,81 +57,103 @@ def token_char(token: int) -> str:
     return chr(0x100 + token if token < 0xD700 else 0x900 + token)
 
 
-def char_token(char: str) -> int:
-    code = ord(char)
-    return code - 0x100 if code < 0xD800 else code - 0x900
-
-
-def pair_map(tokens: list[bytes]) -> dict[str, str]:
-    """Characters of two adjacent tokens -> that of the token they merge to."""
-    ranks = {token: k for k, token in enumerate(tokens)}
-    return {token_char(ranks[t[:j]]) + token_char(ranks[t[j:]]): token_char(k) for k, t in enumerate(tokens) for j in range(1, len(t)) if t[:j] in ranks and t[j:] in ranks}
-
+def merge_pairs(tokens: list[bytes]) -> list[tuple[int, int] | None]:
+    """The two tokens that each token is made of when its rank's turn comes; None for single bytes."""
+    ranks, out = {token: k for k, token in enumerate(tokens)}, []
+    for k, token in enumerate(tokens):
+        parts = [token[j : j + 1] for j in range(len(token))]
+        while len(parts) > 2:
+            least, at = min(((ranks.get(parts[j] + parts[j + 1], k), j) for j in range(len(parts) - 1)))
+            if least >= k:
+                raise ValueError(f"token {k} isn't made by merges of lesser ranks")
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        out.append((ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None)
+    return out
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
 
+class TokenTrie:
+    """The tokens' bytes as a trie in two arrays: from node k, byte b leads to node base[k] + b if parent[base[k] + b] is k."""
 
-def _strings(codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """UTF-16 units (no surrogates), cut into strings of these lengths."""
-    bytes_of = 1 + (codes >= 0x80) + (codes >= 0x800)
-    ends = np.r_[0, np.cumsum(bytes_of)][np.r_[0, np.cumsum(lengths)]].astype(np.int32)
-    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(codes.tobytes().decode("utf-16-le").encode()))
-
+    def __init__(self, tokens: list[bytes]) -> None:
+        below: dict[bytes, set[int]] = {}
+        for token in tokens:
+            for j in range(len(token)):
+                below.setdefault(token[:j], set()).add(token[j])
+        size = 2 * sum(map(len, below.values())) + 4096
+        used, base, parent, node_of, first = bytearray(size), np.zeros(size, np.int32), np.full(size, -1, np.int32), {b"": 0}, {}
+        used[0] = 1
+        for prefix in sorted(below, key=lambda p: (len(p), -len(below[p]))):
+            node, steps = node_of[prefix], sorted(below[prefix])
+            at = first.get(len(steps), 1)  # nodes of fewer steps may still fit before it
+            while any(used[at + b] for b in steps):
+                at += 1
+                if at + 256 >= len(used):
+                    used, base, parent = used + bytes(size), np.r_[base, np.zeros(size, np.int32)], np.r_[parent, np.full(size, -1, np.int32)]
+            first[len(steps)], base[node] = at, at
+            for b in steps:
+                used[at + b], parent[at + b], node_of[prefix + bytes([b])] = 1, node, at + b
+        room = int(base.max()) + 258
+        self.base, self.parent, self.token = base[:room], parent[:room], np.full(room, -1, np.int32)
+        for k, token in enumerate(tokens):
+            self.token[node_of[token]] = k
+
+    def merges(self, words: list[bytes]) -> pa.ListArray:
+        """For each word the tokens of two bytes and more that stand anywhere in it, in order of rank, each once."""
+        n = np.array([len(w) for w in words], np.int64) + 1
+        data = np.full(int(n.sum()) + 1, 256, np.int32)  # 256, which no step takes, ends each word
+        ends, word = np.cumsum(n) - 1, np.repeat(np.arange(len(words), dtype=np.int64), n)
+        inside = np.ones(len(data), bool)
+        inside[ends] = inside[-1] = False
+        data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        at = np.flatnonzero(inside)
+        node, depth, found = self.base[0] + data[at], 1, []
+        while len(at):
+            step = self.base[node] + data[at + depth]
+            on = self.parent[step] == node
+            at, node, depth = at[on], step[on], depth + 1
+            token = self.token[node]
+            hit = token >= 0
+            found.append(word[at[hit]] << 16 | token[hit])
+        keys = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+        cuts = np.searchsorted(keys, np.arange(len(words) + 1, dtype=np.int64) << 16)
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((keys & 0xFFFF).astype(np.int32)))
+
+
+class Vocabulary:
+    """The tokens of a rank file by id, the pairs they are merged from, and what cuts and decodes need."""
+
+    def __init__(self, data: bytes) -> None:
+        self.tokens = load_ranks(data.splitlines())
+        self.pairs = merge_pairs(self.tokens)
+        self.trie = TokenTrie(self.tokens)
+        self.ranks = {token: k for k, token in enumerate(self.tokens)}
+        self.chars = np.array([ord(token_char(self.ranks[bytes([b])])) for b in range(256)], "<u2")
+
+    def starts(self, words: list[bytes]) -> pa.Array:
+        """The fold's first state of words: a character for each byte."""
+        codes = self.chars[np.frombuffer(b"".join(words), np.uint8)]
+        width = 1 + (codes >= 0x80) + (codes >= 0x800)
+        cuts = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
+        ends = np.r_[0, np.cumsum(width)][cuts].astype(np.int32)
+        return pa.StringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(codes.tobytes().decode("utf-16-le").encode()))
+
+
+_vocabulary = functools.lru_cache(maxsize=2)(Vocabulary)
+
+
+def load_vocabulary(rank_path: str) -> Vocabulary:
+    """The vocabulary of a rank file. Raises ValueError if its tokens aren't made by merges in order of rank."""
+    with open(rank_path, "rb") as file:
+        return _vocabulary(file.read())
 
-class StartStates:
-    """Makes the fold's first state of words: each word's characters between the marks ^ and $, and a character
-    per adjacent pair: what it merges to, or NO_MERGE."""
 
-    def __init__(self, tokens: list[bytes]) -> None:
-        ranks = {token: k for k, token in enumerate(tokens)}
-        self.chars = np.array([ord(token_char(ranks[bytes([b])])) for b in range(256)], "<u2")
-        self.pairs = np.full(1 << 16, ord(NO_MERGE), "<u2")
-        for token, k in ranks.items():
-            if len(token) == 2:
-                self.pairs[token[0] << 8 | token[1]] = ord(token_char(k))
-
-    def __call__(self, words: list[bytes]) -> tuple[pa.Array, pa.Array]:
-        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
-        n = np.array([len(w) for w in words], np.int64)
-        word = np.repeat(np.arange(len(words)), n)
-        first = np.cumsum(n) - n
-        at = np.arange(len(data))
-        p, r = np.full(len(data) + 2 * len(words), ord("^"), "<u2"), np.full(len(data) + len(words), ord(NO_MERGE), "<u2")
-        p[np.cumsum(n + 2) - 1] = ord("$")
-        p[at + 2 * word + 1] = self.chars[data]
-        inner = at[at > first[word]]
-        r[inner + word[inner]] = self.pairs[data[inner - 1] << 8 | data[inner]]
-        return _strings(p, n + 2), _strings(r, n + 1)
-
-
-def fold_merges(parts: Column, ranks: Column, merges: dict[str, str]) -> Column:
-    """The merged form of a word, between the marks, from its StartStates: the marks merge with nothing, so every pair has neighbours."""
-    buckets: list[dict[str, str] | None] = [None] * BUCKETS
-    for pair, merged in merges.items():
-        at = xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)
-        buckets[at] = (buckets[at] or {}) | {pair: merged}
-    table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")  # folded to a literal
-
-    def folded(table: Column) -> Column:
-        def merged(pair: Column) -> Column:
-            return F.coalesce(F.try_element_at(F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), pair), F.lit(NO_MERGE))
-
-        def step(s: Column, _: Column) -> Column:
-            def at(low: Column, i: Column) -> Column:
-                def around(p: Column) -> Column:
-                    beside = F.concat(merged(F.substring(p, i - 1, F.lit(2))), merged(F.substring(p, i, F.lit(2))))
-                    return F.struct(p.alias("p"), F.overlay(s["r"], beside, i - 1, F.lit(3)).alias("r"))
-
-                return _let(F.overlay(s["p"], low, i, F.lit(2)), around)
-
-            return _let(F.array_min(F.split(s["r"], "")), lambda low: F.when(low < F.lit(NO_MERGE), _let(F.call_function("instr", s["r"], low), lambda i: at(low, i))).otherwise(s))
-
-        start = F.struct(parts.alias("p"), ranks.alias("r"))
-        # a piece that is a token never comes here, so two tokens are left at least: bytes - 2 merges at most
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(parts) - 4, F.lit(1))), start, step, lambda s: s["p"])
-
-    return _let(table, folded)  # named once: the plan holds the literal once
+def fold_merges(word: Column, merges: Column, pairs: list[tuple[int, int] | None]) -> Column:
+    """The merged form of a word, a character a token: its bytes' characters, after its ``merges`` in their order."""
+    # split() of a literal is folded to a literal array, so the plan holds each table once
+    pair = F.split(F.lit(" ".join("-" if p is None else token_char(p[0]) + token_char(p[1]) for p in pairs)), " ")
+    merged = F.split(F.lit(" ".join(map(token_char, range(len(pairs))))), " ")
+    return F.aggregate(merges, word, lambda state, k: F.replace(state, F.get(pair, k), F.get(merged, k)))
 
 
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -154,21 +176,29 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-LATIN_NUMBERS = "0-9²³¹¼-¾"
+#: The pattern of byte-level vocabularies, and one that cuts texts of Latin-1 alone in the same way, only quicker.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN, LATIN_NUMBERS, LATIN_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+LATIN_PATTERN = f" ?[{LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_SPACES}{LATIN}{LATIN_NUMBERS}]+|[{LATIN_SPACES}]+(?![^{LATIN_SPACES}])|[{LATIN_SPACES}]+"
 
 
 @functools.cache
 def splitter(pattern: str):
-    """A function that cuts a text into pieces; texts of Latin-1 letters alone take a quicker pattern of the same meaning."""
-    whole = regex.compile(pattern).findall
-    spaces = r"\t-\r \x85\xa0"
-    if r"\p{L}" not in pattern:
-        return whole
-    narrow = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{LATIN}{LATIN_NUMBERS}]").replace(r"\p{L}", f"[{LATIN}]").replace(r"\p{N}", f"[{LATIN_NUMBERS}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
-    quick = re.compile(narrow).findall
-    outside = re.compile("[^\x00-\xff]").search
-    return lambda text: whole(text) if outside(text) else quick(text)
+    """A function that cuts a text into the pattern's matches."""
+    whole = regex.compile(pattern)
+    found = whole.findall if not whole.groups else lambda text: [m.group() for m in whole.finditer(text)]
+    if pattern != COMMON_PATTERN:
+        return found
+    quick = re.compile(LATIN_PATTERN).findall
+
+    def cut(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return found(text)
+        return quick(text)
+
+    return cut
 
 
 class Pieces(dict):
@@ -196,37 +226,39 @@ class Pieces(dict):
         self.size = len(self.tokens)
 
 
-CUT = ["doc_id", "number", "word", "ranks", "pieces"]
+CUT = ["doc_id", "number", "word", "merges", "pieces"]
 
 
-def _cut(tokens: list[bytes], pattern: str):
-    """Rows of a chunk's new words (number, and word with ranks, or a long piece), then of its texts (doc_id, pieces: numbers).
+def _cut(shared, pattern: str):
+    """Rows of a chunk's new words (number, and word with its merges, or a long piece), then of its texts (doc_id, pieces: numbers).
 
     Words are numbered on from chunk to chunk of a task, from 0 again after MAX_WORDS.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, pieces, states, held, size, kind = splitter(pattern), Pieces(tokens), StartStates(tokens), [], 0, None
+        vocabulary = shared.value
+        first = len(vocabulary.tokens)
+        cut, pieces, held, size, kind = splitter(pattern), Pieces(vocabulary.tokens), [], 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            known = pieces.size - len(pieces.new) - len(tokens)
+            known = pieces.size - len(pieces.new) - first
             for at in range(0, len(pieces.new), 20_000):
                 words = [w.encode() for w in pieces.new[at : at + 20_000]]
                 long = [w if len(w) > LONG_PIECE else None for w in words]
-                parts, ranks = states([w if far is None else b"" for far, w in zip(long, words, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), kind), pa.array(np.arange(known + at, known + at + len(words)), pa.int64()), parts, ranks, pa.array(long, pa.binary())], CUT)
+                words = [w if far is None else b"" for far, w in zip(long, words, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), kind), pa.array(np.arange(known + at, known + at + len(words)), pa.int64()), vocabulary.starts(words), vocabulary.trie.merges(words), pa.array(long, pa.binary())], CUT)
             for ids, blobs in held:
-                empty = pa.nulls(len(ids), pa.string())
-                yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), empty, empty, pa.array(blobs, pa.binary())], CUT)
+                yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.list_(pa.int32())), pa.array(blobs, pa.binary())], CUT)
             held.clear()
             pieces.new.clear()
-            if pieces.size > MAX_WORDS:
+            if pieces.size > first + MAX_WORDS:
                 pieces.forget()
 
         for batch in batches:
             kind = batch.column(0).type
             for at, end, texts in text_blocks(batch.column(1)):
-                held.append((batch.column(0).slice(at, end - at), [np.fromiter(map(pieces.__getitem__, cut(t.decode())), dtype="<i4").tobytes() for t in texts]))
+                found = (cut(t.decode("utf-8", "replace")) for t in texts)
+                held.append((batch.column(0).slice(at, end - at), [np.fromiter(map(pieces.__getitem__, f), dtype="<i4", count=len(f)).tobytes() for f in found]))
                 size += sum(map(len, texts))
                 if size >= CHUNK_BYTES:
                     yield from flush()
@@ -237,11 +269,11 @@ def _cut(tokens: list[bytes], pattern: str):
     return run
 
 
-def _gathered(tokens: list[bytes]):
+def _gathered(shared):
     """(doc_id, token_ids) of the texts, from the folded words before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks: dict[bytes, int] = {}
+        tokens, ranks = shared.value.tokens, shared.value.ranks
         ids: list[np.ndarray] = []  # of the words so far, end to end
         counts: list[np.ndarray] = []
         flat = lengths = starts = None
@@ -256,12 +288,11 @@ def _gathered(tokens: list[bytes]):
                     flat = None
                     if rows.column(1)[0].as_py() == 0:
                         ids, counts = [], []
-                    folded = [f[1:-1] if f is not None else "" for f in rows.column(2).to_pylist()]
+                    folded = rows.column(2).to_pylist()
                     chars = np.frombuffer("".join(folded).encode("utf-16-le"), "<u2").astype(np.int32)
                     chars -= np.where(chars < 0xD800, 0x100, 0x900).astype(np.int32)
                     n = np.array([len(f) for f in folded], np.int64)
                     if rows.column(4).null_count < len(folded):
-                        ranks = ranks or {t: k for k, t in enumerate(tokens)}
                         heads = np.r_[0, np.cumsum(n)]
                         merged = [chars[heads[k] : heads[k + 1]] if long is None else np.array(heap_merges(long, ranks), np.int32) for k, long in enumerate(rows.column(4).to_pylist())]
                         chars, n = np.concatenate(merged), np.array([len(m) for m in merged], np.int64)
@@ -291,35 +322,40 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     ``then``, a function over record batches, goes on with that table in the same Python worker; ``schema`` is
     what it returns beside doc_id. A worker of its own would cost each running task some 150 MB.
     """
-    with open(rank_path, "rb") as file:
-        tokens = load_ranks(file.read().splitlines())
+    vocabulary = load_vocabulary(rank_path)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    cut = narrow.mapInArrow(_cut(tokens, pattern), f"doc_id {kind}, number long, word string, ranks string, pieces binary")
-    folded = cut.select("doc_id", "number", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("ranks"), pair_map(tokens))).alias("word"), F.lit(None).cast("string").alias("ranks"), "pieces")
-    gather = _gathered(tokens)
+    cut = narrow.mapInArrow(_cut(shared, pattern), f"doc_id {kind}, number long, word string, merges array<int>, pieces binary")
+    folded = cut.select("doc_id", "number", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("merges"), vocabulary.pairs)).alias("word"), F.lit(None).cast("array<int>").alias("merges"), "pieces")
+    gather = _gathered(shared)
     return folded.mapInArrow((lambda batches: then(gather(batches))) if then else gather, f"doc_id {kind}, {schema}")
 
 
-def _each(tokens: list[bytes], finish, columns: list[tuple[str, pa.DataType]]):
+def _each(finish, columns: list[tuple[str, pa.DataType]]):
+    """A row of ``columns`` for each row's ids: ``finish`` takes an array of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 lists = rows.column(1)
-                heads = lists.offsets.to_numpy()
-                found = [finish(lists.values[a:b].to_numpy().tolist()) for a, b in zip(heads[:-1], heads[1:], strict=True)]
+                heads, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+                found = [finish(ids[a:b]) for a, b in zip(heads[:-1], heads[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([f[c] for f in found], kind) for c, (_, kind) in enumerate(columns))], ["doc_id", *(name for name, _ in columns)])
 
     return run
 
 
+def _joined(pool: np.ndarray, ids: np.ndarray) -> bytes:
+    return b"".join(pool[ids].tolist())
+
+
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """(doc_id, decoded: binary) of (doc_id, token_ids)."""
-    with open(rank_path, "rb") as file:
-        tokens = load_ranks(file.read().splitlines())
+    pool = np.array(load_vocabulary(rank_path).tokens, dtype=object)
     schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary"
-    return encoded.select("doc_id", "token_ids").mapInArrow(_each(tokens, lambda ids: (b"".join(map(tokens.__getitem__, ids)),), [("decoded", pa.binary())]), schema)
+    return encoded.select("doc_id", "token_ids").mapInArrow(_each(lambda ids: (_joined(pool, ids),), [("decoded", pa.binary())]), schema)
 
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -327,14 +363,14 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def round_trip_digest(rank_path: str):
     """n_tokens, ids_sha256 and decoded_sha256 beside doc_id, as the ``then`` of encode()."""
-    with open(rank_path, "rb") as file:
-        tokens = load_ranks(file.read().splitlines())
-    said = [str(k) for k in range(len(tokens))]
+    tokens = load_vocabulary(rank_path).tokens
+    pool, said = np.array(tokens, dtype=object), np.array([b"%d " % k for k in range(len(tokens))])
 
-    def finish(ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), hashlib.sha256(" ".join(map(said.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest()
+    def finish(ids: np.ndarray) -> tuple[int, str, str]:
+        text = said[ids].tobytes().translate(None, b"\0")  # fixed widths, filled up by zero bytes
+        return len(ids), hashlib.sha256(text[:-1]).hexdigest(), hashlib.sha256(_joined(pool, ids)).hexdigest()
 
-    return _each(tokens, finish, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return _each(finish, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
 def encode_digest(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:

@@ -26,6 +26,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,12 +36,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import quoted, text_blocks
 
 CHUNK_BYTES = 4 << 20
 #: Words remembered from chunk to chunk of a task; then the numbers start again.
 MAX_WORDS = 400_000
 LONG_PIECE = 4096
+#: Characters from which a text's pieces are taken one by one.
+LONG_TEXT = 1 << 18
 
 
 def load_ranks(lines: list[bytes]) -> list[bytes]:
@@ -201,6 +204,16 @@ def splitter(pattern: str):
     return cut
 
 
+def cuts(text: str, cut, pattern: str) -> Iterator[list[str]]:
+    """The pieces of a text; those of a long one in lots, found one by one, so that they are never all there at once."""
+    if len(text) <= LONG_TEXT:
+        yield cut(text)
+        return
+    found = (m.group() for m in regex.finditer(pattern, text))
+    while lot := list(itertools.islice(found, LONG_TEXT)):
+        yield lot
+
+
 class Pieces(dict):
     """Piece -> number: token ids first, then new pieces in order of arrival."""
 
@@ -257,8 +270,7 @@ def _cut(shared, pattern: str):
         for batch in batches:
             kind = batch.column(0).type
             for at, end, texts in text_blocks(batch.column(1)):
-                found = (cut(t.decode("utf-8", "replace")) for t in texts)
-                held.append((batch.column(0).slice(at, end - at), [np.fromiter(map(pieces.__getitem__, f), dtype="<i4", count=len(f)).tobytes() for f in found]))
+                held.append((batch.column(0).slice(at, end - at), [b"".join(np.fromiter(map(pieces.__getitem__, f), dtype="<i4", count=len(f)).tobytes() for f in cuts(t.decode("utf-8", "replace"), cut, pattern)) for t in texts]))
                 size += sum(map(len, texts))
                 if size >= CHUNK_BYTES:
                     yield from flush()
@@ -324,7 +336,7 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     """
     vocabulary = load_vocabulary(rank_path)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     cut = narrow.mapInArrow(_cut(shared, pattern), f"doc_id {kind}, number long, word string, merges array<int>, pieces binary")
     folded = cut.select("doc_id", "number", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("merges"), vocabulary.pairs)).alias("word"), F.lit(None).cast("array<int>").alias("merges"), "pieces")
@@ -367,8 +379,13 @@ def round_trip_digest(rank_path: str):
     pool, said = np.array(tokens, dtype=object), np.array([b"%d " % k for k in range(len(tokens))])
 
     def finish(ids: np.ndarray) -> tuple[int, str, str]:
-        text = said[ids].tobytes().translate(None, b"\0")  # fixed widths, filled up by zero bytes
-        return len(ids), hashlib.sha256(text[:-1]).hexdigest(), hashlib.sha256(_joined(pool, ids)).hexdigest()
+        of_ids, of_bytes = hashlib.sha256(), hashlib.sha256()
+        for at in range(0, len(ids), LONG_TEXT):
+            own = ids[at : at + LONG_TEXT]
+            text = said[own].tobytes().translate(None, b"\0")  # fixed widths, filled up by zero bytes
+            of_ids.update(text if at + LONG_TEXT < len(ids) else text[:-1])
+            of_bytes.update(_joined(pool, own))
+        return len(ids), of_ids.hexdigest(), of_bytes.hexdigest()
 
     return _each(finish, [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

@@ -7,8 +7,9 @@ is encoded once, with offsets; the assistant texts' spans and the token spans, b
 intersected by binary search. Marks are never part of a token with text, so the mask is exact.
 
 Defined cases: a null role or text is empty; turns order by (turn, role, text), so repeated turns
-stay, next to each other; rows with a null conv_id form one conversation; an empty table gives an
-empty result. Other columns play no part.
+stay, next to each other; each row with a null conv_id is a conversation of its own; bytes that aren't
+UTF-8 are read as U+FFFD; an empty table gives an empty result. Other columns play no part. A conversation
+becomes one row, so the longest one must fit a task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -96,8 +97,13 @@ def format_conversations(df: DataFrame, tokenizer_path: str, role: str = LEARNED
                 kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([f for f, _ in rendered], pa.string()), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], ["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"])
 
-    turns = df.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    grouped = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    def told(name: str) -> Column:
+        return F.make_valid_utf8(F.coalesce(F.col(name), F.lit(""))).alias(name)
+
+    turns = df.select("conv_id", F.struct("turn", told("role"), told("text")).alias("t"))
+    own = F.transform(F.array_sort("turns"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")
+    grouped = turns.filter("conv_id is not null").groupBy("conv_id").agg(F.collect_list("t").alias("turns"))
+    grouped = grouped.unionByName(turns.filter("conv_id is null").select("conv_id", F.array("t").alias("turns"))).select("conv_id", own)
     return grouped.mapInArrow(run, FORMATTED.format(df.schema["conv_id"].dataType.simpleString()))
 
 

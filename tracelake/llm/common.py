@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes handled at once by the numpy kernels, whose temporaries are some 50 times as large.
 BLOCK_BYTES = 1 << 18
@@ -16,10 +19,16 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, a temporary one where unset (tests)."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one on a single machine (tests); on a cluster it raises.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -53,6 +62,24 @@ def fresh_name(stem: str, taken: list[str]) -> str:
     return stem
 
 
+def quoted(name: str) -> str:
+    """A column's name as one identifier, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def map_wider(df: DataFrame, run, *more: tuple[str, T.DataType]) -> DataFrame:
+    """``df.mapInArrow(run)`` where ``run`` adds the columns ``more``; the columns of ``df`` may have any names."""
+    plain = df.select(*[c.alias(f"c{k}") for k, c in enumerate(own_columns(df))])
+    added = [T.StructField(f"m{k}", kind) for k, (_, kind) in enumerate(more)]
+    made = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *added]))
+    return made.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(df.columns)], *[F.col(f"m{k}").alias(name) for k, (name, _) in enumerate(more)])
+
+
 #: Rows of an Arrow batch: at Spark's 10,000, texts of 100 KB make batches of 1 GB.
 BATCH_ROWS = 1000
 
@@ -88,6 +115,24 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         at = end
 
 
+_space = re.compile(rb"[\x09-\x0d\x20]")
+
+
+def pieces(text: bytes, limit: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A long text in runs of whole words of about ``limit`` bytes, so that what kernels need beside a text is bounded.
+
+    Cuts fall after white space; a run is longer only where one word is.
+    """
+    at = 0
+    while len(text) - at > limit:
+        cut = _space.search(text, at + limit - 1)
+        if cut is None or cut.end() == len(text):
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:]
+
+
 def byte_table(members: tuple[int, ...] | bytes) -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[list(members)] = True

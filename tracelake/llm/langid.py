@@ -7,7 +7,8 @@ Profiles are counted over every learnable row; each document is ranked over its
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if
 nothing can be learned. Ties go to the smaller n-gram, and between languages to the first by name.
-Rows whose language is null teach nothing. Other columns play no part.
+Rows whose language is null teach nothing. A long text is counted run by run of whole words and ranked
+over all of them. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_blocks
+from .common import fresh_name, own_columns, pieces, quoted, text_blocks
 
 PROFILE_SIZE = 300
 UNDETERMINED = "und"
@@ -61,14 +63,28 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
+def counted_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (text number above CODE_BITS, code) of the texts' n-grams in order, and how often each occurs."""
+    if len(texts) != 1:
+        text, code = ngrams(texts)
+        return counted(text << CODE_BITS | code)
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for piece in pieces(texts[0]):  # n-grams don't cross white space
+        own, m = counted(ngrams([piece])[1])
+        keys, where = np.unique(np.r_[keys, own], return_inverse=True)
+        n = np.bincount(where, weights=np.r_[n, m], minlength=len(keys)).astype(np.int64)
+    return keys, n
+
+
 def _language_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for at, end, texts in text_blocks(batch.column(1)):
-            text, code = ngrams(texts)
             names, number = np.unique(langs[at:end].astype(str), return_inverse=True)
-            keys, n = counted(number[text] << CODE_BITS | code)
+            keys, n = counted_ngrams(texts)
+            keys, where = np.unique(number[keys >> CODE_BITS] << CODE_BITS | keys & ((1 << CODE_BITS) - 1), return_inverse=True)
+            n = np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
             for k, name in enumerate(names):
                 own = keys >> CODE_BITS == k
                 have = totals.get(name, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
@@ -98,8 +114,7 @@ class Profiles:
 
     def distances(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): out-of-place distance over what it is if no n-gram is known."""
-        text, code = ngrams(texts)
-        keys, n = counted(text << CODE_BITS | code)
+        keys, n = counted_ngrams(texts)
         mask = (1 << CODE_BITS) - 1
         if n.max(initial=0) < 1 << COUNT_BITS:
             rarity = (1 << COUNT_BITS) - 1 - n
@@ -123,7 +138,7 @@ class Profiles:
         return out
 
 
-def _predicted(shared, text_at: int, rest: int):
+def _predicted(shared, text_at: int, rest: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
         for batch in batches:
@@ -139,22 +154,27 @@ def _predicted(shared, text_at: int, rest: int):
                 else:
                     letters, best, score = np.zeros(len(texts), bool), np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 lang = [profiles.langs[k] if some else UNDETERMINED for k, some in zip(best, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([*own.columns[rest:], pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*own.schema.names[rest:], "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*own.columns[rest:], pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], names)
 
     return run
 
 
-def identify(df: DataFrame, profiles: pd.DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``df`` (all by default), with lang_pred and lang_score. A kept text is sent to Python once."""
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "lang_score")]
+def identify(df: DataFrame, profiles: pd.DataFrame, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all by default), then the prediction and its score as ``names``, which must be free.
+
+    A kept text is sent to Python once.
+    """
+    keep = df.columns if keep is None else keep
+    if clash := {c.lower() for c in keep} & {c.lower() for c in names}:
+        raise ValueError(f"columns are there already: {sorted(clash)}")
     shared = df.sparkSession.sparkContext.broadcast(Profiles(profiles))
-    text = F.col(text_col)
+    text = F.col(quoted(text_col))
     own = [F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), *([] if text_col in keep else [text.alias("_text")])]
-    wide = df.select(*own, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+    wide = df.select(*own, *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(keep)])
     text_at = len(own) + keep.index(text_col) if text_col in keep else 1
-    schema = ", ".join(f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    out = wide.mapInArrow(_predicted(shared, text_at, len(own)), f"{schema}, lang_pred string, lang_score double")
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "lang_score")
+    schema = T.StructType([*wide.schema.fields[len(own) :], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    out = wide.mapInArrow(_predicted(shared, text_at, len(own), schema.names), schema)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.col("lang_pred").alias(names[0]), F.col("lang_score").alias(names[1]))
 
 
 def held_out(id_col: Column) -> Column:
@@ -164,13 +184,14 @@ def held_out(id_col: Column) -> Column:
 
 def language_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; learned from the rows that aren't held out."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(F.col(id_col)).alias("held_out"))
+    rows = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang"), held_out(F.col(quoted(id_col))).alias("held_out"))
     profiles = learn_profiles(rows.filter("not held_out").select("lang", "text"))
     return identify(rows, profiles, keep=["doc_id", "held_out"]).withColumnRenamed("lang_score", "score").select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` with a determined language, with its columns; rows without a letter go."""
-    rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    rows = df.select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).alias("text"), held_out(F.col(quoted(id_col))).alias("held_out"))
     profiles = learn_profiles(rows.filter("not held_out").select("lang", "text"))
-    return identify(df, profiles, text_col).filter(F.col("lang_pred") != UNDETERMINED).select(*df.columns)
+    names = fresh_name("lang_pred", df.columns), fresh_name("lang_score", df.columns)
+    return identify(df, profiles, text_col, names=names).filter(F.col(names[0]) != UNDETERMINED).select(*own_columns(df))

@@ -6,13 +6,15 @@ windows of 2W shingles start at every multiple of W, so some window holds any wh
 window has Jaccard similarity of at least 0.8n / (2W + 0.2n) > 0.19 with a template that it contains to
 0.8, and one of BANDS bands of one MinHash each then meets with probability 1 - 0.81**64 > 0.999998
 (for the one-shingle class, 1 - 0.5**64). Every window that meets in a band is verified: the exact
-share of the template's five-word shingles that the window holds must reach CONTAINMENT.
+share of the template's five-word shingles found from W before the window to W behind it, where words
+inserted into a license may push its rest, must reach CONTAINMENT.
 
 Templates are a parameter, TEMPLATES by default; those of under five words are one shingle.
 
 Defined cases: null, empty and shorter texts match nothing; of several windows that match a template
-the best counts, ties the first; repeated rows repeat their matches; an empty table, or no template,
-gives an empty result. Other columns play no part.
+the best counts, ties the first; repeated rows repeat their matches; a long text is hashed run by run of
+whole words and searched in overlapping runs of windows; an empty table, or no template, gives an empty
+result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, mix, powers, run_hashes, text_blocks, word_bounds
+from .common import joined, mix, pieces, powers, quoted, run_hashes, text_blocks, word_bounds
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 BANDS = 64
+RUN_WORDS = 1 << 15
 
 #: Notices and license texts by SPDX name, one per form that is looked for.
 TEMPLATES: dict[str, str] = {
@@ -133,21 +136,41 @@ class Matcher:
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, str, float, int, int]]:
         """(text number, template, containment, first word, end word) of each text's best match of a template."""
-        data, bounds = joined(texts)
-        buf = LOWER[np.frombuffer(data, dtype=np.uint8)]
-        starts, ends = word_bounds(buf, OUTSIDE)
-        hashes, heads = run_hashes(buf, starts, ends), np.searchsorted(starts, bounds)
+        starts, ends, hashes, done = [], [], [], 0
+        for run in [joined(texts)[0]] if len(texts) != 1 else pieces(texts[0]):
+            buf = LOWER[np.frombuffer(run, dtype=np.uint8)]
+            first, last = word_bounds(buf, OUTSIDE)
+            hashes.append(run_hashes(buf, first, last))
+            starts.append(first + done)
+            ends.append(last + done)
+            done += len(run)
+        first, last, hashed = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+        bounds = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+        heads = np.searchsorted(first, bounds)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for width in sorted({k for k, _ in self.classes}):
-            own_words: dict[int, list[bytes]] = {}
-            for text, template, at, end in sorted(self.candidates(hashes, heads, width)):
-                own = own_words.setdefault(text, words(texts[text]))
-                where = [k for k in range(at, min(end, len(own) - width + 1)) if tuple(own[k : k + width]) in self.shingles[template]]
+            for text, template, at, end in sorted(self.windows(hashed, heads, width)):
+                low, high = max(0, at - (end - at) // 2), min(end + (end - at) // 2 + width - 1, int(heads[text + 1] - heads[text]))
+                own = [texts[text][a:b].lower() for a, b in zip((first[heads[text] + low : heads[text] + high] - bounds[text]).tolist(), (last[heads[text] + low : heads[text] + high] - bounds[text]).tolist(), strict=True)]
+                where = [k for k in range(len(own) - width + 1) if tuple(own[k : k + width]) in self.shingles[template]]
                 share = len({tuple(own[k : k + width]) for k in where}) / len(self.shingles[template])
                 if share >= self.containment and share > best.get((text, template), (0.0,))[0]:
-                    best[text, template] = share, where[0], where[-1] + width
+                    best[text, template] = share, low + where[0], low + where[-1] + width
         return [(text, self.names[template], *match) for (text, template), match in sorted(best.items())]
 
+    def windows(self, hashes: np.ndarray, heads: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
+        """The candidates of several texts at once, or of one in runs of RUN_WORDS that overlap by the widest window."""
+        widest = max(w for _, w in self.classes)
+        step = max(RUN_WORDS, widest)  # all are powers of two, so windows start at the same words
+        if len(heads) != 2 or len(hashes) <= step:
+            yield from self.candidates(hashes, heads, width)
+            return
+        for first in range(0, len(hashes), step):
+            run = hashes[first : first + step + 2 * widest + width]
+            for text, template, at, end in self.candidates(run, np.array([0, len(run)]), width):
+                if at < step:
+                    yield text, template, first + at, first + end
+
 
 def license_matches(df: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment, first_word and end_word of every template found in every whole text."""
@@ -160,5 +183,5 @@ def license_matches(df: DataFrame, templates: dict[str, str] | None = None, cont
             columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], ["doc_id", "license", "containment", "first_word", "end_word"])
 
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, license string, containment double, first_word long, end_word long")

@@ -6,7 +6,8 @@ timestamp and byte range. ``mux`` writes a payload as one audio track of 8-bit s
 
 Defined cases: a null text is empty; the payload is padded with zero bytes to a positive multiple
 of 64, so an empty text stores 64 zero bytes. Null or damaged media have no packets from the damage
-on, and ``complete`` false. Equal texts give equal bytes. Other columns play no part.
+on, and ``complete`` false; damaged are also numbers of impossible width and times beyond 64 bits. A text
+of any length is stored whole. Equal texts give equal bytes. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_blocks
+from .common import as_bytes, quoted, text_blocks
 
 # Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -78,13 +79,23 @@ class Media:
 
 
 def _uint(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise Damaged(f"integer at {a} has {b - a} bytes")
     return int.from_bytes(data[a:b], "big")
 
 
 def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise Damaged(f"float at {a} has {b - a} bytes")
     return 0.0 if a == b else struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0]
 
 
+def _time(ns: int) -> int:
+    if not -(1 << 63) <= ns < 1 << 63:
+        raise Damaged("a time passes 64 bits")
+    return ns
+
+
 def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], int]:
     """Frame sizes of a laced block and where its first frame starts. kind: 1 Xiph, 2 fixed, 3 EBML."""
     if at >= end:
@@ -121,7 +132,7 @@ def lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], in
 
 def _block(data: bytes, a: int, b: int, media: Media, base: int, key: bool | None) -> None:
     track, at = read_vint(data, a, False)
-    if at + 3 > b:
+    if track is None or at + 3 > b:
         raise Damaged(f"block at {a} is short")
     when = (base + int.from_bytes(data[at : at + 2], "big", signed=True)) * media.scale
     flags, at = data[at + 2], at + 3
@@ -130,7 +141,7 @@ def _block(data: bytes, a: int, b: int, media: Media, base: int, key: bool | Non
     media.laced += bool(kind)
     each = media.tracks.get(track, {}).get("default_duration", 0)
     for k, size in enumerate(sizes):
-        media.packets.append((track, when + k * each, at, size, bool(flags & 0x80) if key is None else key, k, media.clusters - 1))
+        media.packets.append((track, _time(when + k * each), at, size, bool(flags & 0x80) if key is None else key, k, media.clusters - 1))
         at += size
 
 
@@ -202,7 +213,7 @@ def _cue(data: bytes, a: int, b: int, scale: int, start: int) -> Iterator[tuple[
             when = _uint(data, x, y)
         elif name == CUE_TRACK_POSITIONS:
             inner = {n: _uint(data, p, q) for n, p, q in _children(data, x, y, y, set())}
-            yield when * scale, inner.get(CUE_TRACK, 0), start + inner.get(CUE_CLUSTER_POSITION, 0)
+            yield _time(when * scale), inner.get(CUE_TRACK, 0), start + inner.get(CUE_CLUSTER_POSITION, 0)
 
 
 def _segment(data: bytes, at: int, end: int, media: Media) -> int:
@@ -346,7 +357,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for at, end, texts in text_blocks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
@@ -366,7 +377,7 @@ def packet_table(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
                 columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "packet", "track", "timestamp_ns", "byte_offset", "byte_size", "keyframe", "lace", "cluster"])
 
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
+    narrow = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(media_col)).alias("media"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, packet long, {PACKETS}")
 
 

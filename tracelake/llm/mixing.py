@@ -10,9 +10,11 @@ to document, largest first, inside hash chunks of bounded size; what a chunk's w
 end moves a few documents by one copy, so that a source's words come close to its target.
 
 Defined cases: a null text has no words; documents without words are taken zero times. Sources sort
-by code point, null last. Rows that share doc_id and size are told apart by nothing, and share the
-copies. A source without words has target 0. An empty table gives an empty result. The sources
-themselves (their names, sizes and multipliers) are kept on the driver: a mixture is stated by them.
+by code point, null last. Rows that share doc_id, source and size are told apart by nothing: they are
+counted before they are dealt to chunks, so that however many there are, no chunk takes them all. A source
+without words has target 0. A text of any length counts whole. An empty table gives an empty result. The
+sources themselves (their names, sizes and multipliers) are kept on the driver: a mixture is stated by
+them, and more than MAX_SOURCES are refused.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import IS_SPACE, fresh_name, joined, shared_checkpoint, text_blocks
+from .common import IS_SPACE, fresh_name, joined, own_columns, pieces, quoted, shared_checkpoint, text_blocks
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 LIMIT = 2
 CHUNK_DOCS = 4096
+MAX_SOURCES = 100_000
 #: Fixed point of the distributed sums; longs hold 9e15 words.
 SCALE = 1024
 MAX_ROUNDS = 60
@@ -50,12 +53,12 @@ def word_counts(texts: list[bytes]) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = [word_counts(texts) for _, _, texts in text_blocks(batch.column(2))]
+        sizes = [word_counts(texts) if len(texts) > 1 else np.array([sum(int(word_counts([p])[0]) for p in pieces(texts[0]))]) for _, _, texts in text_blocks(batch.column(2))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], ["doc_id", "source", "size"])
 
 
 def document_sizes(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    narrow = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(text_col)).alias("text"))
     return narrow.mapInArrow(_counted, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, source string, size long")
 
 
@@ -129,11 +132,11 @@ def multipliers(histogram: DataFrame, want: dict[str | None, Fraction], sizes: d
 
 
 def _rounded(state: dict[str | None, tuple[float, float]], limit: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-        source = pdf["source"].iloc[0]
-        mean, multiplier = state[None if pd.isna(source) else source]
-        size = pdf["size"].to_numpy(np.int64)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
+        table = table.take(np.repeat(np.arange(len(table)), table["n"].to_numpy()))
+        mean, multiplier = state[table["source"][0].as_py()]
+        size = table["size"].to_numpy()
         rate = _tilted(size.astype(np.float64), mean, multiplier, limit)
         copies, carry = np.zeros(len(size), np.int64), 0.0
         for k, (s, w) in enumerate(zip(size.tolist(), rate.tolist(), strict=True)):
@@ -145,7 +148,7 @@ def _rounded(state: dict[str | None, tuple[float, float]], limit: int):
             if s and 2 * abs(carry) > s and 0 <= copies[k] + (step := 1 if carry > 0 else -1) <= limit:
                 copies[k] += step
                 carry -= step * s
-        return pdf.assign(copies=copies)[["doc_id", "source", "size", "copies"]]
+        return table.select(["doc_id", "source", "size"]).append_column("copies", pa.array(copies, pa.int64()))
 
     return run
 
@@ -153,16 +156,22 @@ def _rounded(state: dict[str | None, tuple[float, float]], limit: int):
 def document_copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, limit: int = LIMIT) -> DataFrame:
     """``rows`` (doc_id, source, size) with source_size, target and copies."""
     histogram = shared_checkpoint(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
-    per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"), F.sum("n").alias("n")).collect()
+    per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(per_source) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = {r.source: r.words for r in per_source}
     means = {r.source: r.words / r.docs if r.docs else 1.0 for r in per_source}
     want = targets(sizes, weights, share, limit) if sizes else {}
     solved = multipliers(histogram, want, sizes, means, limit)
     state = {s: (means[s], solved[s]) for s in want}
     facts = rows.sparkSession.createDataFrame([(r.source, r.words, float(want[r.source]), -(-r.n // CHUNK_DOCS)) for r in per_source], "source string, source_size long, target double, chunks long")
-    joined_rows = rows.join(F.broadcast(facts), rows["source"].eqNullSafe(facts["source"])).select("doc_id", rows["source"], "size", "source_size", "target", F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks")).alias("chunk"))  # a row a source
+    # equal rows are one row with their number, in lots of CHUNK_DOCS
+    counted = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_DOCS))))
+    lots = lots.withColumn("n", F.least(F.lit(CHUNK_DOCS).cast("long"), F.col("n") - F.col("lot") * CHUNK_DOCS))
+    joined_rows = lots.join(F.broadcast(facts), lots["source"].eqNullSafe(facts["source"])).select("doc_id", lots["source"], "size", "n", F.pmod(F.xxhash64("doc_id", "size", "lot"), F.col("chunks")).alias("chunk"))  # MAX_SOURCES rows at most
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, size long, copies long"
-    dealt = joined_rows.groupBy("source", "chunk").applyInPandas(_rounded(state, limit), schema)
+    dealt = joined_rows.groupBy("source", "chunk").applyInArrow(_rounded(state, limit), schema)
     return dealt.join(F.broadcast(facts), dealt["source"].eqNullSafe(facts["source"])).select("doc_id", dealt["source"], "size", "source_size", "target", "copies")
 
 
@@ -177,8 +186,8 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     key, many, total, nth = (fresh_name(c, df.columns) for c in ("mix_id", "mix_rows", "mix_copies", "mix_nth"))
     rows = shared_checkpoint(document_sizes(df, id_col, source_col, text_col))
     taken = document_copies(rows).groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(many), F.sum("copies").alias(total)).filter(F.col(total) > 0)
-    found = df.join(taken, df[id_col].eqNullSafe(taken[key]))
+    found = df.join(taken, df[quoted(id_col)].eqNullSafe(taken[key]))
     once = found.filter(F.col(many) == 1).withColumn(nth, F.lit(1))
-    shared = found.filter(F.col(many) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    shared = found.filter(F.col(many) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(quoted(id_col)).orderBy(quoted(text_col))))
     copies = F.floor((F.col(total) + F.col(many) - F.col(nth)) / F.col(many)).cast("int")
-    return once.unionByName(shared).withColumn(nth, F.explode(F.array_repeat(F.lit(1), copies))).select(*df.columns)
+    return once.unionByName(shared).withColumn(nth, F.explode(F.array_repeat(F.lit(1), copies))).select(*own_columns(df))

@@ -6,12 +6,13 @@ bytes of the text, and runs of one to three word shapes: case, punctuation, leng
 word, or the pair it ends, stood in the text shortly before.
 
 The log-count ratios count every learnable labelled row. The hinge-loss model is fitted on at most
-MAX_FIT_ROWS labelled rows, those with the least hash of doc_id; that bound is the one parameter that
-doesn't grow with the data. Labels, lang, source and doc_id are never inputs of a score.
+MAX_FIT_ROWS labelled rows, those with the least hash of doc_id, and of those on as many as have
+MAX_FIT_FEATURES together; these bounds are the only parameters that don't grow with the data. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: a null text scores as an empty one, which has the bias alone. Rows without a label teach
 nothing; contradicting labels of one doc_id count by majority, ties as 1. Without labels of both
-classes every score is the share of label 1 (0.5 if none). Other columns play no part.
+classes every score is the share of label 1 (0.5 if none). A long text's features are those of its
+runs of whole words together, with what stood before each. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import joined, mix, run_hashes, text_blocks, word_bounds
+from .common import BLOCK_BYTES, joined, mix, pieces, quoted, run_hashes, shared_checkpoint, text_blocks, word_bounds
 
 HASH_BITS = 18
 FEATURES = 1 << HASH_BITS
 MAX_FIT_ROWS = 8000
+#: Features of the rows to fit, four bytes each on the driver; 8000 texts of 20 KB have some 16 million.
+MAX_FIT_FEATURES = 1 << 25
 #: Labels are broadcast up to this many rows of 12 bytes; beyond it the join shuffles.
 BROADCAST_LABELS = 1 << 21
 EPOCHS = 15
@@ -53,8 +57,8 @@ def _seen_before(key: np.ndarray, text: np.ndarray) -> np.ndarray:
     return again
 
 
-def word_shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """A small code of each word's shape."""
+def word_looks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A small code of each word's letters and length, and the word's hash."""
 
     def share(table: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(buf) + 1, dtype=np.int32)
@@ -65,21 +69,21 @@ def word_shapes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.
     case = np.where(upper == 0, 0, np.where(upper >= np.maximum(length - other - digit, 1), 2, 1))
     size = np.searchsorted(np.array([1, 3, 7, 15, 31]), length)
     last = np.where(OTHER[buf[ends - 1]], buf[ends - 1], 0).astype(np.int64)
-    word = run_hashes(buf, starts, ends)
+    return (((case * 8 + size) * 4 + np.minimum(other, 3)) * 2 + (digit > 0)) << 10 | last, run_hashes(buf, starts, ends)
+
+
+def word_shapes(look: np.ndarray, word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A small code of each word's look and whether it, or the pair it ends, stood in its text shortly before."""
     pair = word.copy()
     pair[1:] = mix(word[:-1] * np.uint64(3) + word[1:])
     beside = np.zeros(len(word), dtype=bool)
     beside[1:] = (word[1:] == word[:-1]) & (text[1:] == text[:-1])
     again = _seen_before(pair, text)
-    return ((((case * 8 + size) * 4 + np.minimum(other, 3)) * 2 + (digit > 0)) * 2 + beside) * 2 + again << 8 | last
+    return look >> 10 << 10 | (beside * 2 + again) << 8 | look & 255
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of the distinct features of each text, in that order."""
-    data, bounds = joined(texts)
-    buf = np.frombuffer(data, dtype=np.uint8)
-    starts, ends = word_bounds(buf)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+def byte_features(buf: np.ndarray, text_of: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(text numbers, features) of the runs of one to three bytes."""
     found_text, found = [], []
     code = buf.astype(np.int64)
     for n in (1, 2, 3):
@@ -89,16 +93,52 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         own &= ~np.isin(np.arange(n - 1, n - 1 + len(code)), bounds[1:] - 1)  # the separator after a text isn't part of it
         found_text.append(text_of[: len(code)][own])
         found.append(_hashed(code[own], n))
+    return found_text, found
+
+
+def shape_features(look: np.ndarray, word: np.ndarray, word_text: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(text numbers, features) of the runs of one to three word shapes."""
+    shape = word_shapes(look, word, word_text)
+    run, found_text, found = shape, [], []
+    for n in (1, 2, 3):
+        if n > 1:
+            run = run[:-1] * 1_000_003 + shape[n - 1 :]
+        own = word_text[: len(run)] == word_text[n - 1 :]
+        found_text.append(word_text[: len(run)][own])
+        found.append(_hashed(run[own], 4 + n))
+    return found_text, found
+
+
+def long_features(text: bytes) -> np.ndarray:
+    """The distinct features of one long text: bytes run by run, words' looks gathered and judged at the end."""
+    found, looks, words, before = [], [], [], b""
+    for piece in pieces(text):
+        buf = np.frombuffer(before + piece, dtype=np.uint8)
+        found.append(np.unique(np.concatenate(byte_features(buf, np.zeros(len(buf), np.int64), np.zeros(1, np.int64))[1])))
+        own = np.frombuffer(piece, dtype=np.uint8)
+        look, word = word_looks(own, *word_bounds(own))
+        looks.append(look)
+        words.append(word)
+        before = (before + piece)[-2:]
+    look, word = np.concatenate(looks), np.concatenate(words)
+    if len(look):
+        found += shape_features(look, word, np.zeros(len(look), np.int64))[1]
+    return np.unique(np.concatenate(found))
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature) of the distinct features of each text, in that order."""
+    if len(texts) == 1 and len(texts[0]) > BLOCK_BYTES:
+        found = long_features(texts[0])
+        return np.zeros(len(found), np.int64), found
+    data, bounds = joined(texts)
+    buf = np.frombuffer(data, dtype=np.uint8)
+    starts, ends = word_bounds(buf)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    found_text, found = byte_features(buf, text_of, bounds)
     if len(starts):
-        word_text = text_of[starts]
-        shape = word_shapes(buf, starts, ends, word_text)
-        run = shape
-        for n in (1, 2, 3):
-            if n > 1:
-                run = run[:-1] * 1_000_003 + shape[n - 1 :]
-            own = word_text[: len(run)] == word_text[n - 1 :]
-            found_text.append(word_text[: len(run)][own])
-            found.append(_hashed(run[own], 4 + n))
+        more_text, more = shape_features(*word_looks(buf, starts, ends), text_of[starts])
+        found_text, found = found_text + more_text, found + more
     keys = np.sort(np.concatenate(found_text) << HASH_BITS | np.concatenate(found))
     keys = keys[np.flatnonzero(np.diff(keys, prepend=-1))]
     return keys >> HASH_BITS, keys & (FEATURES - 1)
@@ -142,7 +182,7 @@ def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for at, end, texts in text_blocks(batch.column(0)):
             text, feature = features(texts)
             cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, end - at), pa.array([feature[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, end - at), pa.array([feature[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), batch.column(2).slice(at, end - at)], ["label", "features", "place"])
 
 
 def dual_coordinate_descent(samples: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -178,7 +218,10 @@ def fit(rows: DataFrame, docs: DataFrame, known: DataFrame, max_rows: int = MAX_
         return ratios, np.zeros(FEATURES), float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6)))) / SLOPE
     chosen = known.orderBy(F.xxhash64(F.lit(1), F.col("doc_id")), "doc_id").limit(max_rows)
     sample = docs.join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
-    found = sample.select("text", "label").mapInArrow(_feature_lists, "label int, features binary").toPandas()  # as many, but for repeated doc_ids
+    found = sample.select("text", "label", F.xxhash64(F.lit(1), F.col("doc_id")).alias("place")).mapInArrow(_feature_lists, "label int, features binary, place long")
+    found = shared_checkpoint(found.orderBy("place", "features").limit(max_rows))  # a doc_id may have many rows
+    upto = F.sum(F.octet_length("features") / 4).over(Window.orderBy("place", "features"))  # max_rows rows
+    found = found.withColumn("upto", upto).filter(F.col("upto") <= MAX_FIT_FEATURES).select("label", "features").toPandas()
     found = found.sort_values(["label", "features"], ignore_index=True)  # the order of tasks doesn't matter
     labels = found["label"].to_numpy(np.int64)
     if len(np.unique(labels)) < 2:
@@ -201,7 +244,7 @@ def held_out(id_col: Column) -> Column:
 
 def quality_report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``df``."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(F.when(F.col(label_col) > 0, 1.0).otherwise(0.0)) >= 0.5).cast("int").alias("label"))
     known = known.filter(~held_out(F.col("doc_id")))
     few = labels.count() <= BROADCAST_LABELS

@@ -10,8 +10,8 @@ rejection of Stadlober (1990), folded with higher-order functions over hashed un
 and recomputed tasks agree. The matrix has max_parts x shards entries at most, the only broadcast.
 
 Defined cases: nulls are values like any other; rows equal in every column are interchangeable; an
-empty table gives an empty result; fewer rows than shards leave some shards empty. Columns of the
-input that clash with the added ones are replaced.
+empty table gives an empty result; fewer rows than shards leave some shards empty; long texts only count
+as bytes and never move. Where the input has columns of the names added, the added ones end in "_".
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_name, shared_checkpoint
+from .common import fresh_name, own_columns, quoted, shared_checkpoint
 
 SEED = 20_240_607
 ROWS_PER_PART = 1 << 16
@@ -111,28 +111,27 @@ def communication_matrix(parts: DataFrame, sizes: list[int], seed: int) -> DataF
 
 def exact_shuffle(df: DataFrame, shards: int, seed: int = SEED, max_parts: int = MAX_PARTS) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard), uniformly at random."""
-    df = df.drop("shard", "slot")
-    part, place, first, last, band, before = (fresh_name(c, df.columns) for c in ("part", "place", "first_key", "last_key", "band", "before"))
+    shard, slot, part, place, first, last, band, before, sent = (fresh_name(c, df.columns) for c in ("shard", "slot", "part", "place", "first_key", "last_key", "band", "before", "sends"))
     rows = df.count()
     parts = min(max_parts, max(MIN_PARTS, -(-rows // ROWS_PER_PART)))
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = own_columns(df)
     keyed = df.withColumns({part: F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(parts)).cast("int"), first: F.xxhash64(F.lit(seed + 1), *columns), last: F.xxhash64(F.lit(seed + 2), *columns)})
     counts = keyed.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     sizes = [rows // shards + (j < rows % shards) for j in range(shards)]
     matrix = shared_checkpoint(communication_matrix(counts, sizes, seed))
     placed = keyed.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(first)))
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("sends", F.lit(1), j), F.lit(0).cast("long"), lambda a, b: a + b))
-    routed = placed.join(F.broadcast(matrix.select(F.col("part").alias(part), ends.alias("sends"))), part)  # max_parts rows at most
-    routed = routed.withColumn("shard", F.size(F.filter("sends", lambda e: e < F.col(place)))).drop("sends", place, part, first)
+    routed = placed.join(F.broadcast(matrix.select(F.col("part").alias(part), ends.alias(sent))), part)  # max_parts rows at most
+    routed = routed.withColumn(shard, F.size(F.filter(sent, lambda e: e < F.col(place)))).drop(sent, place, part, first)
     routed = shared_checkpoint(routed.withColumn(band, F.floor(F.shiftrightunsigned(F.col(last), 11).cast("double") / float(1 << 53) * parts).cast("int")))
-    bands = routed.groupBy("shard", band).agg(F.count(F.lit(1)).alias(before))
-    bands = bands.withColumn(before, F.sum(before).over(Window.partitionBy("shard").orderBy(band)) - F.col(before))
-    ranked = routed.withColumn("slot", F.row_number().over(Window.partitionBy("shard", band).orderBy(F.shiftrightunsigned(F.col(last), 11), last)))
-    return ranked.join(F.broadcast(bands), ["shard", band]).withColumn("slot", F.col("slot") - 1 + F.col(before)).select(*df.columns, "shard", "slot")  # shards x max_parts rows at most
+    bands = routed.groupBy(shard, band).agg(F.count(F.lit(1)).alias(before))
+    bands = bands.withColumn(before, F.sum(before).over(Window.partitionBy(shard).orderBy(band)) - F.col(before))
+    ranked = routed.withColumn(slot, F.row_number().over(Window.partitionBy(shard, band).orderBy(F.shiftrightunsigned(F.col(last), 11), last)))
+    return ranked.join(F.broadcast(bands), [shard, band]).withColumn(slot, F.col(slot) - 1 + F.col(before)).select(*columns, shard, slot)  # shards x max_parts rows at most
 
 
 def shard_documents(spark: SparkSession, df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard of every row of ``df``."""
-    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    narrow = shared_checkpoint(df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
+    text = F.encode(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), "UTF-8")
+    narrow = shared_checkpoint(df.select(F.col(quoted(id_col)).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
     return exact_shuffle(narrow, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -173,7 +173,130 @@ def test_log_matching_needs_both_at_once(spark):
     apart = spark.createDataFrame([(0, 1, 3, 1, 10, 0, 5), (0, 2, 3, 1, 11, 5, None)], cols)
     together = spark.createDataFrame([(0, 1, 3, 1, 10, 0, 6), (0, 2, 3, 1, 11, 5, None)], cols)
     assert rows(checks.log_matching(apart)) == []
-    assert rows(checks.log_matching(together)) == [(0, 3, 1, 1, 2, 5)]
+    assert rows(checks.log_matching(together)) == [(0, 3, 1, 1, 2, "payload", 5)]
+
+
+def test_log_matching_looks_at_the_entry_before(spark):
+    cols = "range_id long, server long, idx long, term long, hash long, from_seq long, to_seq long"
+    above = [(0, 1, 2, 2, 10, 3, None), (0, 2, 2, 2, 10, 4, None)]
+    other = [(0, 1, 1, 1, 5, 1, None), (0, 2, 1, 2, 6, 2, None)]
+    assert rows(checks.log_matching(spark.createDataFrame(above + other, cols))) == [(0, 2, 2, 1, 2, "before", 4)]
+    one = spark.createDataFrame(above + other[:1], cols)
+    assert rows(checks.log_matching(one)) == [(0, 2, 2, 1, 2, "before", 4)]  # an entry against none
+    covered = spark.createDataFrame([(0, 2, 1, 1, 2, None)], "range_id long, server long, floor long, term long, from_seq long, to_seq long")
+    assert rows(checks.log_matching(one, covered)) == []
+    assert rows(checks.log_matching(spark.createDataFrame(above, cols))) == []
+    mended = [(0, 1, 1, 1, 5, 1, 4), (0, 1, 1, 2, 6, 4, None), (0, 2, 1, 2, 6, 2, None)]  # by the time the second came, they agreed
+    assert rows(checks.log_matching(spark.createDataFrame(above + mended, cols))) == []
+
+
+def test_leader_completeness_equals_brute_force(spark):
+    random.seed(21)
+    commits = [(0, i, random.randrange(1, 6), random.randrange(1, 6), random.randrange(1, 80)) for i in range(1, 25)]
+    leaders = [(0, s, random.randrange(1, 9), random.randrange(1, 100)) for s in (1, 2, 3) for _ in range(8)]
+    entries = []
+    for s in (1, 2, 3):
+        for _, i, term, _, _ in commits:
+            at = random.randrange(0, 40)
+            for _ in range(random.randrange(0, 3)):
+                end = at + random.randrange(5, 60)
+                entries.append((0, s, i, random.choice([term, term, 9]), 1, at, random.choice([end, end, None])))
+                if entries[-1][-1] is None:
+                    break
+                at = end + random.randrange(0, 10)
+    want = set()
+    for _, s, led, elected in leaders:
+        gone = [i for _, i, term, in_term, at in commits if in_term < led and at < elected and not any(e[1] == s and e[2] == i and e[3] == term and e[5] <= elected and (e[6] is None or e[6] > elected) for e in entries)]
+        if gone:
+            want.add((0, led, s, min(gone), elected))
+    least = {}
+    for r, led, s, i, seq in want:
+        a, b = least.get((r, led, s), (i, seq))
+        least[r, led, s] = min(a, i), min(b, seq)
+    found = checks.leader_completeness(
+        spark.createDataFrame(commits, "range_id long, idx long, entry_term long, term long, seq long"), spark.createDataFrame(leaders, "range_id long, server long, term long, seq long"),
+        spark.createDataFrame(entries, "range_id long, server long, idx long, term long, hash long, from_seq long, to_seq long"),
+    )
+    assert {(r.range_id, r.led, r.server): (r.idx, r.seq) for r in found.collect()} == least and least
+
+
+def test_span_joins_equal_brute_force(spark):
+    random.seed(3)
+    a = [(random.randrange(2), k, x := random.randrange(200), x + random.choice([0, 1, 5, 90])) for k in range(60)]
+    b = [(random.randrange(2), k, x := random.randrange(-20, 200), x + random.choice([0, 2, 9, 150])) for k in range(60)]
+    left, right = spark.createDataFrame(a, "k long, n long, a long, b long"), spark.createDataFrame(b, "k long, m long, c long, d long")
+    want = sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and max(p[2], q[2]) < min(p[3], q[3]))
+    inside = sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and q[2] <= p[2] < q[3])
+    for width in (None, 1, 7, 1000):
+        assert sorted(rows(intervals.overlapping(left, right, ("a", "b"), ("c", "d"), ["k"], width).select("n", "m"))) == want
+        assert sorted(rows(intervals.covering(left, right, "a", "c", "d", ["k"], width).select("n", "m"))) == inside
+
+
+def test_owner_overlap_equals_brute_force(spark):
+    random.seed(4)
+    held = [(random.randrange(2), k, x := random.randrange(60), x + random.randrange(0, 15), t := random.randrange(50), random.choice([None, t + random.randrange(1, 30)])) for k in range(50)]
+    want = {}
+    for p in held:
+        over = [max(p[2], q[2]) for q in held if p[0] == q[0] and p[1] != q[1] and max(p[2], q[2]) < min(p[3], q[3]) and q[4] < p[4] and (q[5] is None or q[5] > p[4])]
+        if over:
+            want[p[0], p[1]] = min(over), p[4]
+    found = checks.owner_overlap(spark.createDataFrame(held, "node long, range_id long, start long, stop long, from_seq long, to_seq long"))
+    assert {(r.node, r.range_id): (r.low, r.seq) for r in found.collect()} == want and want
+
+
+def test_frames_keep_the_cap_and_take_ranges_in_turn(spark):
+    made = [(1, 0, 7, k, 9) for k in range(3)] + [(1, 0, 8, 9, 4), (1, 1, 8, 10, 30), (2, 5, 1, 11, 10), (1, 40, 3, 12, 5)]
+    found = sorted(rows(ranges.outbox_frames(spark.createDataFrame(made, "peer long, flush long, range_id long, seq long, bytes long").repartition(3), 15)))
+    assert found == [(1, -1, -1, 8, 10, 30), (1, 0, 0, 7, 0, 9), (1, 0, 1, 8, 9, 4), (1, 1, 0, 7, 1, 9), (1, 2, 0, 7, 2, 9), (1, 40, 0, 3, 12, 5), (2, 5, 0, 1, 11, 10)]
+    assert [m[:3] for m in ranges.cut_frames([(0, 7, 0, 9)], 10, head=1)] == [(0, 0, 7)] and [m[0] for m in ranges.cut_frames([(0, 7, 0, 9)], 10, head=1, tag=1)] == [-1]
+    random.seed(6)
+    many = sorted((f, random.randrange(4), k, random.randrange(1, 12)) for k, f in enumerate(random.randrange(30) for _ in range(300)))
+    out = list(ranges.cut_frames(many, 40, head=2, tag=1))
+    assert sorted(m[3] for m in out) == sorted(m[2] for m in many)
+    for flush in {m[0] for m in out}:
+        own = [m for m in out if m[0] == flush]
+        assert 2 + sum(1 + m[4] for m in own) <= 40 and [m[1] for m in own] == list(range(len(own)))
+    for range_id in range(4):  # a range's messages keep their order
+        assert [m[3] for m in out if m[2] == range_id] == [m[2] for m in many if m[1] == range_id]
+
+
+def test_a_range_left_out_leads_the_next_frame():
+    found = list(ranges.cut_frames([(0, 1, 0, 6), (0, 2, 1, 6), (0, 1, 2, 3)], 10))
+    assert [(m[0], m[2], m[3]) for m in found] == [(0, 1, 0), (0, 1, 2), (1, 2, 1)]
+
+
+def test_compaction_takes_all_of_level_zero_and_walks_deeper_ones(spark):
+    cols = "level int, number long, first_key long, last_key long, entries long, bytes long, max_seq long"
+    zero = [(0, k, 10 * k, 10 * k + 15, 1, 1, 1) for k in range(4)] + [(1, 50, 0, 4, 1, 1, 1), (1, 51, 5, 30, 1, 1, 1), (1, 52, 46, 50, 1, 1, 1)]
+    found = kv.compaction_pick(spark.createDataFrame(zero, cols)).first()
+    assert (found.level, found.inputs, found.low, found.high, found.next_inputs) == (0, [0, 1, 2, 3], 0, 45, [50, 51])
+    one = spark.createDataFrame([(1, 5, 0, 9, 1, 60, 1), (1, 6, 20, 29, 1, 60, 1), (2, 7, 25, 40, 1, 1, 1)], cols)
+    picks = [kv.compaction_pick(one, 100, None if p is None else spark.createDataFrame([(1, p)], "level int, pointer long")).first() for p in (None, 0, 20)]
+    assert [(p.inputs, p.next_inputs) for p in picks] == [([5], []), ([6], [7]), ([5], [])]
+    assert rows(kv.compaction_pick(one, 1000)) == []
+
+
+def test_a_cas_known_not_to_swap_is_a_read():
+    ops = [("cas", 9, 100 + k, True, None, False) for k in range(22)] + [("put", 1, None, True, None, None)]
+    assert lin.search(ops, [0] * 23, [100] * 23, budget=200)[0] == "ok"
+    assert not lin.reads_only(("cas", 9, 1, False, None, None), 2) and not lin.reads_only(("cas", 9, 2, True, None, False), 2)
+    assert lin.reads_only(("get", None, None, False, None, None), 2) and not lin.reads_only(("get", None, None, True, 3, None), 2)
+
+
+def test_a_stale_update_that_won_nothing_is_no_violation(spark):
+    cols = "idx long, range_id long, start long, stop long, generation long, seq long"
+    won = spark.createDataFrame([(1, 1, 0, 10, 3, 1), (1, 1, 0, 10, 3, 2), (3, 2, 4, 6, 2, 9), (2, 1, 0, 10, 4, 8)], cols)
+    assert sorted(rows(checks.meta_monotone(won))) == [(4, 6, 3, 2, 4, 2, 9)]
+    assert rows(checks.meta_monotone(won.filter("idx < 3"))) == []
+
+
+def test_hot_keys_stream_through_compare_and_set(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = spark.createDataFrame([(1, "k", k, "cas", k + 1, k or None) for k in range(100)], "range_id long, key string, idx long, kind string, value long, expect long").repartition(4)
+        assert [r.swapped for r in log.cas_outcomes(made).orderBy("idx").collect()] == [True] * 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_first_violation_and_ranks(spark):

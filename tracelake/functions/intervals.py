@@ -49,6 +49,36 @@ def with_next(rows: DataFrame, keys: list[str], on: str, tie: str, width: int, n
     return inside.join(after, [*keys, "bucket"]).withColumn(name, F.coalesce("__inside", "__after")).drop("bucket", "__inside", "__after")
 
 
+def span_width(*spans: tuple[DataFrame, str, str]) -> int:
+    """The mean length of several lists of spans: dealt to buckets of it, they make some two rows each."""
+    lengths = None
+    for rows, start, stop in spans:
+        own = rows.select((F.col(stop) - F.col(start)).alias("length")).filter("length > 0")
+        lengths = own if lengths is None else lengths.unionByName(own)
+    mean = lengths.agg(F.avg("length")).first()[0]
+    return max(1, -int(-(mean or 1) // 1))
+
+
+def dealt(spans: DataFrame, start: str, stop: str, width: int, name: str) -> DataFrame:
+    """``spans`` (of longs, the empty ones gone) once for every bucket of ``width`` that they meet."""
+    return spans.filter(F.col(start) < F.col(stop)).withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
+
+
+def covering(points: DataFrame, spans: DataFrame, on: str, start: str, stop: str, by: list[str] | None = None, width: int | None = None) -> DataFrame:
+    """Every pair of a point and a span with start <= on < stop, joined by equality of ``by`` and bucket."""
+    width = width or span_width((spans, start, stop))
+    met = points.withColumn("_bucket", F.floor(F.col(on) / width)).join(dealt(spans, start, stop, width, "_bucket"), [*(by or []), "_bucket"])
+    return met.filter((F.col(on) >= F.col(start)) & (F.col(on) < F.col(stop))).drop("_bucket")
+
+
+def overlapping(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], by: list[str] | None = None, width: int | None = None) -> DataFrame:
+    """Every pair of overlapping spans of ``a`` and ``b``, once: in the bucket where their common part begins."""
+    width = width or span_width((a, *a_span), (b, *b_span))
+    met = dealt(a, *a_span, width, "_bucket").join(dealt(b, *b_span, width, "_bucket"), [*(by or []), "_bucket"])
+    low, high = F.greatest(a_span[0], b_span[0]), F.least(a_span[1], b_span[1])
+    return met.filter((low < high) & (F.col("_bucket") == F.floor(low / width))).drop("_bucket")
+
+
 def valid_until(rows: DataFrame, keys: list[str], on: str, name: str = "until") -> DataFrame:
     """``rows`` with the ``on`` of the next row of its key: each holds from its own until there (null: for ever)."""
     return rows.withColumn(name, F.lead(on).over(Window.partitionBy(*keys).orderBy(on)))

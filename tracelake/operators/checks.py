@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of, bucket_width, running
+from ..functions.intervals import as_of, bucket_width, covering, dealt, overlapping, running, span_width
 from ..functions.scalar import joint_majority
 
 #: Fixed value: the order in which the checks of one trace are judged.
@@ -82,29 +82,51 @@ def _alive(interval: DataFrame, seq: Column) -> Column:
     return (interval["from_seq"] <= seq) & (interval["to_seq"].isNull() | (interval["to_seq"] > seq))
 
 
-def log_matching(entries: DataFrame) -> DataFrame:
-    """Two servers hold an entry of one index and term at the same time, with different hashes; or equal ones whose
-    entries before it differ. ``entries`` is log_view(). Only entries that share (range, index, term) meet."""
+def log_matching(entries: DataFrame, floor: DataFrame | None = None) -> DataFrame:
+    """Two servers hold an entry of one index and term at the same time with different hashes ('payload'); or equal ones,
+    and what they hold before it when the second came differs ('before'): another entry, or one against none.
+
+    ``entries`` is log_view(), ``floor`` floors(): a covered index agrees with anything. Only entries that share
+    (range, index, term) meet, one a server, and each pair looks up one index of both.
+    """
     cols = ["range_id", "idx", "term"]
-    odd = entries.groupBy(*cols).agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least <> most").select(*cols)
-    suspects = entries.join(odd, cols, "left_semi")
-    a = suspects.select(*cols, F.col("server").alias("a"), F.col("hash").alias("a_hash"), F.col("from_seq").alias("a_from"), F.col("to_seq").alias("a_to"))
-    b = suspects.select(*cols, F.col("server").alias("b"), F.col("hash").alias("b_hash"), F.col("from_seq").alias("b_from"), F.col("to_seq").alias("b_to"))
-    met = a.join(b, cols).filter("a < b and a_hash <> b_hash and (a_to is null or a_to > b_from) and (b_to is null or b_to > a_from)")
-    return met.select(*cols, "a", "b", F.greatest("a_from", "b_from").alias("seq"))
+    a = entries.select(*cols, F.col("server").alias("a"), F.col("hash").alias("a_hash"), F.col("from_seq").alias("a_from"), F.col("to_seq").alias("a_to"))
+    b = entries.select(*cols, F.col("server").alias("b"), F.col("hash").alias("b_hash"), F.col("from_seq").alias("b_from"), F.col("to_seq").alias("b_to"))
+    met = a.join(b, cols).filter("a < b and (a_to is null or a_to > b_from) and (b_to is null or b_to > a_from)")
+    met = met.select(*cols, "a", "b", (F.col("a_hash") == F.col("b_hash")).alias("same"), F.greatest("a_from", "b_from").alias("seq"))
+    payload = met.filter("not same").select(*cols, "a", "b", F.lit("payload").alias("what"), "seq")
+    below = met.filter("same").withColumn("at", F.col("idx") - 1)
+    for side in ("a", "b"):
+        held = entries.select(F.col("range_id").alias("h_range"), F.col("server").alias("h_server"), F.col("idx").alias("h_idx"), F.struct("term", "hash").alias(f"{side}_held"), "from_seq", "to_seq")
+        on = (F.col("range_id") == F.col("h_range")) & (F.col(side) == F.col("h_server")) & (F.col("at") == F.col("h_idx")) & (F.col("from_seq") <= F.col("seq")) & (F.col("to_seq").isNull() | (F.col("to_seq") > F.col("seq")))
+        below = below.join(held, on, "left").drop("h_range", "h_server", "h_idx", "from_seq", "to_seq")
+        if floor is not None:
+            over = floor.select(F.col("range_id").alias("f_range"), F.col("server").alias("f_server"), "floor", "from_seq", "to_seq")
+            reach = (F.col("range_id") == F.col("f_range")) & (F.col(side) == F.col("f_server")) & (F.col("floor") >= F.col("at")) & (F.col("from_seq") <= F.col("seq")) & (F.col("to_seq").isNull() | (F.col("to_seq") > F.col("seq")))
+            below = below.join(over, reach, "left_anti")
+    return payload.unionByName(below.filter("not (a_held <=> b_held)").select(*cols, "a", "b", F.lit("before").alias("what"), "seq"))
 
 
 def leader_completeness(commits: DataFrame, leaders: DataFrame, entries: DataFrame, floor: DataFrame | None = None) -> DataFrame:
     """A leader whose log lacks an entry committed in an earlier term before it was elected.
 
-    What was committed before each leader is summed up per range and term first: the leader's log, as alive
-    at its election, is complete if each committed (index, term) below is there.
+    For each server that ever led and each committed entry, the times after the commit when the server doesn't
+    hold it are found first, from one window over its entries of that index. On a good run they are few, and
+    only they meet the server's elections.
     """
     committed = commits.groupBy("range_id", "idx").agg(F.min_by("entry_term", "seq").alias("term"), F.min("term").alias("in_term"), F.min("seq").alias("at"))
     led = leaders.select("range_id", "server", F.col("term").alias("led"), F.col("seq").alias("elected"))
-    due = led.join(committed, "range_id").filter("in_term < led and at < elected")
-    have = entries.select("range_id", "server", "idx", "term", "from_seq", "to_seq")
-    missing = due.join(have, (due["range_id"] == have["range_id"]) & (due["server"] == have["server"]) & (due["idx"] == have["idx"]) & (due["term"] == have["term"]) & _alive(have, due["elected"]), "left_anti")
+    key = ["range_id", "server", "idx", "term"]
+    owed = committed.join(led.select("range_id", "server").distinct(), "range_id")
+    held = entries.select(*key, "from_seq", "to_seq").join(committed.select("range_id", "idx", "term", "in_term", "at"), ["range_id", "idx", "term"])
+    marks = owed.select(*key, "in_term", "at", F.col("at").alias("from_seq"), F.col("at").alias("to_seq"))  # nothing is held until the commit, as far as this goes
+    marks = marks.unionByName(held.filter("to_seq is null or to_seq > at").select(*key, "in_term", "at", F.greatest("from_seq", "at").alias("from_seq"), "to_seq"))
+    by = Window.partitionBy(*key).orderBy("from_seq", F.col("to_seq").asc_nulls_last())
+    upto = F.max(F.coalesce("to_seq", F.lit(1 << 62))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lacks = marks.withColumn("lost", upto).withColumn("again", F.coalesce(F.lead("from_seq").over(by), F.lit(1 << 62))).filter("lost < again")
+    lacks = lacks.select(F.col("range_id").alias("l_range"), F.col("server").alias("l_server"), "idx", F.col("term"), "in_term", "at", "lost", "again")
+    on = (led["range_id"] == F.col("l_range")) & (led["server"] == F.col("l_server")) & (F.col("elected") > F.col("at")) & (F.col("elected") >= F.col("lost")) & (F.col("elected") < F.col("again")) & (F.col("in_term") < F.col("led"))
+    missing = led.join(lacks, on)
     if floor is not None:
         missing = missing.join(floor, (missing["range_id"] == floor["range_id"]) & (missing["server"] == floor["server"]) & (floor["floor"] >= missing["idx"]) & _alive(floor, missing["elected"]), "left_anti")
     return missing.groupBy("range_id", "led", "server").agg(F.min("idx").alias("idx"), F.min("elected").alias("seq"))
@@ -191,20 +213,29 @@ def generations_rise(writes: DataFrame) -> DataFrame:
     return marked.filter(bad).select("key", "last_range", "range_id", "last_generation", "generation", "seq")
 
 
-def meta_monotone(updates: DataFrame) -> DataFrame:
+def meta_monotone(won: DataFrame) -> DataFrame:
     """Elementary key intervals whose generation falls from one meta index to a later one that won them.
 
-    An update wins an interval if no earlier one named it at its generation or above; a lower one that
-    still holds the interval at a later index is the violation.
+    ``won`` has the spans that each update won (idx, range_id, start, stop, generation, seq): a stale update that
+    won nothing names nothing, and is no violation. Order is that of idx, whatever order replicas applied in.
     """
     from .ranges import elementary
 
-    cut = elementary(updates)
-    named = updates.join(cut, (cut["low"] >= updates["start"]) & (cut["low"] < updates["stop"])).select("low", "high", "idx", "range_id", "generation", "seq")
-    before = F.max("generation").over(Window.partitionBy("low").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    spans = won.select("start", "stop", "idx", "range_id", "generation", "seq")
+    named = covering(elementary(won), spans, "low", "start", "stop").select("low", "high", "idx", "range_id", "generation", "seq")
+    before = F.max("generation").over(Window.partitionBy("low").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1))
     return named.withColumn("before", before).filter("generation < before").select("low", "high", "idx", "range_id", "before", "generation", "seq")
 
 
+def meta_named(updates: DataFrame, known: DataFrame) -> DataFrame:
+    """Updates that name a range at a generation not traced before them ('unknown'), or with another span than the first
+    traced at that generation ('differs'). ``known``: range_id, generation, start, stop, seq."""
+    first = known.groupBy("range_id", "generation").agg(F.min_by(F.struct("start", "stop", "seq"), "seq").alias("k"))
+    met = updates.join(first, ["range_id", "generation"], "left")
+    what = F.when(F.col("k").isNull() | (F.col("k.seq") > F.col("seq")), "unknown").when((F.col("k.start") != F.col("start")) | (F.col("k.stop") != F.col("stop")), "differs")
+    return met.withColumn("what", what).filter("what is not null").select("idx", "range_id", "generation", "what", "seq")
+
+
 def client_refresh(sends: DataFrame, mismatches: DataFrame) -> DataFrame:
     """Sends to an older generation than a mismatch before them, of the same client and operation, named for the key."""
     s = sends.select("client", "invoked", "key", F.col("generation").alias("sent"), "seq")
@@ -247,20 +278,26 @@ def placeholder_votes(votes: DataFrame, states: DataFrame) -> DataFrame:
     return last.filter("found is null or found.what in ('removed', 'refused')").select("range_id", "node", "term", "seq")
 
 
-def owner_overlap(held: DataFrame) -> DataFrame:
-    """Two ranges of one node whose spans overlap at the same time: ``held`` has node, range_id, start, stop, from_seq, to_seq.
+def _held_then(events: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of an event (node, range_id, start, stop, seq) and a span that another range of its node holds at that moment
+    and that overlaps it. ``held``: node, range_id, start, stop, from_seq, to_seq.
 
-    Spans of a node meet only in the buckets of their elementary cuts, so no node's spans are all compared.
+    Both are dealt to buckets of keys, and holdings to buckets of time, so that an event meets what is held
+    about its keys and its time, not all that ever was.
     """
-    h = held.filter("start < stop")
-    bounds = h.select("node", F.explode(F.array("start", "stop")).alias("low")).distinct()
-    cuts = bounds.withColumn("high", F.lead("low").over(Window.partitionBy("node").orderBy("low"))).filter("high is not null")
-    c = cuts.select(F.col("node").alias("c_node"), "low")
-    placed = h.join(c, (F.col("node") == F.col("c_node")) & (F.col("low") >= F.col("start")) & (F.col("low") < F.col("stop"))).select("node", "low", "range_id", "from_seq", "to_seq")
-    order = Window.partitionBy("node", "low").orderBy("from_seq", "range_id")
-    other = F.max(F.struct(F.coalesce("to_seq", F.lit(1 << 62)).alias("until"), F.col("range_id"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    met = placed.withColumn("other", other).filter((F.col("other.until") > F.col("from_seq")) & (F.col("other.range_id") != F.col("range_id")))
-    return met.groupBy("node", "range_id", "from_seq").agg(F.min("low").alias("low")).select("node", "range_id", "low", F.col("from_seq").alias("seq"))
+    last = events.agg(F.max("seq")).first()[0] or 0
+    h = held.select("node", F.col("range_id").alias("holder"), F.col("start").alias("h_start"), F.col("stop").alias("h_stop"), (F.col("from_seq") + 1).alias("h_from"), F.least(F.coalesce("to_seq", F.lit(last + 1)), F.lit(last + 1)).alias("h_until"))
+    width = span_width((h, "h_from", "h_until"))
+    h = dealt(h, "h_from", "h_until", width, "epoch")
+    e = events.withColumn("epoch", F.floor(F.col("seq") / width))
+    met = overlapping(e, h, ("start", "stop"), ("h_start", "h_stop"), ["node", "epoch"])
+    return met.filter((F.col("holder") != F.col("range_id")) & (F.col("h_from") <= F.col("seq")) & (F.col("h_until") > F.col("seq")))
+
+
+def owner_overlap(held: DataFrame) -> DataFrame:
+    """Two ranges of one node whose spans overlap at the same time: ``held`` has node, range_id, start, stop, from_seq, to_seq."""
+    met = _held_then(held.select("node", "range_id", "start", "stop", F.col("from_seq").alias("seq")), held)
+    return met.groupBy("node", "range_id", "seq").agg(F.min(F.greatest("start", "h_start")).alias("low")).select("node", "range_id", "low", "seq")
 
 
 def tiling(spans: DataFrame, low: int, high: int) -> DataFrame:
@@ -286,16 +323,15 @@ def right_half_owed(splits: DataFrame, events: DataFrame) -> DataFrame:
 
 def install_over_another(installs: DataFrame, held: DataFrame) -> DataFrame:
     """Installs (node, range_id, start, stop, seq) over a span that another range of the node holds at that moment."""
-    i, h = installs.alias("i"), held.alias("h")
-    on = (F.col("i.node") == F.col("h.node")) & (F.col("i.range_id") != F.col("h.range_id")) & (F.col("h.start") < F.col("i.stop")) & (F.col("i.start") < F.col("h.stop"))
-    alive = (F.col("h.from_seq") < F.col("i.seq")) & (F.col("h.to_seq").isNull() | (F.col("h.to_seq") > F.col("i.seq")))
-    return i.join(h, on & alive).groupBy("i.node", "i.range_id", "i.seq").agg(F.min("h.range_id").alias("holder"))
+    return _held_then(installs, held).groupBy("node", "range_id", "seq").agg(F.min("holder").alias("holder"))
 
 
 def recovery_losses(writes: DataFrame, recovered: DataFrame, faults: DataFrame) -> DataFrame:
     """Durable writes (epoch, seq, t) that a recovery (epoch, seq) lost without a traced fault (from_t, until_t) at that time."""
     gone = writes.join(recovered, ["epoch", "seq"], "left_anti")
-    return gone.join(faults, (gone["t"] >= faults["from_t"]) & (gone["t"] <= faults["until_t"]), "left_anti").select("epoch", "seq")
+    spans = faults.select("from_t", (F.col("until_t") + 1).alias("after_t"))
+    told = covering(gone.select("epoch", "seq", "t"), spans, "t", "from_t", "after_t").select("epoch", "seq").distinct()
+    return gone.join(told, ["epoch", "seq"], "left_anti").select("epoch", "seq")
 
 
 def table_of_writes(writes: DataFrame, flushes: DataFrame, compactions: DataFrame) -> DataFrame:

@@ -154,16 +154,25 @@ def levels(tables: DataFrame) -> DataFrame:
     return tables.groupBy("level").agg(F.count(F.lit(1)).alias("tables"), F.sum("entries").alias("entries"), F.sum("bytes").alias("bytes"), F.max("max_seq").alias("max_seq"))
 
 
-def compaction_pick(tables: DataFrame, level1_bytes: int = LEVEL1_BYTES) -> DataFrame:
-    """The fullest level over its limit (the shallower on a tie) with its input table, the one after ``pointer``
-    in key order, and how many tables of the next level overlap it; no row if no level is over its limit."""
+def compaction_pick(tables: DataFrame, level1_bytes: int = LEVEL1_BYTES, pointers: DataFrame | None = None) -> DataFrame:
+    """The fullest level over its limit (the shallower on a tie) with its input tables, their key range, and the tables
+    of the next level that overlap it; no row if no level is over its limit.
+
+    Level 0 gives all its tables, since they overlap. A deeper one gives the first table that begins after
+    its pointer (``pointers``: level, pointer), where the last round left off, or its first: rounds walk and wrap.
+    """
     limit = F.when(F.col("level") == 0, float(LEVEL0_TABLES)).otherwise(F.lit(float(level1_bytes)) * F.pow(F.lit(float(LEVEL_RATIO)), F.col("level") - 1))
     used = F.when(F.col("level") == 0, F.col("tables")).otherwise(F.col("bytes"))
     fullest = levels(tables).filter(F.col("level") < LAST_LEVEL).withColumn("fullness", used / limit).filter("fullness >= 1").orderBy(F.desc("fullness"), "level").limit(1).select("level", "fullness")
-    first = tables.join(F.broadcast(fullest), "level").groupBy("level", "fullness").agg(F.min_by(F.struct("number", "first_key", "last_key"), F.struct("first_key", "number")).alias("t"))  # one row
-    chosen = first.select("level", "fullness", "t.number", F.col("t.first_key").alias("low"), F.col("t.last_key").alias("high"))
+    own = tables.join(F.broadcast(fullest), "level")  # one row
+    passed = F.lit(0) if pointers is None else F.when(F.col("first_key") > F.col("pointer"), 0).otherwise(1)
+    placed = own if pointers is None else own.join(F.broadcast(pointers.select("level", "pointer")), "level", "left")  # a row a level
+    one = placed.filter("level > 0").groupBy("level", "fullness").agg(F.min_by(F.struct("number", "first_key", "last_key"), F.struct(passed.alias("passed"), "first_key", "number")).alias("t")).select("level", "fullness", "t.*")
+    inputs = own.filter("level = 0").select("level", "fullness", "number", "first_key", "last_key").unionByName(one)
+    chosen = inputs.groupBy("level", "fullness").agg(F.array_sort(F.collect_list("number")).alias("inputs"), F.min("first_key").alias("low"), F.max("last_key").alias("high"))
     below = tables.select((F.col("level") - 1).alias("level"), F.col("number").alias("other"), "first_key", "last_key")
-    return chosen.join(below, (chosen["level"] == below["level"]) & (below["first_key"] <= chosen["high"]) & (below["last_key"] >= chosen["low"]), "left").groupBy(chosen["level"], "fullness", "number").agg(F.count("other").alias("overlapping"))
+    met = chosen.join(below, (chosen["level"] == below["level"]) & (below["first_key"] <= chosen["high"]) & (below["last_key"] >= chosen["low"]), "left")  # one row on the left
+    return met.groupBy(chosen["level"], "fullness", "inputs", "low", "high").agg(F.array_sort(F.collect_list("other")).alias("next_inputs"))
 
 
 def prune_tables(tables: DataFrame, key: object) -> DataFrame:

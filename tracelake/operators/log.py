@@ -7,6 +7,7 @@ are replayed key by key. A key's commands are the unit of that replay, in order
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ def step(kind: str, value: int | None, expect: int | None, held: int | None) ->
 def cas_outcomes(commands: DataFrame, by: tuple[str, ...] = ("range_id", "key")) -> DataFrame:
     """The outcome of every command (idx, kind, value, expect: null means absent), replayed per key in index order."""
 
-    def replay(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: int | None = None
         for pdf in frames:  # batches of one key, in index order: a hot key streams through
             out = []
@@ -47,10 +48,9 @@ def cas_outcomes(commands: DataFrame, by: tuple[str, ...] = ("range_id", "key"))
 
     keys = ", ".join(f"{k} {commands.schema[k].dataType.simpleString()}" for k in by)
 
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(replay(key, iter([pdf.sort_values("idx")])))
-
-    return commands.select(*by, "idx", "kind", "value", "expect").groupBy(*by).applyInPandas(whole, f"{keys}, {OUTCOMES}")
+    # sorted before it is grouped, so that each key's batches come in order
+    ordered = commands.select(*by, "idx", "kind", "value", "expect").repartition(*by).sortWithinPartitions(*by, "idx")
+    return ordered.groupBy(*by).applyInPandas(replay, f"{keys}, {OUTCOMES}")
 
 
 def replay_puts(commands: DataFrame, upto: Column | int | None = None) -> DataFrame:
@@ -96,5 +96,5 @@ def truncations(entries: DataFrame, cuts: DataFrame) -> DataFrame:
     """
     both = entries.select("range_id", "server", "seq", "idx", F.lit(None).cast("long").alias("cut"), *[c for c in entries.columns if c not in ("range_id", "server", "seq", "idx")])
     marks = cuts.select("range_id", "server", "seq", F.lit(None).cast("long").alias("idx"), F.col("from_idx").alias("cut"))
-    later = Window.partitionBy("range_id", "server").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("range_id", "server").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # a running frame; one to the end would be summed anew for each row
     return both.unionByName(marks, allowMissingColumns=True).withColumn("least", F.min("cut").over(later)).filter("idx is not null and (least is null or least > idx)").drop("cut", "least")

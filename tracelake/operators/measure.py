@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import bucket_width, with_next
+from ..functions.intervals import as_of, bucket_width, covering, overlapping, with_next
 
 #: Fixed value: the least span in seconds that a rate divides by.
 EPSILON = 2.220446049250313e-16
@@ -49,9 +49,9 @@ def cross_hold(applies: DataFrame, commits: DataFrame, downs: DataFrame) -> Data
     turned = ordered.filter("prior is not null and prior <> range_id and t0 is not null")
     ready = turned.join(commit_stamps(commits), ["range_id", "server", "idx"]).filter("stamp <= t1")
     holds = ready.select("server", "range_id", "idx", F.greatest("stamp", "t0").alias("held_from"), F.col("t1").alias("held_until"))
-    out = downs.select(F.col("server").alias("down_server"), "down_t").distinct()
-    down = holds.join(out, (holds["server"] == out["down_server"]) & (out["down_t"] >= holds["held_from"]) & (out["down_t"] <= holds["held_until"]), "left_semi").select("server", "range_id", "idx", "held_from", F.lit(True).alias("dropped"))
-    return holds.join(down, ["server", "range_id", "idx", "held_from"], "left").select("server", "range_id", "idx", (F.col("held_until") - F.col("held_from")).alias("hold"), F.coalesce("dropped", F.lit(False)).alias("dropped"))
+    # the last crash or restart up to its end tells whether one fell inside
+    last = as_of(holds.withColumn("at", F.col("held_until")), downs.select("server", F.col("down_t").alias("at")).distinct(), ["server"], "at", value="down")
+    return last.select("server", "range_id", "idx", (F.col("held_until") - F.col("held_from")).alias("hold"), F.coalesce(F.col("down.at") >= F.col("held_from"), F.lit(False)).alias("dropped"))
 
 
 def hold_summary(holds: DataFrame) -> DataFrame:
@@ -82,16 +82,16 @@ def overall_rate(lines: DataFrame) -> DataFrame:
 def availability_gap(completions: DataFrame, outages: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The longest time between neighbouring completions, less what outages (from_t, until_t) cover of it.
 
-    With fewer than two completions there is none. Outages are joined to the gaps that they meet.
+    With fewer than two completions there is none. Outages meet the gaps that they overlap in buckets of time.
     """
     by = by or []
     keyed = completions if by else completions.withColumn("all", F.lit(0))
     keys = by or ["all"]
     gaps = with_next(keyed.select(*keys, "t", "seq"), keys, "t", "seq", bucket_width(completions, "t", "t"), "next_t").filter("next_t is not null")
-    met = gaps.join(outages.select("from_t", "until_t"), (F.col("from_t") < F.col("next_t")) & (F.col("until_t") > F.col("t")), "left")
-    part = F.when(F.col("from_t").isNotNull(), F.least("next_t", "until_t") - F.greatest("t", "from_t"))  # least() passes over nulls
-    left = met.groupBy(*keys, "t", "seq", "next_t").agg(F.coalesce(F.sum(part), F.lit(0)).alias("covered"))
-    worst = left.groupBy(*keys).agg(F.max(F.col("next_t") - F.col("t") - F.col("covered")).alias("gap"))
+    met = overlapping(gaps, outages.select("from_t", "until_t"), ("t", "next_t"), ("from_t", "until_t"))
+    out = met.groupBy(*keys, "seq").agg(F.sum(F.least("next_t", "until_t") - F.greatest("t", "from_t")).alias("covered"))
+    left = gaps.join(out, [*keys, "seq"], "left")
+    worst = left.groupBy(*keys).agg(F.max(F.col("next_t") - F.col("t") - F.coalesce("covered", F.lit(0))).alias("gap"))
     return worst.select(*by, "gap")
 
 
@@ -105,14 +105,15 @@ def meta_lag(updates: DataFrame, wanted: DataFrame, last_heal: int) -> DataFrame
 
     both = updates.select("start", "stop").unionByName(wanted.select("start", "stop"))
     cut = elementary(both)
-    named = updates.join(cut, (cut["low"] >= updates["start"]) & (cut["low"] < updates["stop"])).select("low", "idx", "range_id", "generation", "t")
+    cut = cut.select("low")
+    named = covering(cut, updates.select("start", "stop", "idx", "range_id", "generation", "t"), "low", "start", "stop").select("low", "idx", "range_id", "generation", "t")
     best = F.max("generation").over(Window.partitionBy("low").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
     won = named.withColumn("best", best).filter("best is null or generation > best")
     order = Window.partitionBy("low").orderBy("idx")
     turns = won.withColumn("owner_before", F.lag("range_id").over(order)).filter("owner_before is null or owner_before <> range_id")
     last = turns.groupBy("low").agg(F.max_by(F.struct("range_id", "t"), "idx").alias("w")).select("low", F.col("w.range_id").alias("owner"), F.col("w.t").alias("named_t"))
     w = wanted.select(F.col("range_id").alias("want"), F.col("start").alias("w_start"), F.col("stop").alias("w_stop"), "since")
-    spans = w.join(cut, (F.col("low") >= F.col("w_start")) & (F.col("low") < F.col("w_stop"))).join(last, "low", "left")
+    spans = covering(cut, w, "low", "w_start", "w_stop").join(last, "low", "left")
     done = spans.groupBy("want", "since").agg(F.min(F.coalesce(F.col("owner") == F.col("want"), F.lit(False))).alias("named"), F.max("named_t").alias("at"))
     lag = F.greatest(F.col("at") - F.greatest(F.col("since"), F.lit(last_heal)), F.lit(0))
     return done.select(F.col("want").alias("range_id"), F.when(F.col("named"), lag).alias("lag"))
@@ -123,8 +124,7 @@ def meta_resends(updates: DataFrame) -> DataFrame:
     from .ranges import elementary
 
     firsts = updates.groupBy("idx").agg(F.min_by(F.struct("start", "stop", "generation"), "seq").alias("u")).select("idx", "u.start", "u.stop", "u.generation")
-    cut = elementary(firsts)
-    named = firsts.join(cut, (cut["low"] >= firsts["start"]) & (cut["low"] < firsts["stop"])).select("low", "idx", "generation")
+    named = covering(elementary(firsts).select("low"), firsts, "low", "start", "stop").select("low", "idx", "generation")
     best = F.max("generation").over(Window.partitionBy("low").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
     return named.withColumn("best", best).filter("generation > 1 and best >= generation").agg(F.countDistinct("idx").alias("resends"))
 
@@ -137,11 +137,10 @@ def latest_spans(values: DataFrame) -> DataFrame:
 
 def splits_from_earlier_run(splits: DataFrame, grants: DataFrame, restarts: DataFrame) -> DataFrame:
     """The first split whose right id lies in a block granted before its holder's latest restart before the split."""
-    s, g = splits.alias("s"), grants.alias("g")
-    held = s.join(g, (F.col("s.right_id") >= F.col("g.first_id")) & (F.col("s.right_id") <= F.col("g.last_id"))).select(F.col("s.seq").alias("seq"), F.col("s.right_id").alias("right_id"), F.col("g.node").alias("node"), F.col("g.seq").alias("granted"))
-    again = restarts.select(F.col("node").alias("r_node"), F.col("seq").alias("restarted"))
-    late = held.join(again, (held["node"] == again["r_node"]) & (again["restarted"] > held["granted"]) & (again["restarted"] < held["seq"]), "left_semi")
-    return late.agg(F.min_by(F.struct("seq", "right_id", "node"), "seq").alias("x")).filter("x is not null").select("x.*")
+    blocks = grants.select("node", "first_id", (F.col("last_id") + 1).alias("after_id"), F.col("seq").alias("granted"))
+    held = covering(splits.select("seq", "right_id"), blocks, "right_id", "first_id", "after_id").select("seq", "right_id", "node", "granted")
+    late = as_of(held, restarts.select("node", "seq"), ["node"], "seq", inclusive=False, value="restart").filter(F.col("restart.seq") > F.col("granted"))
+    return late.agg(F.min(F.struct("seq", "node", "right_id")).alias("x")).filter("x is not null").select("x.seq", "x.right_id", "x.node")
 
 
 def stale_reads_served(returns: DataFrame, reader_bits: int) -> DataFrame:

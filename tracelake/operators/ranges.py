@@ -2,17 +2,23 @@
 
 Descriptors have range_id, start, stop (half-open), generation, arrival and state. Merging works on the
 elementary intervals between all bounds: of the descriptors that cover one, the greatest generation owns
-it, and on a tie the one that came first. Each descriptor meets only the intervals inside it.
+it, and on a tie the one that came first. Bounds are longs; descriptors meet the intervals inside them in
+buckets of the mean descriptor's length, by equality, so that nothing is compared with everything.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of, bucket_width, running
+from ..functions.intervals import as_of, bucket_width, covering, running, with_next
 
 
 def contains(key: Column, start: Column, stop: Column) -> Column:
@@ -23,19 +29,14 @@ def elementary(descriptors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The intervals between neighbouring bounds of all non-empty descriptors."""
     good = descriptors.filter("start < stop")
     bounds = good.select(*by, F.explode(F.array("start", "stop")).alias("low")).distinct()
-    return bounds.withColumn("high", F.lead("low").over(Window.partitionBy(*by).orderBy("low"))).filter("high is not null")
+    return with_next(bounds, list(by), "low", "low", bucket_width(bounds, "low", "low"), "high").filter("high is not null")
 
 
 def merge_generation(descriptors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(low, high, range_id, generation): who owns each covered elementary interval."""
     good = descriptors.filter("start < stop").select(*by, "start", "stop", "range_id", "generation", "arrival")
-    cut = elementary(descriptors, by)
-    cut = cut.select(*[F.col(k).alias(f"cut_{k}") for k in by], "low", "high")
-    on = contains(F.col("low"), F.col("start"), F.col("stop"))
-    for k in by:
-        on = on & F.col(f"cut_{k}").eqNullSafe(F.col(k))
     owner = F.max_by(F.struct("range_id", "generation"), F.struct("generation", -F.col("arrival"))).alias("w")
-    return good.join(cut, on).groupBy(*by, "low", "high").agg(owner).select(*by, "low", "high", "w.range_id", "w.generation")
+    return covering(elementary(descriptors, by), good, "low", "start", "stop", list(by)).groupBy(*by, "low", "high").agg(owner).select(*by, "low", "high", "w.range_id", "w.generation")
 
 
 def coalesce_intervals(owned: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def route(requests: DataFrame, descriptors: DataFrame) -> DataFrame:
     judged = judged.withColumn("verdict", F.when(F.coalesce(good, F.lit(False)), "applied").otherwise("out_of_span"))
     wrong = judged.filter("verdict <> 'applied'").select("request", "key")
     held = descriptors.select(F.col("range_id").alias("holder"), "start", "stop")
-    holders = wrong.join(held, contains(wrong["key"], held["start"], held["stop"])).groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_set("holder")), lambda h: h.cast("string")), ",").alias("holders"))
+    holders = covering(wrong, held, "key", "start", "stop").groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_set("holder")), lambda h: h.cast("string")), ",").alias("holders"))
     return judged.join(holders, "request", "left").select("request", "range_id", "key", "verdict", F.coalesce("holders", F.lit("")).alias("holders"))
 
 
@@ -150,11 +151,73 @@ def reseed_pick(directories: DataFrame) -> DataFrame:
     return directories.filter("not lost").groupBy("node").agg(F.max("generation").alias("generation"))
 
 
-def outbox_frames(messages: DataFrame, cap: int) -> DataFrame:
-    """Messages (peer, flush, seq, bytes) gathered to frames: per peer and flush in order, a new frame where ``cap`` bytes are passed."""
-    before = F.sum("bytes").over(Window.partitionBy("peer", "flush").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    framed = messages.withColumn("frame", F.floor(F.coalesce(before, F.lit(0)) / cap))
-    return framed.groupBy("peer", "flush", "frame").agg(F.count(F.lit(1)).alias("messages"), F.sum("bytes").alias("bytes"))
+def cut_frames(messages: Iterable[tuple[int, int, int, int]], cap: int, head: int = 0, tag: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """(flush, place, range_id, seq, bytes) of one peer's messages (flush, range_id, seq, bytes; in order of flush and seq).
+
+    A flush cuts one frame of at most ``cap`` bytes (``head`` and, for each message, ``tag`` more): it takes a
+    message from each range in turn, from the range that the last frame left out first. A range whose next
+    message doesn't fit waits for the next flush. Flushes go on after the last message until nothing waits;
+    a message that fits no frame at all is refused, with flush and place -1.
+    """
+    queues: dict[int, deque[tuple[int, int]]] = {}
+    resume: int | None = None
+
+    def flush() -> Iterator[tuple[int, int, int, int]]:
+        nonlocal resume
+        turns = deque(sorted(queues))
+        if resume in queues:
+            turns.rotate(-turns.index(resume))
+        used, place, left_out = head, 0, None
+        while turns:
+            range_id = turns.popleft()
+            seq, size = queues[range_id][0]
+            if used + tag + size > cap:
+                left_out = range_id if left_out is None else left_out
+                continue
+            queues[range_id].popleft()
+            yield place, range_id, seq, size
+            used, place = used + tag + size, place + 1
+            if queues[range_id]:
+                turns.append(range_id)
+            else:
+                del queues[range_id]
+        resume = left_out
+
+    now = None
+    for at, range_id, seq, size in messages:
+        while now is not None and now < at and queues:
+            yield from ((now, *m) for m in flush())
+            now += 1
+        now = at
+        if head + tag + size > cap:
+            yield -1, -1, range_id, seq, size
+        else:
+            queues.setdefault(range_id, deque()).append((seq, size))
+    while queues:
+        yield from ((now, *m) for m in flush())
+        now += 1
+
+
+def outbox_frames(messages: DataFrame, cap: int, head: int = 0, tag: int = 0) -> DataFrame:
+    """Each message (peer, flush, range_id, seq, bytes) with the flush whose frame carries it, and its place there (see cut_frames).
+
+    A peer's queue is sequential: one peer is one task, through which its messages stream.
+    """
+
+    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in frames for r in zip(*(pdf[c].tolist() for c in ("flush", "range_id", "seq", "bytes")), strict=True))
+        found = cut_frames(rows, cap, head, tag)
+        while lot := list(islice(found, 10_000)):
+            yield pd.DataFrame([(key[0], *r) for r in lot], columns=["peer", "flush", "place", "range_id", "seq", "bytes"])
+
+    ordered = messages.select(F.col("peer").cast("long").alias("peer"), *[F.col(c).cast("long").alias(c) for c in ("flush", "range_id", "seq", "bytes")])
+    ordered = ordered.repartition("peer").sortWithinPartitions("peer", "flush", "seq")
+    return ordered.groupBy("peer").applyInPandas(run, "peer long, flush long, place long, range_id long, seq long, bytes long")
+
+
+def frame_sizes(framed: DataFrame) -> DataFrame:
+    """Per frame its messages, ranges and bytes."""
+    return framed.filter("flush >= 0").groupBy("peer", "flush").agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("range_id").alias("ranges"), F.sum("bytes").alias("bytes"))
 
 
 def merge_candidates(descriptors: DataFrame) -> DataFrame:

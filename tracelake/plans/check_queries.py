@@ -35,12 +35,18 @@ def chk_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir)
 
 
-@query(oracle(f"WITH {_ENTRIES} SELECT x.range_id, x.idx, x.term, x.server AS a, y.server AS b, greatest(x.from_seq, y.from_seq) AS seq FROM entries x JOIN entries y USING (range_id, idx, term) WHERE x.server < y.server AND x.hash <> y.hash AND x.to_seq > y.from_seq AND y.to_seq > x.from_seq"))
+@query(oracle(f"""
+    WITH {_ENTRIES}, p AS (SELECT x.range_id, x.idx, x.term, x.server AS a, y.server AS b, x.hash = y.hash AS same, greatest(x.from_seq, y.from_seq) AS seq FROM entries x JOIN entries y USING (range_id, idx, term) WHERE x.server < y.server AND x.to_seq > y.from_seq AND y.to_seq > x.from_seq),
+    w AS (SELECT p.*, CASE WHEN NOT same THEN 'payload' WHEN (m.term, m.hash) IS DISTINCT FROM (n.term, n.hash) THEN 'before' END AS what FROM p
+          LEFT JOIN entries m ON m.range_id = p.range_id AND m.server = p.a AND m.idx = p.idx - 1 AND m.from_seq <= p.seq AND m.to_seq > p.seq
+          LEFT JOIN entries n ON n.range_id = p.range_id AND n.server = p.b AND n.idx = p.idx - 1 AND n.from_seq <= p.seq AND n.to_seq > p.seq)
+    SELECT range_id, idx, term, a, b, what, seq FROM w WHERE what IS NOT NULL
+"""))
 def chk_log_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.log_matching(_entries(spark, sf_dir))
 
 
-_LEADERS = "(SELECT range_id, server, term, min(seq) AS seq FROM {leaders} WHERE server <= 3 AND term % 4 = 0 GROUP BY ALL)"
+_LEADERS = "(SELECT range_id, server, term, min(seq) AS seq FROM {leaders} WHERE server <= 3 GROUP BY ALL)"
 
 
 @query(oracle(f"""
@@ -49,13 +55,13 @@ _LEADERS = "(SELECT range_id, server, term, min(seq) AS seq FROM {leaders} WHERE
     SELECT range_id, led, server, min(idx) AS idx, min(elected) AS seq FROM due d WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.range_id = d.range_id AND e.server = d.server AND e.idx = d.idx AND e.term = d.term AND e.from_seq <= d.elected AND e.to_seq > d.elected) GROUP BY range_id, led, server
 """))
 def chk_leader_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaders = fixture(spark, sf_dir, "leaders").filter("server <= 3 and term % 4 = 0").groupBy("range_id", "server", "term").agg(F.min("seq").alias("seq"))
+    leaders = fixture(spark, sf_dir, "leaders").filter("server <= 3").groupBy("range_id", "server", "term").agg(F.min("seq").alias("seq"))
     commits = fixture(spark, sf_dir, "commits").withColumn("entry_term", F.col("term"))
     return checks.leader_completeness(commits, leaders, _entries(spark, sf_dir))
 
 
 @query(oracle(f"""
-    WITH {_ENTRIES}, c AS (SELECT range_id, server, idx, term, seq FROM {{commits}} WHERE idx % 3 = 0),
+    WITH {_ENTRIES}, c AS (SELECT range_id, server, idx, term, seq FROM {{commits}}),
     held AS (SELECT c.range_id, c.server, c.idx, c.term, c.seq, count(DISTINCT e.server) AS holders,
                 count(DISTINCT e.server) FILTER (WHERE e.server IN (1, 2, 3)) AS early, count(DISTINCT e.server) FILTER (WHERE e.server IN (1, 4, 3 + 2 * (c.range_id % 2))) AS late
              FROM c LEFT JOIN entries e ON e.range_id = c.range_id AND e.idx = c.idx AND e.term = c.term AND e.from_seq <= c.seq AND e.to_seq > c.seq GROUP BY ALL),
@@ -65,7 +71,7 @@ def chk_leader_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chk_commit_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     voters = F.array(*[F.col(c).cast("long") for c in ("v1", "v2", "v3")])
     configs = fixture(spark, sf_dir, "configs").select("range_id", "seq", voters.alias("voters"), F.lit(None).cast("array<bigint>").alias("joining"))
-    commits = fixture(spark, sf_dir, "commits").filter("idx % 3 = 0").select("range_id", "server", "idx", "term", "seq")
+    commits = fixture(spark, sf_dir, "commits").select("range_id", "server", "idx", "term", "seq")
     return checks.commit_majority(commits, _entries(spark, sf_dir), configs)
 
 
@@ -122,12 +128,21 @@ def chk_generations_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("""
-    WITH b AS (SELECT DISTINCT low FROM (SELECT start AS low FROM {meta_updates} UNION ALL SELECT stop FROM {meta_updates}) x), e AS (SELECT low, lead(low) OVER (ORDER BY low) AS high FROM b),
-    n AS (SELECT e.low, e.high, u.idx, u.range_id, u.generation, u.seq, max(u.generation) OVER (PARTITION BY e.low ORDER BY u.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {meta_updates} u JOIN e ON e.low >= u.start AND e.low < u.stop WHERE e.high IS NOT NULL)
+    WITH b AS (SELECT DISTINCT low FROM (SELECT start AS low FROM {meta_won} UNION ALL SELECT stop FROM {meta_won}) x), e AS (SELECT low, lead(low) OVER (ORDER BY low) AS high FROM b),
+    n AS (SELECT e.low, e.high, u.idx, u.range_id, u.generation, u.seq, max(u.generation) OVER (PARTITION BY e.low ORDER BY u.idx RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {meta_won} u JOIN e ON e.low >= u.start AND e.low < u.stop WHERE e.high IS NOT NULL)
     SELECT low, high, idx, range_id, before, generation, seq FROM n WHERE generation < before
 """))
 def chk_meta_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.meta_monotone(fixture(spark, sf_dir, "meta_updates"))
+    return checks.meta_monotone(fixture(spark, sf_dir, "meta_won"))
+
+
+@query(oracle("""
+    WITH k AS (SELECT range_id, generation, arg_min(start, seq) AS start, arg_min(stop, seq) AS stop, min(seq) AS seq FROM {meta_known} GROUP BY range_id, generation),
+    w AS (SELECT u.idx, u.range_id, u.generation, CASE WHEN k.seq IS NULL OR k.seq > u.seq THEN 'unknown' WHEN k.start <> u.start OR k.stop <> u.stop THEN 'differs' END AS what, u.seq FROM {meta_updates} u LEFT JOIN k USING (range_id, generation))
+    SELECT idx, range_id, generation, what, seq FROM w WHERE what IS NOT NULL
+"""))
+def chk_meta_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.meta_named(fixture(spark, sf_dir, "meta_updates"), fixture(spark, sf_dir, "meta_known"))
 
 
 @query(oracle("SELECT s.client, s.invoked, s.key, s.generation AS sent, s.seq, max(m.generation) AS named FROM {sends} s JOIN {mismatches} m ON m.client = s.client AND m.invoked = s.invoked AND m.seq < s.seq AND s.key >= m.start AND s.key < m.stop GROUP BY ALL HAVING s.generation < max(m.generation)"))

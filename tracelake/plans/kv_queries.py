@@ -141,11 +141,15 @@ def kv_compact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH lv AS (SELECT level, count(*) AS n, sum(bytes) AS b FROM {tables} GROUP BY level),
     f AS (SELECT level, CASE WHEN level = 0 THEN n / 4.0 ELSE b / (65536.0 * pow(10, level - 1)) END AS fullness FROM lv WHERE level < 6),
     p AS (SELECT level, fullness FROM f WHERE fullness >= 1 ORDER BY fullness DESC, level LIMIT 1),
-    t AS (SELECT t.*, p.fullness FROM {tables} t JOIN p ON t.level = p.level ORDER BY first_key, number LIMIT 1)
-    SELECT t.level, CAST(t.fullness AS DOUBLE) AS fullness, t.number, (SELECT count(*) FROM {tables} o WHERE o.level = t.level + 1 AND o.first_key <= t.last_key AND o.last_key >= t.first_key) AS overlapping FROM t
+    t AS (SELECT t.*, p.fullness FROM {tables} t JOIN p ON t.level = p.level QUALIFY t.level = 0 OR row_number() OVER (ORDER BY CASE WHEN first_key > 3 THEN 0 ELSE 1 END, first_key, number) = 1),
+    c AS (SELECT level, fullness, string_agg(CAST(number AS STRING), ',' ORDER BY number) AS inputs, min(first_key) AS low, max(last_key) AS high FROM t GROUP BY level, fullness)
+    SELECT c.level, CAST(c.fullness AS DOUBLE) AS fullness, c.inputs, c.low, c.high, coalesce((SELECT string_agg(CAST(o.number AS STRING), ',' ORDER BY o.number) FROM {tables} o WHERE o.level = c.level + 1 AND o.first_key <= c.high AND o.last_key >= c.low), '') AS next_inputs FROM c
 """))
 def kv_compaction_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv.compaction_pick(fixture(spark, sf_dir, "tables"), level1_bytes=65536)
+    pointers = spark.range(1, 6).select(F.col("id").cast("int").alias("level"), F.lit(3).cast("long").alias("pointer"))
+    found = kv.compaction_pick(fixture(spark, sf_dir, "tables"), level1_bytes=65536, pointers=pointers)
+    told = [F.array_join(F.transform(c, lambda n: n.cast("string")), ",").alias(c) for c in ("inputs", "next_inputs")]
+    return found.select("level", "fullness", "low", "high", *told)
 
 
 @query(oracle("SELECT number, level, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -number ELSE first_key END, number) AS rank FROM {tables} WHERE 500 BETWEEN first_key AND last_key"))

@@ -120,14 +120,14 @@ def m_latest_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle("""
-    WITH g AS (SELECT * FROM {grants} QUALIFY row_number() OVER (PARTITION BY idx ORDER BY seq) = 1), s AS (SELECT seq + 2000 AS seq, 1 + seq % 1500 AS right_id FROM {trace} WHERE event_type = 'purchase'),
+    WITH g AS (SELECT * FROM {grants} QUALIFY row_number() OVER (PARTITION BY idx ORDER BY seq) = 1), s AS (SELECT seq + 2000 AS seq, 1 + seq AS right_id FROM {trace} WHERE event_type = 'purchase'),
     r AS (SELECT CAST(seq % 5 AS BIGINT) AS node, seq FROM {trace} WHERE event_type = 'signup' AND seq % 7 = 0)
     SELECT s.seq, s.right_id, g.node FROM s JOIN g ON s.right_id BETWEEN g.first_id AND g.last_id WHERE EXISTS (SELECT 1 FROM r WHERE r.node = g.node AND r.seq > g.seq AND r.seq < s.seq) ORDER BY s.seq, g.node LIMIT 1
 """))
 def m_splits_from_earlier_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     grants = fixture(spark, sf_dir, "grants").groupBy("idx").agg(F.min_by(F.struct("node", "first_id", "last_id", "seq"), "seq").alias("x")).select("x.*")
     events = fixture(spark, sf_dir, "trace")
-    splits = events.filter("event_type = 'purchase'").selectExpr("seq + 2000 AS seq", "1 + seq % 1500 AS right_id")
+    splits = events.filter("event_type = 'purchase'").selectExpr("seq + 2000 AS seq", "1 + seq AS right_id")
     restarts = events.filter("event_type = 'signup' and seq % 7 = 0").selectExpr("CAST(seq % 5 AS BIGINT) AS node", "seq")
     return measure.splits_from_earlier_run(splits, grants, restarts)
 

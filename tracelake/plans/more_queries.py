@@ -29,11 +29,11 @@ _HELD = "(SELECT idx % 3 AS node, range_id, start, stop, seq AS from_seq, lead(s
 
 
 @query(with_fixtures(f"""
-    WITH i AS (SELECT seq % 3 AS node, v % 12 AS range_id, v % 40 AS start, v % 40 + 3 AS stop, seq FROM {{trace}} WHERE event_type = 'click' AND seq % 7 = 0 AND seq < 3000), h AS (SELECT * FROM {_HELD} x)
+    WITH i AS (SELECT seq % 3 AS node, 1 + user_id AS range_id, user_id * 10 + v % 40 AS start, user_id * 10 + v % 40 + 3 AS stop, seq FROM {{trace}} WHERE event_type = 'click'), h AS (SELECT * FROM {_HELD} x)
     SELECT i.node, i.range_id, i.seq, min(h.range_id) AS holder FROM i JOIN h ON h.node = i.node AND h.range_id <> i.range_id AND h.start < i.stop AND i.start < h.stop AND h.from_seq < i.seq AND coalesce(h.to_seq, 4611686018427387904) > i.seq GROUP BY i.node, i.range_id, i.seq
 """))
 def chk_install_over_another(spark: SparkSession, sf_dir: str) -> DataFrame:
-    installs = fixture(spark, sf_dir, "trace").filter("event_type = 'click' and seq % 7 = 0 and seq < 3000").selectExpr("seq % 3 AS node", "v % 12 AS range_id", "v % 40 AS start", "v % 40 + 3 AS stop", "seq")
+    installs = fixture(spark, sf_dir, "trace").filter("event_type = 'click'").selectExpr("seq % 3 AS node", "1 + user_id AS range_id", "user_id * 10 + v % 40 AS start", "user_id * 10 + v % 40 + 3 AS stop", "seq")
     held = valid_until(fixture(spark, sf_dir, "meta_updates").selectExpr("idx % 3 AS node", "range_id", "start", "stop", "seq AS from_seq"), ["node", "range_id"], "from_seq", "to_seq")
     return checks.install_over_another(installs, held)
 

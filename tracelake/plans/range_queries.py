@@ -232,14 +232,10 @@ def range_reseed_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.reseed_pick(fixture(spark, sf_dir, "nation").selectExpr("n_regionkey AS node", "n_nationkey AS generation", "n_nationkey % 4 = 0 AS lost"))
 
 
-@query(oracle("""
-    WITH m AS (SELECT receiver AS peer, CAST(floor(seq / 100) AS BIGINT) AS flush, seq, 40 + msg_id % 25 AS bytes FROM {messages}),
-    b AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY peer, flush ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
-    SELECT peer, flush, CAST(floor(before / 200) AS BIGINT) AS frame, count(*) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY ALL
-"""))
+@query()
 def range_outbox_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = fixture(spark, sf_dir, "messages").selectExpr("receiver AS peer", "CAST(floor(seq / 100) AS BIGINT) AS flush", "seq", "40 + msg_id % 25 AS bytes")
-    return ranges.outbox_frames(messages, 200)
+    messages = fixture(spark, sf_dir, "messages").selectExpr("receiver AS peer", "CAST(floor(seq / 100) AS BIGINT) AS flush", "sender AS range_id", "seq", "40 + msg_id % 25 AS bytes")
+    return ranges.frame_sizes(ranges.outbox_frames(messages, 400))
 
 
 @query()

@@ -31,7 +31,8 @@ FIXTURES: dict[str, str] = {
     # descriptors: ten bootstrap spans of the customer keys, and later updates over them
     "descriptors": "SELECT range_id, min(c_custkey) AS start, max(c_custkey) + 1 AS stop, CAST(1 AS BIGINT) AS generation, CAST(-1 AS BIGINT) AS arrival, 'live' AS state FROM (SELECT c_custkey, 1 + CAST(floor(c_custkey * 10 / (SELECT max(c_custkey) + 1 FROM {customer})) AS BIGINT) AS range_id FROM {customer}) b GROUP BY range_id UNION ALL SELECT 100 + o_orderkey AS range_id, o_custkey AS start, o_custkey + 50 AS stop, 2 + (o_orderkey % 5) AS generation, o_orderkey AS arrival, CASE WHEN o_orderkey % 1500 = 0 THEN 'subsumed' ELSE 'live' END AS state FROM {orders} WHERE o_orderkey % 500 = 0",
     "tiles": "SELECT range_id, start, CASE WHEN range_id % 4 = 2 THEN stop - 3 WHEN range_id % 4 = 3 THEN stop + 2 ELSE stop END AS stop FROM {descriptors} WHERE arrival = -1",
-    "leases": "SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS idx, CAST(l_suppkey % 5 AS BIGINT) AS node, CAST(l_linenumber AS BIGINT) AS size FROM {lineitem} WHERE l_orderkey < 100",
+    # a lease an order; sizes run through 1 to 7, so that the blocks of grants have a closed form
+    "leases": "SELECT o_orderkey + 1 AS idx, CAST(o_custkey % 5 AS BIGINT) AS node, 1 + (o_orderkey + 1) % 7 AS size FROM {orders}",
     "splits": "SELECT o_orderkey AS idx, 1 + CAST(floor(o_orderkey / 250) AS BIGINT) % 10 AS range_id, o_custkey AS split_at, CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE 1000 + o_orderkey END AS right_id, (o_orderkey % 11 = 5) AS joint FROM {orders} WHERE o_orderkey % 250 = 0",
     # the trace: every event is a line, in the order of event_id; 1 ms a step
     "trace": "SELECT event_id AS seq, event_id * 1000000 AS t, CAST(user_id % 5 AS INT) + 1 AS node, user_id % 4 AS range_id, user_id, event_type, value, CAST(floor(value) AS BIGINT) AS v FROM {events}",
@@ -46,16 +47,21 @@ FIXTURES: dict[str, str] = {
     "writes_by_owner": "SELECT range_id, idx, CAST(v % 50 AS BIGINT) AS key, 1 + CAST(floor(seq / 500) AS BIGINT) - CASE WHEN seq % 701 = 0 THEN 1 ELSE 0 END AS generation, seq FROM (SELECT range_id, seq, v, CAST(row_number() OVER (PARTITION BY range_id ORDER BY seq) AS BIGINT) AS idx FROM {trace} WHERE event_type IN ('click', 'purchase')) w",
     "mismatches": "SELECT user_id AS client, CAST(floor(seq / 200) AS BIGINT) AS invoked, v % 9 AS generation, v % 20 AS start, v % 20 + 15 AS stop, seq FROM {trace} WHERE event_type = 'error'",
     "sends": "SELECT user_id AS client, CAST(floor(seq / 200) AS BIGINT) AS invoked, v % 25 AS key, v % 10 AS generation, seq FROM {trace} WHERE event_type = 'view'",
-    "grants": "SELECT idx, node, server, first_id + CASE WHEN idx % 37 = 0 AND server = 3 THEN 1 ELSE 0 END AS first_id, last_id + CASE WHEN idx % 53 = 0 THEN 1 ELSE 0 END AS last_id, idx * 3 + server AS seq FROM (SELECT idx, node, CAST(sum(size) OVER (ORDER BY idx) AS BIGINT) - size + 1 AS first_id, CAST(sum(size) OVER (ORDER BY idx) AS BIGINT) AS last_id FROM {leases}) g, (SELECT CAST(r_regionkey + 1 AS BIGINT) AS server FROM {region} WHERE r_regionkey < 3) s",
+    "grants": "SELECT idx, node, server, first_id + CASE WHEN idx % 37 = 0 AND server = 3 THEN 1 ELSE 0 END AS first_id, last_id + CASE WHEN idx % 53 = 0 THEN 1 ELSE 0 END AS last_id, idx * 3 + server AS seq FROM (SELECT idx, node, last_id - size + 1 AS first_id, last_id FROM (SELECT idx, node, size, idx + 21 * CAST(floor(idx / 7) AS BIGINT) + CAST(floor((idx % 7) * (idx % 7 + 1) / 2) AS BIGINT) AS last_id FROM {leases}) c) g, (SELECT CAST(r_regionkey + 1 AS BIGINT) AS server FROM {region} WHERE r_regionkey < 3) s",
     "replica_states": "SELECT range_id, node, CASE event_type WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'created' END AS what, seq FROM {trace} WHERE event_type IN ('error', 'signup')",
     "votes": "SELECT range_id, node, CAST(floor(seq / 97) AS BIGINT) AS term, (v % 2 = 0) AS granted, seq FROM {trace} WHERE event_type = 'purchase'",
     "configs": "SELECT range_id, CAST(0 AS BIGINT) AS seq, 1 AS v1, 2 AS v2, 3 AS v3 FROM (SELECT DISTINCT range_id FROM {trace}) r UNION ALL SELECT range_id, max(seq) AS seq, 1 AS v1, 4 AS v2, CAST(3 + 2 * (range_id % 2) AS INT) AS v3 FROM {appends} WHERE idx = 150 GROUP BY range_id",
     "completions": "SELECT t, range_id, seq FROM {trace} WHERE event_type = 'purchase'",
     "outages": "SELECT t AS from_t, t + 7000000 AS until_t FROM {trace} WHERE seq % 50 = 10",
     "downs": "SELECT DISTINCT 1 + seq % 3 AS server, t AS down_t FROM {trace} WHERE seq % 400 = 123",
-    "meta_updates": "SELECT seq AS idx, 1 + v % 12 AS range_id, v % 40 AS start, v % 40 + 6 + v % 5 AS stop, CAST(floor(seq / 300) AS BIGINT) + v % 3 AS generation, seq, t FROM {trace} WHERE event_type = 'purchase' AND seq < 3000",
+    # a range a user, so that keyspace and ranges grow with the trace
+    "meta_updates": "SELECT seq AS idx, 1 + user_id AS range_id, user_id * 10 + v % 40 AS start, user_id * 10 + v % 40 + 6 + v % 5 AS stop, CAST(floor(seq / 300) AS BIGINT) + v % 3 AS generation, seq, t FROM {trace} WHERE event_type = 'purchase'",
+    # what the updates won: all but those below an earlier one of their range, and a few of these
+    "meta_won": "SELECT idx, range_id, start, stop - v AS stop, generation, seq FROM (SELECT *, idx % 3 AS v, max(generation) OVER (PARTITION BY range_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {meta_updates}) u WHERE best IS NULL OR generation >= best OR idx % 7 = 3",
+    # descriptors as traced before the meta range named them: some never were, some with another end
+    "meta_known": "SELECT range_id, generation, start, CASE WHEN idx % 29 = 4 THEN stop + 1 ELSE stop END AS stop, seq - 1 AS seq FROM {meta_updates} WHERE idx % 31 <> 7",
     "verdicts": "SELECT CAST(seq % 100 AS BIGINT) AS seed, CASE user_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'no_guard' ELSE 'late_fsync' END AS variant, event_type AS check_name, (v % 17 = 0) AS failed FROM {trace}",
-    "history": "SELECT user_id % 25 AS process, CAST(row_number() OVER (PARTITION BY user_id % 25 ORDER BY seq) AS BIGINT) AS pseq, lpad(CAST(v % 10 AS STRING), 12, '0') AS key, CASE event_type WHEN 'click' THEN 'put' WHEN 'purchase' THEN 'cas' WHEN 'view' THEN 'get' WHEN 'error' THEN 'delete' ELSE 'get' END AS op, seq, t FROM {trace} WHERE seq < 2000",
+    "history": "SELECT user_id AS process, CAST(row_number() OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS pseq, lpad(CAST(v % 10 AS STRING), 12, '0') AS key, CASE event_type WHEN 'click' THEN 'put' WHEN 'purchase' THEN 'cas' WHEN 'view' THEN 'get' WHEN 'error' THEN 'delete' ELSE 'get' END AS op, seq, t FROM {trace}",
     "messages": "SELECT seq AS msg_id, node AS sender, 1 + CAST((node + v) % 5 AS INT) AS receiver, seq, t FROM {trace} WHERE event_type IN ('click', 'view')",
     "deliveries": "SELECT msg_id, receiver, seq + 2 AS seq, t + 1000000 + (msg_id % 9) * 50000 AS t FROM {messages} WHERE msg_id % 23 <> 0 UNION ALL SELECT msg_id, receiver, seq + 3 AS seq, t + 4000000 AS t FROM {messages} WHERE msg_id % 29 = 0",
     "audit": "SELECT event_id AS seq, user_id % 4 AS chain, concat(event_type, ':', CAST(user_id AS STRING)) AS payload FROM {events}",

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import intervals, scalar
-from tracelake.operators import checks, kv, lin, log, measure, ranges, sql, trace
-from tracelake.sources import jsonl, store
+from tracelake.operators import checks, kv, lin, log, measure, ranges, replica, sql, trace
+from tracelake.sources import echo, jsonl, store
 
 WRITES = "key binary, seq long, ord int, op string, value string"
 
@@ -442,3 +442,76 @@ def test_id_blocks_of_every_lineitem_row_take_several_tasks(spark):
             over.add((i, "overlap"))
         reach = max(reach, b + (1 if i % 10_007 == 0 else 0))
     assert bad == over and over
+
+
+def test_state_keys_lie_in_their_spans(spark):
+    last = (1 << 64) - 1
+    for group, purpose in ((0, 0), (5, 3), (1 << 40, 4)):
+        row = spark.range(1).select(replica.state_key(F.lit(group), F.lit(purpose), F.lit(b"applied")).alias("k")).first()
+        key = bytes(row.k)
+        assert len(key) == 31 and key.endswith(b"applied")
+        for own in (replica.state_span(group), replica.state_span(group, purpose)):
+            assert own[0] <= key < own[1]
+        assert not replica.state_span(group, purpose + 1)[0] <= key and not replica.state_span(group + 1)[0] <= key
+    assert replica.state_span(last)[1] == b"\0" * 7 + b"\x01" and replica.state_span(last, last)[1] == replica.state_span(last)[1]
+
+
+def test_value_and_applied_index_are_of_one_version(spark):
+    made = spark.createDataFrame([(1, 1, "a", "put", 10), (1, 2, "b", "put", 20), (1, 3, "a", "delete", None), (1, 4, "a", "noop", None)], "range_id long, idx long, key string, kind string, value long")
+    reads = spark.createDataFrame([(k, 1, key, v) for k, (key, v) in enumerate([("a", 2), ("a", 3), ("b", 9), ("b", 1), ("a", 0)])], "read_id long, range_id long, key string, version long")
+    assert sorted(rows(replica.reads_at(replica.apply_batches(made), reads).select("read_id", "value", "applied"))) == [(0, 10, 2), (1, None, 3), (2, 20, 4), (3, None, 1), (4, None, 0)]
+
+
+def test_reads_wait_are_served_or_refused(spark):
+    cols = "read_id long, range_id long, server long, first_of_term long, seq long, t long, lease_until long, able array<long>"
+    reads = spark.createDataFrame([(1, 0, 1, 2, 10, 5, None, [2]), (2, 0, 1, 2, 10, 5, 6, []), (3, 0, 1, 2, 10, 5, None, []), (4, 0, 1, 9, 10, 5, 5, [2]), (5, 0, 1, 1, 11, 5, 4, [2, 3])], cols)
+    acks = spark.createDataFrame([(1, 2, 12), (1, 3, 11), (1, 2, 9), (5, 7, 12)], "read_id long, server long, seq long")
+    commits = spark.createDataFrame([(0, 1, 4, 8, 1), (0, 1, 3, 9, 1)], "range_id long, server long, idx long, seq long, t long")
+    applies = spark.createDataFrame([(0, 1, k, 9 + k, 1) for k in range(1, 6)], "range_id long, server long, idx long, seq long, t long")
+    found = {r.read_id: (r["index"], r.confirmed, r.served, r.fate) for r in replica.read_index(reads, acks, commits, applies, [1, 2, 3]).collect()}
+    assert found == {1: (4, 11, 13, "served"), 2: (4, 10, 13, "served"), 3: (4, None, None, "refused"), 4: (9, 10, None, "unapplied"), 5: (4, None, None, "unconfirmed")}
+
+
+def test_stale_lease_reads_are_those_that_are_not_linearizable(spark):
+    reads = spark.createDataFrame([(1, 0, 1, 3, "x", 10), (2, 0, 1, 3, "y", 11), (3, 0, 2, 3, "x", 12), (4, 0, 3, 3, "x", 13)], "read_id long, range_id long, server long, term long, key string, seq long")
+    revoked = spark.createDataFrame([(0, 2, 3, 12), (0, 1, 2, 1)], "range_id long, server long, term long, seq long")
+    clocks = spark.createDataFrame([(1, 0), (2, 300), (3, 150)], "server long, drift_ppm long")
+    risky = replica.lease_reads_at_risk(reads, revoked, clocks, 200)
+    assert sorted(r.read_id for r in risky.collect()) == [1, 2]
+    told = spark.createDataFrame([("x", "violation"), ("y", "ok")], "key string, status string")
+    assert [(r.read_id, r.status) for r in replica.unsafe_lease_reads(risky, told).collect()] == [(1, "violation")]
+
+
+def test_a_new_block_takes_the_place_of_the_old(spark):
+    adopted = spark.createDataFrame([(1, 7, 6, 90, 99, 1), (1, 7, 7, 3, 4, 2), (1, 7, 7, 3, 4, 6), (1, 7, 7, 20, 29, 8)], "node long, run long, granted_run long, first_id long, last_id long, seq long")
+    takes = spark.createDataFrame([(1, 7, s) for s in (0, 3, 4, 5, 7, 9)], "node long, run long, seq long")
+    assert [r.id for r in replica.id_takes(adopted, takes).orderBy("seq").collect()] == [None, 3, 4, None, None, 20]
+
+
+def test_journals_replay(spark, tmp_path):
+    good = b"".join(echo.encode(k) for k in range(5))
+    assert echo.replay(good) == (5, 0, False) and echo.replay(b"") == (0, 0, False)
+    assert all(echo.replay(good[:at] + bytes([good[at] ^ 4]) + good[at + 1 :]) == (4, 1, False) for at in range(len(good)))
+    (tmp_path / "journal").write_bytes(good[:-3])
+    assert [(r.valid, r.corrupt, r.torn) for r in echo.read_journals(spark, str(tmp_path)).collect()] == [(4, 0, True)]
+
+
+def test_evicting_takes_the_whole_entry(spark):
+    owned = spark.createDataFrame([(0, 5, 1, 1), (5, 9, 1, 1), (9, 12, 2, 1), (20, 30, 1, 1)], "low long, high long, range_id long, generation long")
+    misses = spark.createDataFrame([(7,), (15,)], "key long")
+    assert sorted(rows(ranges.evict(owned, misses))) == [(9, 12, 2, 1), (20, 30, 1, 1)]
+
+
+def test_a_trace_file_begins_with_its_header(spark, tmp_path):
+    lines = spark.createDataFrame([("r", 1, 5, "log", 2, "raft_commit", None, '{"idx":3}')], trace.LINE)
+    jsonl.write_trace(lines, str(tmp_path / "out"), {"seed": 42, "unit": "ns"})
+    assert jsonl.read_trace(spark, str(tmp_path / "out")).count() == 1
+    assert [r.header for r in jsonl.header(spark, str(tmp_path / "out")).collect()] == ['{"seed": 42, "unit": "ns"}']
+    with pytest.raises(ValueError, match="seq"):
+        jsonl.write_trace(lines, str(tmp_path / "bad"), {"seq": 1})
+
+
+def test_gaps_show_only_while_they_last(spark):
+    held = spark.createDataFrame([(1, 0, 10, 1, 5), (1, 0, 6, 5, None), (2, 6, 10, 8, None)], "range_id long, start long, stop long, from_seq long, to_seq long")
+    commands = spark.createDataFrame([(9, k) for k in (0, 3, 6, 7, 8, 12)], "range_id long, seq long")
+    assert sorted(rows(checks.tiling_after(held, commands, 0, 10))) == [(9, 0, 0), (9, 6, 6), (9, 7, 6)]

@@ -309,6 +309,27 @@ def tiling(spans: DataFrame, low: int, high: int) -> DataFrame:
     return gaps_and_overlaps(spans, []).unionByName(outside)
 
 
+def tiling_after(held: DataFrame, commands: DataFrame, low: int, high: int) -> DataFrame:
+    """Commands (range_id, seq) after which part of the keyspace [low, high) lies in no range's latest span, and where it
+    begins. ``held``: range_id, start, stop, from_seq, to_seq.
+
+    For each elementary interval the times when nothing holds it are found in one window over the spans that
+    cover it; commands meet these times, few on a good run, in buckets.
+    """
+    from .ranges import elementary
+
+    ends = held.sparkSession.createDataFrame([(low, high)], "start long, stop long")
+    cut = elementary(held.select("start", "stop").unionByName(ends)).filter((F.col("low") >= low) & (F.col("high") <= high)).select("low")
+    last = commands.agg(F.max("seq")).first()[0] or 0
+    spans = covering(cut, held.select("start", "stop", "from_seq", "to_seq"), "low", "start", "stop").select("low", "from_seq", F.coalesce("to_seq", F.lit(last + 1)).alias("to_seq"))
+    first = commands.agg(F.min("seq")).first()[0] or 0
+    marks = spans.unionByName(cut.select("low", F.lit(first).cast("long").alias("from_seq"), F.lit(first).cast("long").alias("to_seq")))
+    by = Window.partitionBy("low").orderBy("from_seq", "to_seq")
+    upto = F.max("to_seq").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bare = marks.withColumn("bare_from", F.greatest(upto, F.lit(first))).withColumn("bare_until", F.coalesce(F.lead("from_seq").over(by), F.lit(last + 1))).filter("bare_from < bare_until").select("low", "bare_from", "bare_until")
+    return covering(commands.select("range_id", "seq"), bare, "seq", "bare_from", "bare_until").groupBy("range_id", "seq").agg(F.min("low").alias("low"))
+
+
 def created_twice(events: DataFrame) -> DataFrame:
     """A range created on a node that holds it already: ``events`` has range_id, node, what, seq."""
     before = F.lag("what").over(Window.partitionBy("range_id", "node").orderBy("seq"))

@@ -204,6 +204,43 @@ def wal_prefix(records: DataFrame, keep: Sequence[str] = ("value",)) -> DataFram
     return last.crossJoin(F.broadcast(stop)).filter("stop is null or seq < stop").select("segment", "seq", *keep)
 
 
+class HeadGap(ValueError):
+    """The log's head is missing: its first record is numbered past the one expected."""
+
+
+def head_gap(records: DataFrame, expected: int) -> DataFrame:
+    """One row (expected, found) if the first record is numbered past ``expected``, else none."""
+    return records.agg(F.min("seq").alias("found")).filter(F.col("found") > expected).select(F.lit(expected).cast("long").alias("expected"), "found")
+
+
+def recovered_from(records: DataFrame, expected: int, policy: str = "refuse", keep: Sequence[str] = ("value",)) -> DataFrame:
+    """wal_prefix() of a log that should begin at ``expected``; where its head is missing, 'refuse' raises HeadGap and
+    'discard' gives the empty log: what lies past the gap is never replayed. Earlier records are flushed and ignored."""
+    if policy not in ("refuse", "discard"):
+        raise ValueError(f"no policy {policy!r}")
+    rest = records.filter(F.col("seq") >= expected)
+    found = head_gap(rest, expected).first()
+    if found is None:
+        return wal_prefix(rest, keep)
+    if policy == "refuse":
+        raise HeadGap(f"expected record {found.expected}, found {found.found}")
+    return wal_prefix(rest, keep).limit(0)
+
+
+def damaged_tables(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Tables that the manifest names (number, entries, first_key, last_key, first_seq, max_seq) and that aren't there, or
+    aren't as it says: (number, what), the first of 'missing', 'entries', 'keys', 'versions'. ``found`` is read from the tables."""
+    t, f = manifest.alias("t"), found.alias("f")
+    apart = lambda *names: ~F.struct(*[F.col(f"t.{n}") for n in names]).eqNullSafe(F.struct(*[F.col(f"f.{n}") for n in names]))
+    what = F.when(F.col("f.number").isNull(), "missing").when(apart("entries"), "entries").when(apart("first_key", "last_key"), "keys").when(apart("first_seq", "max_seq"), "versions")
+    return t.join(f, F.col("t.number") == F.col("f.number"), "left").select("t.number", what.alias("what")).filter("what is not null")
+
+
+def described(log: DataFrame, table: str = "number") -> DataFrame:
+    """What damaged_tables() compares, of tables' writes (``table``, key, seq, ...)."""
+    return log.groupBy(F.col(table).alias("number")).agg(F.count(F.lit(1)).alias("entries"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("seq").alias("first_seq"), F.max("seq").alias("max_seq"))
+
+
 def wal_gaps(records: DataFrame) -> DataFrame:
     """(missing_from, missing_to): runs of numbers that no record has, between records that have one.
 

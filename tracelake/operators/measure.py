@@ -66,6 +66,42 @@ def coverage(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     return lines.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), *counts, F.max("v").alias("max_index"), F.coalesce(F.bool_or(F.col("v") > 99), F.lit(False)).alias("any_high"), F.countDistinct("user_id").alias("clients"))
 
 
+#: Counters that count the lines of one event.
+EVENT_COUNTERS = {"partitions": "partition_started", "crashes": "node_crashed", "leaders": "raft_leader", "truncations": "raft_truncate", "commits": "raft_commit", "applies": "raft_apply", "snapshot_actions": "raft_snapshot", "client_mismatches": "client_mismatch", "client_sends": "client_send", "ids_leased": "range_ids_leased", "splits": "range_split"}
+_DATA = "range_id long, idx long, term long, op string, dup boolean, won long"
+
+
+def coverage_counters(lines: DataFrame) -> DataFrame:
+    """What a run's trace lines (run files' columns) cover, in one pass: one row of counters. Data is parsed once a line."""
+    rows = lines.select("seq", "t", "kind", "event", "fault", F.from_json("data", _DATA).alias("d"))
+    is_event = lambda name: F.coalesce(F.col("event") == name, F.lit(False))
+    counts = [F.count_if(is_event(event)).alias(name) for name, event in EVENT_COUNTERS.items()]
+    ops = [F.count_if(is_event("client_invoke") & (F.col("d.op") == op)).alias(name) for op, name in (("put", "puts"), ("get", "gets"), ("delete", "deletes"), ("cas", "cas"))]
+    applied = is_event("meta_applied") & (F.col("d.idx") > 0)
+    return rows.agg(
+        F.count(F.lit(1)).alias("records"), F.min_by("t", "seq").alias("first_t"), F.max_by("t", "seq").alias("last_t"), *counts, *ops,
+        F.count_if((F.col("kind") == "deliver") & F.col("d.dup")).alias("duplicates"), F.count_if((F.col("kind") == "drop") & (F.col("fault") == "injected")).alias("drops"),
+        F.coalesce(F.bool_or(is_event("raft_leader") & (F.col("d.term") > 1)), F.lit(False)).alias("terms_above_one"),
+        F.coalesce(F.max(F.when(F.col("event").isin("raft_append", "raft_commit", "raft_apply"), F.col("d.idx"))), F.lit(0)).cast("long").alias("highest_index"),
+        F.count_if(is_event("raft_read") & (F.col("d.range_id") <= 1)).alias("lookups_served"), F.count_if(applied).alias("meta_applies"), F.count_if(applied & (F.col("d.won") > 0)).alias("meta_took"),
+    )
+
+
+def coverage_groups(lines: DataFrame) -> DataFrame:
+    """The counters that go by range, kind or place: (counter, name, n)."""
+    rows = lines.select("event", F.from_json("data", "range_id string, op string").alias("d")).select("event", "d.range_id", "d.op")
+    counted = rows.groupBy("event", "range_id", "op").agg(F.count(F.lit(1)).alias("n"))
+    is_event = lambda name: F.col("event") == name
+    named = [
+        F.when(F.col("range_id").isNotNull(), F.struct(F.lit("records").alias("counter"), F.col("range_id").alias("name"))),
+        F.when(is_event("raft_leader"), F.struct(F.lit("leaders").alias("counter"), F.col("range_id").alias("name"))),
+        F.when(is_event("raft_apply"), F.struct(F.lit("applies").alias("counter"), F.col("range_id").alias("name"))),
+        F.when(is_event("inbox_dropped"), F.struct(F.lit("inbox_drops").alias("counter"), F.concat("op", F.lit("/"), "range_id").alias("name"))),
+        F.when(is_event("range_mismatch_sent"), F.struct(F.lit("mismatches").alias("counter"), F.col("op").alias("name"))),
+    ]
+    return counted.select("n", F.explode(F.array_compact(F.array(*named))).alias("c")).groupBy("c.counter", "c.name").agg(F.sum("n").alias("n"))
+
+
 def rates(lines: DataFrame) -> DataFrame:
     """Per range: records, observed span in seconds, and records a second."""
     spans = lines.groupBy("range_id").agg(F.count(F.lit(1)).alias("records"), ((F.max("t") - F.min("t")) / 1e9).alias("seconds"))

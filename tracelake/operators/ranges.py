@@ -39,11 +39,26 @@ def merge_generation(descriptors: DataFrame, by: tuple[str, ...] = ()) -> DataFr
     return covering(elementary(descriptors, by), good, "low", "start", "stop", list(by)).groupBy(*by, "low", "high").agg(owner).select(*by, "low", "high", "w.range_id", "w.generation")
 
 
-def coalesce_intervals(owned: DataFrame) -> DataFrame:
-    """Neighbouring intervals of one owner and generation as one."""
-    order = Window.orderBy("low")  # a merged map, one row an interval
-    fresh = F.when((F.lag("high").over(order) == F.col("low")) & (F.lag("range_id").over(order) == F.col("range_id")) & (F.lag("generation").over(order) == F.col("generation")), 0).otherwise(1)
-    return owned.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order)).groupBy("island", "range_id", "generation").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("island")
+def coalesce_intervals(owned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Neighbouring intervals of one owner and generation as one: what runs on goes by windows of one descriptor each."""
+    same = [*by, "range_id", "generation"]
+    order = Window.partitionBy(*same).orderBy("low")
+    fresh = F.when(F.lag("high").over(order) == F.col("low"), 0).otherwise(1)
+    island = F.sum("fresh").over(order)
+    return owned.withColumn("fresh", fresh).withColumn("island", island).groupBy(*same, "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("island")
+
+
+def evict(owned: DataFrame, misses: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A client's map (merge_generation()) without the entries that hold a key (``by``, key) of a mismatch that named nothing."""
+    entries = coalesce_intervals(owned, by)
+    hit = covering(misses, entries, "key", "low", "high", list(by)).select(*by, "low").distinct()
+    return entries.join(hit, [*by, "low"], "left_anti").select(*by, "low", "high", "range_id", "generation")
+
+
+def leader_hints(events: DataFrame) -> DataFrame:
+    """The leader that each client last heard of for a range; ``events`` (client, range_id, leader, seq), null to forget."""
+    last = events.groupBy("client", "range_id").agg(F.max_by(F.struct("leader"), "seq").alias("h"))
+    return last.filter("h.leader is not null").select("client", "range_id", "h.leader")
 
 
 def lookup(keys: DataFrame, owned: DataFrame, key: str = "key") -> DataFrame:

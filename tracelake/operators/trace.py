@@ -94,6 +94,31 @@ def unsent(sends: DataFrame, deliveries: DataFrame) -> DataFrame:
     return deliveries.join(known, "msg_id", "left").filter("to is null or to <> receiver or sent_seq >= seq").select("msg_id", "receiver", "seq")
 
 
+def echo_stats(pings: DataFrame, pongs: DataFrame) -> DataFrame:
+    """Per node its pings, those answered, pongs that answer none outstanding (made up, or a second time), and what that
+    violates. Both have node, peer, number, seq; a pong answers a ping of its number that was sent before it."""
+    from pyspark.sql.window import Window
+
+    key = ["node", "peer", "number"]
+    sent = pings.groupBy(*key).agg(F.min("seq").alias("pinged"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("seq"))
+    told = pongs.join(sent, key, "left").withColumn("nth", nth)
+    good = F.col("pinged").isNotNull() & (F.col("pinged") < F.col("seq")) & (F.col("nth") == 1)
+    heard = told.groupBy("node").agg(F.count_if(good).alias("answered"), F.count_if(~good).alias("unknown"))
+    out = pings.groupBy("node").agg(F.count(F.lit(1)).alias("sent")).join(heard, "node", "full").na.fill(0, ["sent", "answered", "unknown"])
+    what = F.when(F.col("unknown") > 0, "unknown pongs").when((F.col("answered") == 0) | (F.col("answered") > F.col("sent")), "no pongs")
+    return out.select("node", "sent", "answered", "unknown", (F.col("sent") - F.col("answered")).alias("outstanding"), what.alias("violation"))
+
+
+def partition_leaks(deliveries: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Messages (msg_id, sender, receiver, t) delivered after a partition (sender, receiver, from_t, until_t) of their way
+    began and until it ended."""
+    from ..functions.intervals import covering
+
+    spans = partitions.select("sender", "receiver", (F.col("from_t") + 1).alias("shut"), (F.col("until_t") + 1).alias("open"))
+    return covering(deliveries, spans, "t", "shut", "open", ["sender", "receiver"]).select("msg_id", "sender", "receiver", "t").distinct()
+
+
 def first_difference(recorded: DataFrame, replayed: DataFrame) -> DataFrame:
     """The first line number where two traces (line, body) differ, with both bodies; no row if they agree."""
     both = recorded.select("line", F.col("body").alias("recorded")).join(replayed.select("line", F.col("body").alias("replayed")), "line", "full")

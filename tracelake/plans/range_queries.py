@@ -243,12 +243,12 @@ def range_config_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.config_digest(fixture(spark, sf_dir, "nation"))
 
 
-@query()
+@query("SELECT n_nationkey, xor(list_reduce(list_transform(string_split(n_name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, k: xor(x >> 1, 2197175160 * (x & 1))), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM nation")
 def scalar_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "nation").select("n_nationkey", scalar.crc32c(F.encode("n_name", "UTF-8")).alias("crc"))
 
 
-@query()
+@query("SELECT n_nationkey, lpad(lower(to_hex(CAST(list_reduce(list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, CAST(14695981039346656037 AS HUGEINT)) AS UBIGINT))), 16, '0') AS fnv FROM nation")
 def scalar_fnv1a64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "nation").select("n_nationkey", scalar.fnv1a64(F.encode("n_name", "UTF-8")).alias("fnv"))
 

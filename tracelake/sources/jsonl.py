@@ -6,6 +6,8 @@ payloads stay JSON text until a typed view reads them.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,8 +44,13 @@ def as_json(lines: DataFrame) -> DataFrame:
     return lines.select(F.when(F.col("data").isNull(), body).otherwise(F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"data":'), F.col("data"), F.lit("}"))).alias("value"))
 
 
-def write_trace(lines: DataFrame, path: str) -> None:
+def write_trace(lines: DataFrame, path: str, header: dict | None = None) -> None:
+    """Writes trace lines, and a header line (seed, configuration, clocks, addresses) in a file of its own where one is given."""
     as_json(lines.select(*LINE.fieldNames())).write.text(path)
+    if header is not None:
+        if "seq" in header:
+            raise ValueError("a header holds no seq: it would be read as an event")
+        lines.sparkSession.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.mode("append").text(path)
 
 
 def append_stream(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -62,6 +62,13 @@ FIXTURES: dict[str, str] = {
     "meta_known": "SELECT range_id, generation, start, CASE WHEN idx % 29 = 4 THEN stop + 1 ELSE stop END AS stop, seq - 1 AS seq FROM {meta_updates} WHERE idx % 31 <> 7",
     "verdicts": "SELECT CAST(seq % 100 AS BIGINT) AS seed, CASE user_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'no_guard' ELSE 'late_fsync' END AS variant, event_type AS check_name, (v % 17 = 0) AS failed FROM {trace}",
     "history": "SELECT user_id AS process, CAST(row_number() OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS pseq, lpad(CAST(v % 10 AS STRING), 12, '0') AS key, CASE event_type WHEN 'click' THEN 'put' WHEN 'purchase' THEN 'cas' WHEN 'view' THEN 'get' WHEN 'error' THEN 'delete' ELSE 'get' END AS op, seq, t FROM {trace}",
+    "snapshots": "SELECT range_id, server, idx AS last_idx, term, seq + 2 AS seq, (server = 1) AS taken FROM {appends} WHERE idx % 100 = 0 AND server <> 2",
+    "leader_reads": "SELECT seq AS read_id, range_id, CAST(1 + user_id % 3 AS BIGINT) AS server, 1 + CAST(floor(seq / 40) AS BIGINT) AS first_of_term, seq * 3 AS seq, t, CASE WHEN seq % 4 = 0 THEN t + (v % 3 - 1) * 1000 END AS lease_until, (seq % 6 <> 1) AS able2, (seq % 9 > 2) AS able3 FROM {trace} WHERE event_type = 'view'",
+    "read_acks": "SELECT read_id, server, seq + 5 + (seq + server) % 7 AS seq FROM (SELECT r.read_id, r.seq, s.server FROM {leader_reads} r, (SELECT CAST(r_regionkey + 1 AS BIGINT) AS server FROM {region} WHERE r_regionkey < 3) s) a WHERE (seq + server) % 5 <> 0",
+    "adoptions": "SELECT node, run, run - CASE WHEN seq % 9 = 0 THEN 1 ELSE 0 END AS granted_run, seq * 10 AS first_id, seq * 10 + v % 4 AS last_id, seq FROM (SELECT node, CAST(floor(seq / 700) AS BIGINT) AS run, v, seq FROM {trace} WHERE event_type = 'signup') a UNION ALL SELECT node, CAST(floor(seq / 700) AS BIGINT) AS run, CAST(floor(seq / 700) AS BIGINT) AS granted_run, seq * 10 AS first_id, seq * 10 + v % 4 AS last_id, seq + 1 AS seq FROM {trace} WHERE event_type = 'signup' AND seq % 10 = 5 AND seq % 700 < 699 AND seq % 9 <> 0",
+    # lines as a trace file holds them
+    "lines": "SELECT 'run-1' AS run, seq, t, CASE WHEN seq % 10 = 3 THEN 'deliver' WHEN seq % 10 = 7 THEN 'drop' ELSE 'log' END AS kind, node, CASE WHEN seq % 10 = 3 OR seq % 10 = 7 THEN NULL ELSE CASE (seq + user_id) % 16 WHEN 0 THEN 'raft_leader' WHEN 1 THEN 'raft_commit' WHEN 2 THEN 'raft_apply' WHEN 3 THEN 'raft_truncate' WHEN 4 THEN 'raft_snapshot' WHEN 5 THEN 'client_invoke' WHEN 6 THEN 'client_send' WHEN 7 THEN 'client_mismatch' WHEN 8 THEN 'raft_read' WHEN 9 THEN 'meta_applied' WHEN 10 THEN 'range_ids_leased' WHEN 11 THEN 'range_split' WHEN 12 THEN 'partition_started' WHEN 13 THEN 'node_crashed' WHEN 14 THEN 'inbox_dropped' ELSE 'range_mismatch_sent' END END AS event, CASE WHEN seq % 10 = 7 AND seq % 4 = 1 THEN 'injected' END AS fault, concat(chr(123), '\"range_id\":', CAST(range_id AS STRING), ',\"idx\":', CAST(v AS STRING), ',\"term\":', CAST(1 + seq % 3 AS STRING), ',\"won\":', CAST(seq % 2 AS STRING), ',\"dup\":', CASE WHEN seq % 4 = 1 THEN 'true' ELSE 'false' END, ',\"op\":\"', CASE seq % 4 WHEN 0 THEN 'put' WHEN 1 THEN 'get' WHEN 2 THEN 'delete' ELSE 'cas' END, '\"', chr(125)) AS data FROM {trace}",
+    "pongs": "SELECT m.sender AS node, d.receiver AS peer, d.msg_id AS number, d.seq FROM {deliveries} d JOIN {messages} m ON m.msg_id = d.msg_id UNION ALL SELECT sender AS node, receiver AS peer, -msg_id AS number, seq + 9 AS seq FROM {messages} WHERE msg_id % 41 = 0",
     "messages": "SELECT seq AS msg_id, node AS sender, 1 + CAST((node + v) % 5 AS INT) AS receiver, seq, t FROM {trace} WHERE event_type IN ('click', 'view')",
     "deliveries": "SELECT msg_id, receiver, seq + 2 AS seq, t + 1000000 + (msg_id % 9) * 50000 AS t FROM {messages} WHERE msg_id % 23 <> 0 UNION ALL SELECT msg_id, receiver, seq + 3 AS seq, t + 4000000 AS t FROM {messages} WHERE msg_id % 29 = 0",
     "audit": "SELECT event_id AS seq, user_id % 4 AS chain, concat(event_type, ':', CAST(user_id AS STRING)) AS payload FROM {events}",

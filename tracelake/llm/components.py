@@ -14,7 +14,9 @@ from .common import drop_table, shared_checkpoint
 
 
 def _minima(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Each node's smallest neighbour. The node is renamed by an expression, so that Spark shuffles these rows anew for a
+    join: only then can it split the edges of a hub among several tasks."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("u"), "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ per byte at first). It runs over the merges that the word's bytes can make, in o
 replaces its pair of characters, looked up in a literal map from rank to pair, by the merged token's.
 
 That order is the library's, which merges the leftmost pair of the least rank each time: where every
-token is itself made by merges of lesser ranks from its own bytes (load_vocabulary checks it), its parts
+token is itself made by merges of lesser ranks from its own bytes (load_merges checks it), its parts
 at its rank are one known pair, and no merge makes room for one of lesser rank. Which merges a word's
 bytes can make is read from a trie of the tokens. Then each text's ids are gathered by piece number.
 Nothing shuffles, and a lost task is simply run again.
@@ -124,11 +124,10 @@ class TokenTrie:
 
 
 class Vocabulary:
-    """The tokens of a rank file by id, the pairs they are merged from, and what cuts and decodes need."""
+    """The tokens of a rank file by id, and what cuts and decodes need beside them."""
 
     def __init__(self, data: bytes) -> None:
         self.tokens = load_ranks(data.splitlines())
-        self.pairs = merge_pairs(self.tokens)
         self.trie = TokenTrie(self.tokens)
         self.ranks = {token: k for k, token in enumerate(self.tokens)}
         self.chars = np.array([ord(token_char(self.ranks[bytes([b])])) for b in range(256)], "<u2")
@@ -142,13 +141,20 @@ class Vocabulary:
         return pa.StringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(codes.tobytes().decode("utf-16-le").encode()))
 
 
-_vocabulary = functools.lru_cache(maxsize=2)(Vocabulary)
+@functools.lru_cache(maxsize=2)
+def _loaded(data: bytes) -> tuple[Vocabulary, list[tuple[int, int] | None]]:
+    vocabulary = Vocabulary(data)
+    return vocabulary, merge_pairs(vocabulary.tokens)
 
 
-def load_vocabulary(rank_path: str) -> Vocabulary:
-    """The vocabulary of a rank file. Raises ValueError if its tokens aren't made by merges in order of rank."""
+def load_merges(rank_path: str) -> tuple[Vocabulary, list[tuple[int, int] | None]]:
+    """The vocabulary of a rank file and its merge_pairs(), which raises ValueError if tokens aren't made in order of rank."""
     with open(rank_path, "rb") as file:
-        return _vocabulary(file.read())
+        return _loaded(file.read())
+
+
+def load_vocabulary(rank_path: str) -> Vocabulary:
+    return load_merges(rank_path)[0]
 
 
 def fold_merges(word: Column, merges: Column, pairs: list[tuple[int, int] | None]) -> Column:
@@ -334,12 +340,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     ``then``, a function over record batches, goes on with that table in the same Python worker; ``schema`` is
     what it returns beside doc_id. A worker of its own would cost each running task some 150 MB.
     """
-    vocabulary = load_vocabulary(rank_path)
+    vocabulary, pairs = load_merges(rank_path)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     narrow = df.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     cut = narrow.mapInArrow(_cut(shared, pattern), f"doc_id {kind}, number long, word string, merges array<int>, pieces binary")
-    folded = cut.select("doc_id", "number", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("merges"), vocabulary.pairs)).alias("word"), F.lit(None).cast("array<int>").alias("merges"), "pieces")
+    folded = cut.select("doc_id", "number", F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), F.col("merges"), pairs)).alias("word"), F.lit(None).cast("array<int>").alias("merges"), "pieces")
     gather = _gathered(shared)
     return folded.mapInArrow((lambda batches: then(gather(batches))) if then else gather, f"doc_id {kind}, {schema}")
 

@@ -32,6 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bytes of a row group of an intermediate table: a task that writes one holds so much.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder and read from there from now on.
 
@@ -39,7 +43,7 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
@@ -62,6 +66,11 @@ def fresh_name(stem: str, taken: list[str]) -> str:
     return stem
 
 
+def hash_side(side: DataFrame) -> DataFrame:
+    """A join's side of keys and numbers, to be hashed per partition: the other side, of whole texts, then isn't sorted."""
+    return side.hint("shuffle_hash")
+
+
 def quoted(name: str) -> str:
     """A column's name as one identifier, dots and all."""
     return "`" + name.replace("`", "``") + "`"
@@ -81,7 +90,7 @@ def map_wider(df: DataFrame, run, *more: tuple[str, T.DataType]) -> DataFrame:
 
 
 #: Rows of an Arrow batch: at Spark's 10,000, texts of 100 KB make batches of 1 GB.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh_name, map_wider, own_columns, quoted, shared_checkpoint
+from .common import as_bytes, fresh_name, hash_side, map_wider, own_columns, quoted, shared_checkpoint
 
 SLOTS_PER_ROW = 16
 MAX_PROBES = 4
@@ -188,5 +188,5 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         return (a[sha] == winners["w_sha"]) & a[quoted(id_col)].eqNullSafe(winners["w_id"])
 
     rest = probed.filter(F.col(maybe))
-    stay = rest.join(winners, same(rest), "left_semi").dropDuplicates([sha, id_col])
+    stay = rest.join(hash_side(winners), same(rest), "left_semi").dropDuplicates([sha, id_col])
     return probed.filter(~F.col(maybe)).unionByName(stay).select(*own_columns(df))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import IS_SPACE, fresh_name, joined, own_columns, pieces, quoted, shared_checkpoint, text_blocks
+from .common import IS_SPACE, fresh_name, hash_side, joined, own_columns, pieces, quoted, shared_checkpoint, text_blocks
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
@@ -186,7 +186,7 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     key, many, total, nth = (fresh_name(c, df.columns) for c in ("mix_id", "mix_rows", "mix_copies", "mix_nth"))
     rows = shared_checkpoint(document_sizes(df, id_col, source_col, text_col))
     taken = document_copies(rows).groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(many), F.sum("copies").alias(total)).filter(F.col(total) > 0)
-    found = df.join(taken, df[quoted(id_col)].eqNullSafe(taken[key]))
+    found = df.join(hash_side(taken), df[quoted(id_col)].eqNullSafe(taken[key]))
     once = found.filter(F.col(many) == 1).withColumn(nth, F.lit(1))
     shared = found.filter(F.col(many) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(quoted(id_col)).orderBy(quoted(text_col))))
     copies = F.floor((F.col(total) + F.col(many) - F.col(nth)) / F.col(many)).cast("int")

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import BLOCK_BYTES, fresh_name, joined, map_wider, own_columns, pieces, quoted, shared_checkpoint, text_blocks, word_bounds
+from .common import BLOCK_BYTES, fresh_name, hash_side, joined, map_wider, own_columns, pieces, quoted, shared_checkpoint, text_blocks, word_bounds
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -247,8 +247,8 @@ def kept_rows(df: DataFrame, report: DataFrame, id_col: str, text_col: str, of:
     ids = report.filter("doc_id is not null").groupBy(F.col("doc_id").alias(odd_id)).agg(F.count(F.lit(1)).alias("n"), F.max(lost).alias("lost"))
     out, many = ids.filter("lost or n > 1").select(odd_id), ids.filter("n > 1").select(odd_id)
     own_id = quoted(id_col)
-    plain = df.join(out, df[own_id] == out[odd_id], "left_anti")
-    shared = _with_fingerprint(df.join(many, df[own_id] == many[odd_id], "left_semi"), text_col, fp, of)
+    plain = df.join(hash_side(out), df[own_id] == out[odd_id], "left_anti")
+    shared = _with_fingerprint(df.join(hash_side(many), df[own_id] == many[odd_id], "left_semi"), text_col, fp, of)
     first = report.filter(~lost).join(many, F.col("doc_id") == many[odd_id], "left_semi").groupBy(F.col("doc_id").alias(odd_id), "root").agg(F.min("fp").alias(odd_fp))
     again = shared.join(first, (shared[own_id] == first[odd_id]) & (shared[fp] == first[odd_fp]), "left_semi").dropDuplicates([id_col, fp])
     return plain.unionByName(again.drop(fp)).select(*own_columns(df))

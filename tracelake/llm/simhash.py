@@ -9,7 +9,7 @@ three groups, filters by the Manhattan bound and verifies candidates by exact Ha
 make 20 projections of some 24 bits; tables of more fingerprints take more groups, whose cells are finer.
 
 Cells of up to SMALL_CELL fingerprints compare by a bounded window frame. Larger cells, as a hot
-group of near copies makes, are cut into blocks; each pair of blocks is one task of bounded memory
+group of near copies makes, are cut into blocks by hash; each pair of blocks is one task of bounded memory
 that compares all its pairs but returns only a spanning forest of the links it found. Connectivity,
 and so every component, is the same as with all links; no pair is skipped and nothing is capped.
 
@@ -185,23 +185,31 @@ def _block_links(max_bits: int):
             u, v = forest(left[at + p], right[q]) if len(p) else (left[:0], left[:0])
             a.append(u)
             b.append(v)
-        u, v = np.concatenate(a), np.concatenate(b)
+        u, v = (np.concatenate(a), np.concatenate(b)) if a else (right[:0], right[:0])
         u, v = forest(u, v) if len(u) else (u, v)
         return pd.DataFrame({"u": u, "v": v})
 
     return run
 
 
+def shared_cells(cells: DataFrame, *by: str) -> DataFrame:
+    """``cells`` with n, the rows of each cell, where that is more than one.
+
+    Counts combine before they are shuffled. The last of ``by`` is renamed by an expression, so that Spark
+    shuffles the counts anew for the join, and can then split a large cell's rows among several tasks.
+    """
+    counts = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return cells.join(counts.select(*by[:-1], F.col(by[-1]).bitwiseXOR(F.lit(0).cast("long")).alias(by[-1]), "n"), list(by))
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, small: int = SMALL_CELL, block: int = BLOCK, groups: int | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints that connect all within ``max_bits`` of each other."""
-    cell = Window.partitionBy("grid", "cell")
-    ordered = cell.orderBy("fp")
-    cells = grid_cells(nodes, max_bits, groups or groups_for(nodes.count(), max_bits)).select("*", F.count(F.lit(1)).over(cell).alias("n"), F.row_number().over(ordered).alias("rn"), F.collect_list("fp").over(ordered.rowsBetween(1, small - 1)).alias("next"))
-    cells = cells.filter("n > 1")
+    cells = shared_checkpoint(shared_cells(grid_cells(nodes, max_bits, groups or groups_for(nodes.count(), max_bits)), "grid", "cell"))
+    ordered = Window.partitionBy("grid", "cell").orderBy("fp")
     near = F.filter("next", lambda v: (differing(unary_counts(F.col("fp")), unary_counts(v)) <= max_bits) & (differing(F.col("fp"), v) <= max_bits))
-    few = cells.filter(F.col("n") <= small).select(F.col("fp").alias("u"), F.explode(near).alias("v"))
-    chunk = F.floor((F.col("rn") - 1) / block).cast("long")
+    few = cells.filter(F.col("n") <= small).select("fp", F.collect_list("fp").over(ordered.rowsBetween(1, small - 1)).alias("next")).select(F.col("fp").alias("u"), F.explode(near).alias("v"))
     chunks = F.ceil(F.col("n") / block).cast("long")
+    chunk = F.pmod(F.xxhash64("fp"), chunks)  # about ``block`` rows each
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
     many = cells.filter(F.col("n") > small).select("grid", "cell", "fp", chunk.alias("chunk"), chunks.alias("chunks"))
     many = many.select("grid", "cell", "fp", "chunk", F.explode(pairs).alias("pair")).select("grid", "cell", "fp", "chunk", "pair.i", "pair.j")

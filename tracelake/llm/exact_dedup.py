@@ -5,8 +5,8 @@ every normalised text's hash to a Bloom filter whose slots saturate at two: a sl
 two rows touched it. A hash that occurs twice has only such slots, so pass two lets every row with
 a slot touched once pass straight through and shuffles only the rest, which exact grouping decides.
 A full filter only makes more rows shuffle; the result is exact at any size. The filter is broadcast, so
-it has at most MAX_SLOTS slots: with 16 a row 0.1 % of the single rows shuffle, with four some 15 %, and
-with fewer the number of probes falls with them (at one slot a row and one probe, 60 %).
+it has at most MAX_SLOTS slots: with 16 a row 0.2 % of the single rows shuffle, with four some 15 %, and
+with fewer the number of probes falls with them (at one slot a row and one probe, 63 %).
 
 Defined cases: null and empty texts form one group. Of equal texts the row with the largest doc_id
 stays (a null doc_id only if all are null); of rows equal in text and doc_id one stays. An empty

@@ -367,6 +367,27 @@ def test_fewer_probes_where_the_filter_is_small(spark):
     assert few.probes == 1 and exact_dedup._repeats(hashes, spark.sparkContext.broadcast(few)).filter("maybe").count() < 1500
 
 
+def test_few_single_rows_shuffle_where_the_filter_takes_parts(spark):
+    """4 parts of 2**15 slots for 8192 rows; one filter of so many slots would send some 15 %."""
+    texts = [f"t{k}" for k in range(7000)] + ["Hot"] * 700 + [f"p{k % 246}" for k in range(492)]
+    docs, slots = docs_of(spark, texts).repartition(5), 1 << 15
+    assert exact_dedup.filter_parts(len(texts), slots) == 4
+    hashes = common.shared_checkpoint(exact_dedup.text_hashes(docs, "doc_id", "text"))
+    marks = exact_dedup.marked(hashes, slots)
+    assert marks.count() == len(texts)
+    assert marks.filter("id < 7000 and maybe").count() < 70 and marks.filter("id >= 7000 and not maybe").count() == 0
+    whole = marks.sparkSession.sparkContext.broadcast(exact_dedup.routing_filter(hashes, slots))
+    told = exact_dedup._repeats(hashes, whole)
+    assert told.filter("id < 7000 and maybe").count() < 70 and told.filter("id >= 7000 and not maybe").count() == 0
+    assert sorted(map(tuple, exact_dedup.dedup_report(docs, max_slots=slots).collect())) == sorted(map(tuple, exact_dedup.dedup_report(docs).collect()))
+    stay = {r.doc_id for r in exact_dedup.exact_dedup(docs, max_slots=slots).collect()}
+    assert stay == {max(i for i, t in enumerate(texts) if t == own) for own in set(texts[7000:])} | set(range(7000))
+
+
+def test_parts_of_the_filter_grow_with_the_rows():
+    assert [exact_dedup.filter_parts(rows, 1 << 29) for rows in (0, 1, 1 << 25, (1 << 25) + 1, 10**9, 10**11)] == [1, 1, 1, 2, 32, 4096]
+
+
 # 8: mixing
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,20 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 
     Cuts the lineage and survives lost executors. The table goes when the application ends, or with drop_table.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    return shared_tables([df])
+
+
+def shared_tables(frames: Iterable[DataFrame]) -> DataFrame:
+    """The rows of ``frames``, which have one schema and are at least one, as such a table: each is written before the next is asked for."""
+    path = None
+    for df in frames:
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+        df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._table_path = path
     return out
 

@@ -5,8 +5,10 @@ every normalised text's hash to a Bloom filter whose slots saturate at two: a sl
 two rows touched it. A hash that occurs twice has only such slots, so pass two lets every row with
 a slot touched once pass straight through and shuffles only the rest, which exact grouping decides.
 A full filter only makes more rows shuffle; the result is exact at any size. The filter is broadcast, so
-it has at most MAX_SLOTS slots: with 16 a row 0.2 % of the single rows shuffle, with four some 15 %, and
-with fewer the number of probes falls with them (at one slot a row and one probe, 63 %).
+it has at most MAX_SLOTS slots. Where SLOTS_PER_ROW a row are more than that, the hashes are dealt to parts by
+bits that no probe reads, each with a filter of its own, used and dropped before the next is made; some
+0.2 % of the single rows shuffle at any size. Whole texts pass once: they are told by one filter of the
+hashes found repeated, which fills up only with these.
 
 Defined cases: null and empty texts form one group. Of equal texts the row with the largest doc_id
 stays (a null doc_id only if all are null); of rows equal in text and doc_id one stays. An empty
@@ -28,12 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh_name, hash_side, map_wider, own_columns, quoted, shared_checkpoint
+from .common import as_bytes, drop_table, fresh_name, hash_side, map_wider, own_columns, quoted, shared_checkpoint, shared_tables
 
 SLOTS_PER_ROW = 16
 MAX_PROBES = 4
 #: Upper bound of the filter that is broadcast: 2**29 bits are 64 MB.
 MAX_SLOTS = 1 << 29
+#: A part of the hashes takes some jobs, so it isn't made for fewer rows; two bytes name the parts.
+MIN_PART_ROWS = 1 << 10
+MAX_PARTS = 1 << 16
 
 
 class Filter(NamedTuple):
@@ -144,6 +149,41 @@ def _repeats(hashes: DataFrame, shared) -> DataFrame:
     return hashes.mapInArrow(_probed(shared, 1), f"id {hashes.schema['id'].dataType.simpleString()}, sha binary, maybe boolean")
 
 
+def filter_parts(rows: int, max_slots: int) -> int:
+    """The number of parts, a power of two, of which each has SLOTS_PER_ROW slots a row."""
+    wanted = min(-(-rows * SLOTS_PER_ROW // max_slots), rows // MIN_PART_ROWS, MAX_PARTS)
+    return 1 << max(wanted - 1, 0).bit_length()
+
+
+def marked(hashes: DataFrame, max_slots: int = MAX_SLOTS) -> DataFrame:
+    """``hashes``, a table, with ``maybe``: whether the hash may occur twice."""
+    context, parts = hashes.sparkSession.sparkContext, filter_parts(hashes.count(), max_slots)
+    if parts == 1:
+        return _repeats(hashes, context.broadcast(repeated_filter(hashes, max_slots)))
+    part = F.conv(F.hex(F.substring("sha", 31, 2)), 16, 10).cast("int") % parts
+    # sorted inside each file, so that reading one part skips the pages of the others
+    dealt = shared_checkpoint(hashes.withColumn("part", part).sortWithinPartitions("part"))
+
+    def one_by_one() -> Iterator[DataFrame]:
+        for k in range(parts):
+            own = dealt.filter(F.col("part") == k).select("id", "sha")
+            shared = context.broadcast(repeated_filter(own, max_slots))
+            yield _repeats(own, shared)
+            shared.destroy()
+
+    out = shared_tables(one_by_one())
+    drop_table(dealt)
+    return out
+
+
+def routing_filter(hashes: DataFrame, max_slots: int = MAX_SLOTS) -> Filter:
+    """One filter that lets no repeated hash pass: that of all ``hashes``, or of those found repeated where it takes parts."""
+    if filter_parts(hashes.count(), max_slots) == 1:
+        return repeated_filter(hashes, max_slots)
+    repeated = shared_checkpoint(_groups(marked(hashes, max_slots).filter("maybe"))[1].filter("group_size > 1").select("sha"))
+    return repeated_filter(repeated.unionByName(repeated), max_slots)  # each twice, as its rows would touch the slots
+
+
 def _groups(repeats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Counts by (sha, id), and of them by sha: both combine on the map side, so a hot text costs a row a task."""
     rows = repeats.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
@@ -153,7 +193,7 @@ def _groups(repeats: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dedup_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     hashes = shared_checkpoint(text_hashes(df, id_col, text_col))
-    probed = _repeats(hashes, df.sparkSession.sparkContext.broadcast(repeated_filter(hashes, max_slots)))
+    probed = marked(hashes, max_slots)
     alone = probed.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     rows, groups = _groups(probed.filter("maybe"))
     groups = shared_checkpoint(groups)  # a plain table beside the join, so that Spark can split a hot text's rows
@@ -175,7 +215,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     sha = fresh_name("sha", df.columns)
     maybe = fresh_name("maybe", [*df.columns, sha])
     hashes = shared_checkpoint(text_hashes(df, id_col, text_col))
-    shared = df.sparkSession.sparkContext.broadcast(repeated_filter(hashes, max_slots))
+    shared = df.sparkSession.sparkContext.broadcast(routing_filter(hashes, max_slots))
     at, df_text = len(df.columns), df.columns.index(text_col)
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _probed(shared, at, "m1")(_with_hash(df_text, "m0")(batches))

@@ -6,11 +6,11 @@ the highest committed index first passes it; a later commit never stamps an inde
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of, bucket_width, covering, overlapping, with_next
+from ..functions.intervals import as_of, bucket_width, covering, overlapping, running, with_next
 
 #: Fixed value: the least span in seconds that a rate divides by.
 EPSILON = 2.220446049250313e-16
@@ -205,3 +205,71 @@ def sweep_verdict(results: DataFrame) -> DataFrame:
 def catch_rates(results: DataFrame) -> DataFrame:
     """Per variant and check: seeds run, and seeds on which the check tripped."""
     return results.groupBy("variant", "check_name").agg(F.countDistinct("seed").alias("seeds"), F.countDistinct(F.when(F.col("failed"), F.col("seed"))).alias("caught"))
+
+
+def meta_reorders(applies: DataFrame, arms: DataFrame) -> DataFrame:
+    """Per arm (arm, range_id, first_cut, second_cut or null, since): how long after ``since`` meta first applied the second
+    split's update (null: never, or before), and whether it applied one of the first split's after that one.
+
+    ``applies`` (seq, idx, t, range_id, start, stop) has a row a descriptor. An index counts by its first apply, and not
+    at all once a higher one was applied. The first split's update is its left half's; the second's is the range
+    that ends at the second cut, or the right half from the second cut to the first.
+    """
+    lines = applies.select("seq", "idx").distinct()
+    rising = running(lines, ["seq"], "idx", F.max, F.greatest, True, "highest").filter("highest is null or idx > highest").select("seq", "idx")
+    told = applies.join(rising, ["seq", "idx"])
+    left = arms.filter("second_cut is not null").select("arm", "range_id", F.col("first_cut").alias("stop"))
+    second = arms.select("arm", "range_id", F.col("second_cut").alias("stop"))
+    right = arms.select("arm", F.col("second_cut").alias("start"), F.col("first_cut").alias("stop"))
+    of_first = told.join(left, ["range_id", "stop"]).groupBy("arm").agg(F.max("idx").alias("last_first"))
+    of_second = told.join(second, ["range_id", "stop"]).select("arm", "idx", "t").unionByName(told.join(right, ["start", "stop"]).select("arm", "idx", "t"))
+    began = of_second.groupBy("arm").agg(F.min("idx").alias("second_idx"), F.min_by("t", "idx").alias("second_t"))
+    met = arms.join(began, "arm", "left").join(of_first, "arm", "left")
+    return met.select("arm", F.when(F.col("second_t") >= F.col("since"), F.col("second_t") - F.col("since")).alias("second_applied"), F.coalesce(F.col("last_first") > F.col("second_idx"), F.lit(False)).alias("reordered"))
+
+
+def refusal_shapes(refusals: DataFrame, splits: DataFrame, load: int, writer: int, reader: int, clients: int) -> DataFrame:
+    """One row that counts refusals (seq, range_id, client, place: 'apply', 'read', 'receipt') by shape: writes of the load
+    refused at apply, its gets at serving, its stale reads at receipt, and ordinary clients' after a split of the range.
+
+    A client's number above bit 32 tells the load (``load``) or one of ``clients``; its bits ``writer`` and ``reader`` the kind.
+    """
+    since = splits.groupBy("range_id").agg(F.min("seq").alias("split_seq"))
+    told = refusals.join(since, "range_id", "left")
+    kind = F.shiftright("client", 32)
+    loads, plain = kind == load, F.col("client").bitwiseAND(F.lit(writer | reader)) == 0
+    reads = F.col("client").bitwiseAND(F.lit(reader)) != 0
+    return told.agg(
+        F.count_if(loads & plain & (F.col("place") == "apply")).alias("writes_refused_at_apply"),
+        F.count_if(loads & plain & (F.col("place") == "read")).alias("gets_refused_at_serving"),
+        F.count_if(loads & reads & (F.col("place") == "receipt")).alias("stale_reads_refused"),
+        F.count_if(~loads & kind.between(1, clients) & (F.col("split_seq") < F.col("seq"))).alias("clients_mismatched_by_a_split"),
+    )
+
+
+def splits_from_restarted_nodes(splits: DataFrame, proposals: DataFrame, arms: DataFrame) -> DataFrame:
+    """How many splits (range_id, idx, seq) were applied after one of ``arms`` (victim, request) proposed them
+    (server, range_id, idx, request, seq) on its restarted node; each counts once."""
+    asked = proposals.join(arms.distinct(), (F.col("server") == F.col("victim")) & proposals["request"].eqNullSafe(arms["request"]), "left_semi")
+    first = asked.groupBy("range_id", "idx").agg(F.min("seq").alias("proposed"))
+    return splits.join(first, ["range_id", "idx"]).filter("seq > proposed").agg(F.countDistinct("range_id", "idx").alias("splits"))
+
+
+def split_fate(asked: DataFrame, splits: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """What became of each split that was asked for (ask, range_id, cut): when it was first applied, and when the range's
+    descriptor first left the cut outside or on its bound; null where that never happened.
+
+    ``splits`` have range_id, split_at, t; ``descriptors`` range_id, start, stop, t. Times are those of one clock.
+    """
+    applied = splits.select("range_id", F.col("split_at").alias("cut"), "t").groupBy("range_id", "cut").agg(F.min("t").alias("applied"))
+    cuts = asked.select("range_id", "cut", F.lit(None).cast("long").alias("t")).distinct()
+
+    def first_beyond(bound: str, order: Column) -> DataFrame:
+        both = cuts.unionByName(descriptors.groupBy("range_id", F.col(bound).alias("cut")).agg(F.min("t").alias("t")), allowMissingColumns=True)
+        reached = Window.partitionBy("range_id").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("outside", F.min("t").over(reached)).filter("t is null").select("range_id", "cut", "outside")
+
+    # right of the cut begins what starts at it or after, left of it ends what stops at it or before
+    beyond = first_beyond("start", F.desc("cut")).unionByName(first_beyond("stop", F.asc("cut")))
+    outside = beyond.groupBy("range_id", "cut").agg(F.min("outside").alias("outside"))
+    return asked.join(applied, ["range_id", "cut"], "left").join(outside, ["range_id", "cut"], "left").select("ask", "applied", "outside")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.intervals import as_of, bucket_width, covering, running, with_next
+from ..functions.scalar import crc32c
 
 
 def contains(key: Column, start: Column, stop: Column) -> Column:
@@ -157,8 +158,11 @@ def in_force(places: DataFrame, values: DataFrame, inclusive: bool) -> DataFrame
 
 
 def config_digest(nodes: DataFrame) -> DataFrame:
-    """One number for a bootstrap configuration, the same whatever the order of its rows."""
-    return nodes.agg(F.bit_xor(F.xxhash64(*nodes.columns)).alias("digest"), F.count(F.lit(1)).alias("rows"))
+    """The CRC-32C of a bootstrap configuration, a stated small table: of its rows as lines in order, fields parted by a
+    vertical bar and a missing one written \\N. The same whatever the order of the rows."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in nodes.columns]
+    whole = nodes.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *fields))), "\n").alias("text"), F.count(F.lit(1)).alias("rows"))
+    return whole.select(crc32c(F.encode("text", "UTF-8")).alias("digest"), "rows")
 
 
 def reseed_pick(directories: DataFrame) -> DataFrame:

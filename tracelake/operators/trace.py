@@ -7,10 +7,15 @@ line: decided time is data.decidedNs where present, else t. Order is always by s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import FNV_OFFSET, FNV_PRIME, MAX_U64
+
 LINE = T.StructType([
     T.StructField("run", T.StringType()),
     T.StructField("seq", T.LongType()),
@@ -127,8 +132,12 @@ def first_difference(recorded: DataFrame, replayed: DataFrame) -> DataFrame:
 
 
 def body_digest(lines: DataFrame) -> DataFrame:
-    """A digest of the numbered bodies that any change, loss or exchange of lines alters: computed in parallel."""
-    return lines.agg(F.bit_xor(F.xxhash64("line", "body")).alias("digest"), F.count(F.lit(1)).alias("lines"))
+    """A digest of the numbered bodies that any change, loss or exchange of lines alters: computed in parallel.
+
+    Each line counts by the first 60 bits of an MD5 of its number and body, a missing body as an empty one.
+    """
+    own = F.md5(F.concat(F.col("line").cast("string"), F.lit(":"), F.coalesce("body", F.lit(""))))
+    return lines.agg(F.bit_xor(F.conv(F.substring(own, 1, 15), 16, 10).cast("long")).alias("digest"), F.count(F.lit(1)).alias("lines"))
 
 
 def audit_breaks(chain: DataFrame) -> DataFrame:
@@ -141,18 +150,16 @@ def audit_breaks(chain: DataFrame) -> DataFrame:
 
 def fnv_body(lines: DataFrame) -> DataFrame:
     """Per run the 64-bit FNV-1a hash of its bodies in order, each ended by a line feed: sequential within a run."""
-    import pandas as pd
-
-    from ..functions.scalar import FNV_OFFSET, FNV_PRIME, MAX_U64
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = FNV_OFFSET
-        for body in pdf.sort_values("line")["body"]:
-            for byte in f"{body}\n".encode():
-                h = (h ^ byte) * FNV_PRIME & MAX_U64
-        return pd.DataFrame({"run": [key[0]], "hash": [f"{h:016x}"]})
-
-    return lines.select("run", "line", "body").groupBy("run").applyInPandas(run, "run string, hash string")
+        for pdf in frames:  # batches of one run, in order of its lines
+            for body in pdf["body"]:
+                for byte in f"{body}\n".encode():
+                    h = (h ^ byte) * FNV_PRIME & MAX_U64
+        yield pd.DataFrame({"run": [key[0]], "hash": [f"{h:016x}"]})
+
+    ordered = lines.select("run", "line", "body").repartition("run").sortWithinPartitions("run", "line")
+    return ordered.groupBy("run").applyInPandas(run, "run string, hash string")
 
 
 def messages_of(lines: DataFrame) -> DataFrame:

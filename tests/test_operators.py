@@ -515,3 +515,48 @@ def test_gaps_show_only_while_they_last(spark):
     held = spark.createDataFrame([(1, 0, 10, 1, 5), (1, 0, 6, 5, None), (2, 6, 10, 8, None)], "range_id long, start long, stop long, from_seq long, to_seq long")
     commands = spark.createDataFrame([(9, k) for k in (0, 3, 6, 7, 8, 12)], "range_id long, seq long")
     assert sorted(rows(checks.tiling_after(held, commands, 0, 10))) == [(9, 0, 0), (9, 6, 6), (9, 7, 6)]
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_keys_in_spans_equal_brute_force(spark, how):
+    draw = random.Random(5)
+
+    def word() -> str:
+        return "range/" + "".join(draw.choice("ab\0é𝄞z") for _ in range(draw.randrange(9)))
+
+    keys = sorted({word() for _ in range(300)} | {"", "r", "range", "range/", "s", "\U0010ffff"})
+    spans = [(word(), word()) for _ in range(60)] + [("range/b", "range/b"), ("range/ab", "range/ab\0")]
+    spans = [(a, b) for a, b in spans if a >= b or len(a) > 2 and draw.random() < 0.5]
+    rows_of = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "key string, seq long")
+    found = intervals.in_spans(rows_of, spark.createDataFrame([*spans, *spans[:3], ("x", None)], "start string, stop string"), how, only=F.col("seq") % 5 > 0)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    hit = {n for n, k in enumerate(keys) if n % 5 and any(a.encode() <= k.encode() < b.encode() for a, b in spans)}
+    assert {r.seq for r in found.collect()} == (hit if how == "left_semi" else set(range(len(keys))) - hit)
+    assert hit and len(hit) < len(keys)
+
+
+def test_no_span_holds_no_key(spark):
+    keys = spark.createDataFrame([("a",), ("b",)], "key string")
+    none = spark.createDataFrame([("b", "a"), (None, "z")], "start string, stop string")
+    assert intervals.in_spans(keys, none, "left_semi").count() == 0 and intervals.in_spans(keys, none, "left_anti").count() == 2
+
+
+def test_a_reorder_is_an_apply_after_the_second_splits(spark):
+    arms = spark.createDataFrame([(1, 7, 50, 30, 100), (2, 8, 50, 30, 100), (3, 9, 50, None, 0), (4, 6, 90, 70, 100)], "arm long, range_id long, first_cut long, second_cut long, since long")
+    applies = spark.createDataFrame([
+        (1, 5, 120, 7, 0, 30), (2, 6, 130, 7, 0, 50),  # the first split's update comes second
+        (3, 7, 140, 8, 0, 50), (4, 8, 150, 99, 30, 50),  # in order; the right half tells the second
+        (5, 4, 160, 8, 0, 50),  # an index below one applied before doesn't count
+        (6, 9, 90, 6, 0, 70),  # before the arm: no time
+    ], "seq long, idx long, t long, range_id long, start long, stop long")
+    assert rows(measure.meta_reorders(applies, arms).orderBy("arm")) == [(1, 20, True), (2, 50, False), (3, None, False), (4, None, False)]
+
+
+def test_split_fate_equals_brute_force(spark):
+    draw = random.Random(9)
+    asked = [(n, draw.randrange(3), draw.randrange(40)) for n in range(60)]
+    splits = [(draw.randrange(3), draw.randrange(40), draw.randrange(1000)) for _ in range(40)]
+    spans = [(draw.randrange(2), a := draw.randrange(40), a + draw.randrange(30), draw.randrange(1000)) for _ in range(25)]
+    found = measure.split_fate(spark.createDataFrame(asked, "ask long, range_id long, cut long"), spark.createDataFrame(splits, "range_id long, split_at long, t long"), spark.createDataFrame(spans, "range_id long, start long, stop long, t long"))
+    wanted = [(n, min((t for q, k, t in splits if (q, k) == (r, c)), default=None), min((t for q, a, b, t in spans if q == r and not a < c < b), default=None)) for n, r, c in asked]
+    assert rows(found.orderBy("ask")) == wanted

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +81,37 @@ def overlapping(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tup
     return met.filter((low < high) & (F.col("_bucket") == F.floor(low / width))).drop("_bucket")
 
 
+#: Bytes of a key, after what all of them begin with, that place it on a line.
+PLACE_BYTES = 6
+
+
+def in_spans(rows: DataFrame, spans: DataFrame, how: str, key: str = "key", start: str = "start", stop: str = "stop", only: Column | None = None) -> DataFrame:
+    """``rows`` whose text or binary key lies in a span, start <= key < stop (``how`` 'left_semi'), or in none ('left_anti').
+
+    Keys are placed on a line by the first bytes after those that all spans' bounds share, an order that ties but never
+    turns; spans are dealt to buckets of their mean length there, and rows meet them by equality, then exactly.
+    ``only``: a condition on rows that a match must meet as well. Rows beyond all spans are spread by a hash.
+    """
+    own = spans.select(F.col(start).alias("_start"), F.col(stop).alias("_stop")).filter("_start < _stop").distinct()
+    first, last = own.agg(F.min("_start"), F.max("_stop")).first()
+    if first is None:
+        return rows if how == "left_anti" else rows.filter(F.lit(False))
+    first, last = (b if isinstance(b, str) else bytes(b) for b in (first, last))
+    same = len(os.path.commonprefix([b.encode() if isinstance(b, str) else b for b in (first, last)]))
+
+    def place(c: Column) -> Column:
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), same + 1, PLACE_BYTES)), 2 * PLACE_BYTES, "0"), 16, 10).cast("long")
+
+    sized = own.withColumn("_lo", place(F.col("_start"))).withColumn("_hi", place(F.col("_stop")))
+    width = max(1, math.ceil(sized.agg(F.avg(F.col("_hi") - F.col("_lo") + 1)).first()[0]))
+    buckets = sized.select("_start", "_stop", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))).alias("_bucket"))
+    k = F.col(key)
+    beyond = -1 - F.pmod(F.xxhash64(k), F.lit(1 << 20))
+    placed = rows.withColumn("_at", F.when((k >= F.lit(first)) & (k < F.lit(last)), F.floor(place(k) / width)).otherwise(beyond))
+    match = (F.col("_at") == F.col("_bucket")) & (placed[key] >= F.col("_start")) & (placed[key] < F.col("_stop"))
+    return placed.join(buckets, match if only is None else match & only, how).drop("_at")
+
+
 def valid_until(rows: DataFrame, keys: list[str], on: str, name: str = "until") -> DataFrame:
     """``rows`` with the ``on`` of the next row of its key: each holds from its own until there (null: for ever)."""
     return rows.withColumn(name, F.lead(on).over(Window.partitionBy(*keys).orderBy(on)))

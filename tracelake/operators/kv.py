@@ -5,8 +5,8 @@ A write log has a row per write: key, seq (the batch's number), ord (its place i
 newest write of a key at a version is the one of the greatest (seq, ord) with seq <= version.
 
 Reads keep one aggregate row per key before anything is shuffled (max_by combines on the map side),
-and push key ranges and versions into the scan. History rewrites are filters over the log; spans are
-a stated list, few beside the log, and are matched without a shuffle where Spark finds them small.
+and push key ranges and versions into the scan. History rewrites are filters over the log; it meets spans
+by equality of buckets of the keyspace, without a shuffle where Spark finds the spans small.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.intervals import in_spans
+
 WRITE = ("key", "seq", "ord", "op", "value")
 #: Level 0 is judged by its tables, deeper levels by their bytes, LEVEL_RATIO times more each.
 LEVEL0_TABLES = 4
@@ -88,17 +90,13 @@ def delete(log: DataFrame, key: object) -> DataFrame:
     return append_batch(log, one)
 
 
-def _inside(rows: DataFrame, spans: DataFrame) -> Column:
-    return (rows["key"] >= spans["start"]) & (rows["key"] < spans["stop"])
-
-
 def check_spans(spans: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """What an install must refuse: (refusal, start) rows for unsorted or overlapping spans, and for keys outside all of them."""
     before = Window.orderBy("start", "stop")  # the spans of one command, a stated list
     bad = spans.withColumn("before", F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     out = bad.select(F.when(F.col("start") >= F.col("stop"), "empty").when(F.col("before") > F.col("start"), "overlap").alias("refusal"), "start").filter("refusal is not null")
     if keys is not None:
-        outside = keys.join(spans, _inside(keys, spans), "left_anti")
+        outside = in_spans(keys, spans, "left_anti")
         out = out.unionByName(outside.select(F.lit("outside").alias("refusal"), F.col("key").alias("start")))
     return out
 
@@ -108,14 +106,14 @@ def delete_ranges(log: DataFrame, spans: DataFrame, number: Column | int) -> Dat
 
     No tombstone is left: a snapshot below ``number`` reads the spans empty, and later writes survive.
     """
-    return log.join(spans, _inside(log, spans) & (log["seq"] < number), "left_anti").select(*WRITE)
+    return in_spans(log, spans, "left_anti", only=F.col("seq") < number).select(*WRITE)
 
 
 def install_spans(log: DataFrame, spans: DataFrame, source: DataFrame, number: Column | int, repair: DataFrame | None = None) -> DataFrame:
     """delete_ranges, plus the source's newest live write per key in the spans renumbered to ``number``,
     plus the receiver's repair batch (key, ord, op, value) at ``number`` + 1."""
     live = newest(source).filter("op <> 'delete'")
-    brought = live.join(spans, _inside(live, spans), "left_semi").select("key", F.lit(number).cast("long").alias("seq") if not isinstance(number, Column) else number.cast("long").alias("seq"), F.lit(0).alias("ord"), "op", "value")
+    brought = in_spans(live, spans, "left_semi").select("key", F.lit(number).cast("long").alias("seq") if not isinstance(number, Column) else number.cast("long").alias("seq"), F.lit(0).alias("ord"), "op", "value")
     parts = [delete_ranges(log, spans, number), brought]
     if repair is not None:
         parts.append(repair.withColumn("seq", (number if isinstance(number, Column) else F.lit(number)).cast("long") + 1))
@@ -136,9 +134,9 @@ def compact(log: DataFrame, oldest_snapshot: Column | int, deeper: DataFrame | N
     if deeper is None:
         covered = F.lit(False)
     else:
-        bounds = deeper.select(F.col("first_key").alias("low"), F.col("last_key").alias("high"))
+        bounds = deeper.select(F.col("first_key").alias("low"), F.concat(F.col("last_key"), F.lit("\0").cast(deeper.schema["last_key"].dataType)).alias("high"))  # the next text after a table's last key
         held = marked.filter(first_tomb).select("key").distinct()
-        held = held.join(bounds, (held["key"] >= bounds["low"]) & (held["key"] <= bounds["high"]), "left_semi").withColumn("deep", F.lit(True))
+        held = in_spans(held, bounds, "left_semi", start="low", stop="high").withColumn("deep", F.lit(True))
         marked = marked.join(held, "key", "left")
         covered = F.coalesce(F.col("deep"), F.lit(False))
     verdict = F.when(dead, "dropped_version").when(first_tomb & ~covered, "dropped_tombstone").otherwise("kept")

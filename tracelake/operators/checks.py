@@ -47,7 +47,7 @@ def log_view(appends: DataFrame, truncates: DataFrame, installs: DataFrame | Non
     or below it, install at or above it, or creation of their replica.
 
     Truncates and installs reach many indices, so each entry takes the next one that reaches it: a range
-    condition inside one replica, met by the entries' own window where there are no installs.
+    condition inside one replica.
     """
     next_same = F.lead("seq").over(Window.partitionBy("range_id", "server", "idx").orderBy("seq"))
     entries = appends.select("range_id", "server", "idx", "term", "hash", "seq").withColumn("same", next_same)

@@ -168,6 +168,31 @@ def test_log_view_against_a_replay(spark):
     assert sorted(rows(view.select("server", "idx", "hash", "from_seq", "to_seq")), key=str) == sorted(done, key=str)
 
 
+def joins_of(df) -> list[str]:
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+
+
+@pytest.mark.parametrize("kinds", ["t", "i", "c", "tic"])
+def test_log_view_equals_brute_force_without_pairs(spark, kinds):
+    """Truncates, installs and creations of two replicas, ties of seq and negative indices among them; and no entry is joined with cuts."""
+    random.seed(12)
+    appends = [(0, random.randrange(2), random.randrange(-5, 90), 1, k, k // 2 * 3) for k in range(400)]
+    cuts = {kind: [(0, random.randrange(2), random.randrange(-9, 99), random.randrange(0, 620)) for _ in range(40 if kind in kinds else 0)] for kind in "tic"}
+    reaches = {"t": lambda bound, idx: bound <= idx, "i": lambda bound, idx: bound >= idx, "c": lambda bound, idx: True}
+    want = []
+    for r, s, i, term, h, seq in appends:
+        ends = [a[5] for a in appends if a[1:3] == (s, i) and a[5] > seq]
+        ends += [at for kind in "tic" for _, server, bound, at in cuts[kind] if server == s and at > seq and reaches[kind](bound, i)]
+        want.append((s, i, h, seq, min(ends, default=None)))
+    entry = "range_id long, server long, idx long, term long, hash long, seq long"
+    appends = [a for k, a in enumerate(appends) if k % 2 == 0 or a[1:3] != appends[k - 1][1:3]]  # no index twice at one seq
+    want = [w for w in want if any(a[4] == w[2] for a in appends)]
+    made = {kind: spark.createDataFrame(cuts[kind], f"range_id long, server long, {'last_idx' if kind == 'i' else 'from_idx'} long, seq long") for kind in "tic"}
+    view = checks.log_view(spark.createDataFrame(appends, entry), made["t"], made["i"].withColumn("taken", F.lit(False)), made["c"])
+    assert sorted(rows(view.select("server", "idx", "hash", "from_seq", "to_seq")), key=str) == sorted(want, key=str)
+    assert not joins_of(view)
+
+
 def test_log_matching_needs_both_at_once(spark):
     cols = "range_id long, server long, idx long, term long, hash long, from_seq long, to_seq long"
     apart = spark.createDataFrame([(0, 1, 3, 1, 10, 0, 5), (0, 2, 3, 1, 11, 5, None)], cols)
@@ -220,6 +245,14 @@ def test_leader_completeness_equals_brute_force(spark):
     assert {(r.range_id, r.led, r.server): (r.idx, r.seq) for r in found.collect()} == least and least
 
 
+def test_blocks_of_a_place_and_a_span_meet_once(spark):
+    spans = [(a, b) for a in range(0, 19) for b in range(a, 20)]
+    found = spark.createDataFrame(spans, "a long, b long").select("a", "b", intervals.span_blocks(F.col("a"), F.col("b"), 5).alias("blocks")).collect()
+    points = {r.x: set(map(tuple, r.blocks)) for r in spark.range(20).toDF("x").select("x", intervals.point_blocks(F.col("x"), 5).alias("blocks")).collect()}
+    for r in found:
+        assert [sum(tuple(b) in points[x] for b in r.blocks) for x in range(20)] == [int(r.a <= x < r.b) for x in range(20)]
+
+
 def test_span_joins_equal_brute_force(spark):
     random.seed(3)
     a = [(random.randrange(2), k, x := random.randrange(200), x + random.choice([0, 1, 5, 90])) for k in range(60)]

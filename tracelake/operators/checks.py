@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of, bucket_width, covering, dealt, overlapping, running, span_width
+from ..functions.intervals import as_of, bucket_width, covering, dealt, levels_of, overlapping, point_blocks, running, span_blocks, span_width
 from ..functions.scalar import joint_majority
 
 #: Fixed value: the order in which the checks of one trace are judged.
@@ -46,21 +46,60 @@ def log_view(appends: DataFrame, truncates: DataFrame, installs: DataFrame | Non
     """Entries with the seq where they end (null: never): at the next append of their index, or the next truncate at
     or below it, install at or above it, or creation of their replica.
 
-    Truncates and installs reach many indices, so each entry takes the next one that reaches it: a range
-    condition inside one replica.
+    Truncates and installs reach many indices. One window over a replica's entries and cuts, backwards in time,
+    tells which entries any later cut reaches, and ends those that the very next one does. The others look for
+    theirs by blocks of indices (_first_reaching), so no entry is compared with all cuts of its replica.
     """
     next_same = F.lead("seq").over(Window.partitionBy("range_id", "server", "idx").orderBy("seq"))
     entries = appends.select("range_id", "server", "idx", "term", "hash", "seq").withColumn("same", next_same)
-    cuts = truncates.select("range_id", "server", F.col("from_idx").alias("low"), F.lit(None).cast("long").alias("high"), F.col("seq").alias("cut"))
+    cuts = truncates.select("range_id", "server", F.col("from_idx").alias("low"), F.lit(None).cast("long").alias("high"), F.lit(None).cast("long").alias("whole"), F.col("seq").alias("cut"))
     if installs is not None:
-        cuts = cuts.unionByName(installs.filter("not taken").select("range_id", "server", F.lit(None).cast("long").alias("low"), F.col("last_idx").alias("high"), F.col("seq").alias("cut")))
+        cuts = cuts.unionByName(installs.filter("not taken").select("range_id", "server", F.lit(None).cast("long").alias("low"), F.col("last_idx").alias("high"), F.lit(None).cast("long").alias("whole"), F.col("seq").alias("cut")))
     if created is not None:
-        cuts = cuts.unionByName(created.select("range_id", "server", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), F.col("seq").alias("cut")))
-    e, c = entries.alias("e"), cuts.alias("c")
-    reach = (F.col("c.cut") > F.col("e.seq")) & (F.col("c.low").isNull() | (F.col("c.low") <= F.col("e.idx"))) & (F.col("c.high").isNull() | (F.col("c.high") >= F.col("e.idx")))
-    joined = e.join(c, (F.col("e.range_id") == F.col("c.range_id")) & (F.col("e.server") == F.col("c.server")) & reach, "left")
-    ended = joined.groupBy(*[F.col(f"e.{n}") for n in ("range_id", "server", "idx", "term", "hash", "seq", "same")]).agg(F.min("c.cut").alias("cut"))
-    return ended.select("range_id", "server", "idx", "term", "hash", F.col("seq").alias("from_seq"), F.least("same", "cut").alias("to_seq"))
+        cuts = cuts.unionByName(created.select("range_id", "server", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), F.col("seq").alias("whole"), F.col("seq").alias("cut")))
+    both = entries.select("*", *[F.lit(None).cast("long").alias(n) for n in ("low", "high", "whole", "cut")])
+    both = both.unionByName(cuts.select("range_id", "server", *[F.lit(None).cast(entries.schema[n].dataType).alias(n) for n in ("idx", "term", "hash")], F.col("cut").alias("seq"), F.lit(None).cast("long").alias("same"), "low", "high", "whole", "cut"))
+    later = Window.partitionBy("range_id", "server").orderBy(F.desc("seq"), F.col("cut").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    following = F.last(F.when(F.col("cut").isNotNull(), F.struct("low", "high", "cut")), ignorenulls=True)
+    seen = both.select(*entries.columns, "cut", F.min("low").over(later).alias("least"), F.max("high").over(later).alias("most"), F.last("whole", ignorenulls=True).over(later).alias("whole"), following.over(later).alias("next")).filter("cut is null")
+    reached = (F.col("next.low") <= F.col("idx")) | (F.col("next.high") >= F.col("idx"))
+    ever = F.coalesce((F.col("least") <= F.col("idx")) | (F.col("most") >= F.col("idx")), F.lit(False))
+    direct = F.when(reached, F.col("next.cut"))
+    searched = ever & ~F.coalesce(reached, F.lit(False))
+    kept = ["range_id", "server", "idx", "term", "hash", "seq", "same", "whole"]
+    settled = seen.filter(~searched).select(*kept, direct.alias("cut"))
+    found = settled.unionByName(_first_reaching(seen.filter(searched).select(*kept), cuts))
+    return found.select("range_id", "server", "idx", "term", "hash", F.col("seq").alias("from_seq"), F.least("same", "cut", "whole").alias("to_seq"))
+
+
+def _first_reaching(entries: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``entries`` with ``cut``, the first of ``cuts`` (low, high, cut) after their seq with low <= idx or high >= idx.
+
+    A cut lies in the aligned block of each level that holds its bound, and the bounds that reach an entry are a
+    span of few such blocks; in each of them one window finds the next cut.
+    """
+    low, top, under, high = cuts.agg(F.min("low"), F.max("low"), F.min("high"), F.max("high")).first()
+    payload = F.struct(*entries.columns)
+    sides = []
+    if low is not None:
+        place, stop = F.col("low") - low, F.least("idx", F.lit(top)) - low + 1
+        sides.append((0, place, stop, top - low, F.col("idx") >= low))
+    if high is not None:
+        place, stop = F.lit(high) - F.col("high"), F.lit(high) - F.greatest("idx", F.lit(under)) + 1
+        sides.append((1, place, stop, high - under, F.col("idx") <= high))
+    if not sides:
+        return entries.withColumn("cut", F.lit(None).cast("long"))
+    parts = []
+    for side, place, stop, span, any_reaches in sides:
+        levels, at = levels_of(span + 1), ["range_id", "server", F.lit(side).alias("side")]
+        parts.append(cuts.filter(place.isNotNull()).select(*at, F.explode(point_blocks(place, levels)).alias("b"), F.col("cut").alias("seq"), "cut", F.lit(None).cast(entries.select(payload.alias("e")).schema["e"].dataType).alias("e")))
+        parts.append(entries.filter(any_reaches).select(*at, F.explode(span_blocks(F.lit(0).cast("long"), stop, levels)).alias("b"), "seq", F.lit(None).cast("long").alias("cut"), payload.alias("e")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    later = Window.partitionBy("range_id", "server", "side", "b.level", "b.block").orderBy(F.desc("seq"), F.col("cut").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.withColumn("after", F.last("cut", ignorenulls=True).over(later)).filter("e is not null")
+    return met.groupBy("e").agg(F.min("after").alias("cut")).select("e.*", "cut")
 
 
 def floors(snapshots: DataFrame, created: DataFrame | None = None) -> DataFrame:

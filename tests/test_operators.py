@@ -245,6 +245,26 @@ def test_leader_completeness_equals_brute_force(spark):
     assert {(r.range_id, r.led, r.server): (r.idx, r.seq) for r in found.collect()} == least and least
 
 
+def test_leader_completeness_meets_lacks_by_blocks_of_time(spark):
+    """Each of 3 servers lacks entries from the commit on, and was elected as often: all pairs would be lacks times elections."""
+    n = 300
+    commits = [(0, i, 1, 1 + i % 3, 2 * i) for i in range(1, n)]
+    leaders = [(0, s, 1 + (k * 7 + s) % 5, 2 * k + 1) for s in (1, 2, 3) for k in range(n)]
+    entries = [(0, s, i, 1, 1, 2 * i - 1, random.Random(i * s).choice([None, 2 * i + 50])) for s in (1, 2, 3) for i in range(1, n)]
+    least = {}
+    for _, s, led, elected in leaders:
+        for (_, i, _, in_term, at), e in zip(commits, [e for e in entries if e[1] == s], strict=True):
+            if in_term < led and at < elected and e[6] is not None and e[6] <= elected:
+                a, b = least.get((led, s), (i, elected))
+                least[led, s] = min(a, i), min(b, elected)
+    found = checks.leader_completeness(
+        spark.createDataFrame(commits, "range_id long, idx long, entry_term long, term long, seq long"), spark.createDataFrame(leaders, "range_id long, server long, term long, seq long"),
+        spark.createDataFrame(entries, "range_id long, server long, idx long, term long, hash long, from_seq long, to_seq long"),
+    )
+    assert {(r.led, r.server): (r.idx, r.seq) for r in found.collect()} == least and least
+    assert not [line for line in joins_of(found) if "elected" in line]
+
+
 def test_blocks_of_a_place_and_a_span_meet_once(spark):
     spans = [(a, b) for a in range(0, 19) for b in range(a, 20)]
     found = spark.createDataFrame(spans, "a long, b long").select("a", "b", intervals.span_blocks(F.col("a"), F.col("b"), 5).alias("blocks")).collect()

@@ -150,8 +150,9 @@ def leader_completeness(commits: DataFrame, leaders: DataFrame, entries: DataFra
     """A leader whose log lacks an entry committed in an earlier term before it was elected.
 
     For each server that ever led and each committed entry, the times after the commit when the server doesn't
-    hold it are found first, from one window over its entries of that index. On a good run they are few, and
-    only they meet the server's elections.
+    hold it are found first, from one window over its entries of that index. They meet the server's elections by
+    blocks of time (span_blocks); in each block one window in order of terms finds the least index that an election's log lacks.
+    With ``floor`` each pair of a lack and an election is looked at, since floors forgive some.
     """
     committed = commits.groupBy("range_id", "idx").agg(F.min_by("entry_term", "seq").alias("term"), F.min("term").alias("in_term"), F.min("seq").alias("at"))
     led = leaders.select("range_id", "server", F.col("term").alias("led"), F.col("seq").alias("elected"))
@@ -164,13 +165,28 @@ def leader_completeness(commits: DataFrame, leaders: DataFrame, entries: DataFra
     upto = F.max(F.coalesce("to_seq", F.lit(1 << 62))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     lacks = marks.withColumn("lost", upto).withColumn("again", F.coalesce(F.lead("from_seq").over(by), F.lit(1 << 62))).filter("lost < again")
     lacks = lacks.select(F.col("range_id").alias("l_range"), F.col("server").alias("l_server"), "idx", F.col("term"), "in_term", "at", "lost", "again")
+    if floor is None:
+        return _least_lacking(led, lacks)
     on = (led["range_id"] == F.col("l_range")) & (led["server"] == F.col("l_server")) & (F.col("elected") > F.col("at")) & (F.col("elected") >= F.col("lost")) & (F.col("elected") < F.col("again")) & (F.col("in_term") < F.col("led"))
     missing = led.join(lacks, on)
-    if floor is not None:
-        missing = missing.join(floor, (missing["range_id"] == floor["range_id"]) & (missing["server"] == floor["server"]) & (floor["floor"] >= missing["idx"]) & _alive(floor, missing["elected"]), "left_anti")
+    missing = missing.join(floor, (missing["range_id"] == floor["range_id"]) & (missing["server"] == floor["server"]) & (floor["floor"] >= missing["idx"]) & _alive(floor, missing["elected"]), "left_anti")
     return missing.groupBy("range_id", "led", "server").agg(F.min("idx").alias("idx"), F.min("elected").alias("seq"))
 
 
+def _least_lacking(led: DataFrame, lacks: DataFrame) -> DataFrame:
+    """Per (range, led, server) the least index lacked at any of its elections, and the first election that lacks one."""
+    first, last = led.agg(F.min("elected"), F.max("elected")).first()
+    first, last = (0, -1) if first is None else (first, last)
+    levels = levels_of(last - first + 1)
+    start, stop = F.greatest("lost", F.col("at") + 1, F.lit(first)) - first, F.least("again", F.lit(last + 1)) - first
+    spans = lacks.withColumn("start", start).withColumn("stop", stop).filter("start < stop and in_term is not null")
+    a = spans.select(F.col("l_range").alias("range_id"), F.col("l_server").alias("server"), F.explode(span_blocks(F.col("start"), F.col("stop"), levels)).alias("b"), F.col("in_term").alias("term"), F.col("idx"), F.lit(None).cast("long").alias("elected"))
+    b = led.select("range_id", "server", F.explode(point_blocks(F.col("elected") - first, levels)).alias("b"), F.col("led").alias("term"), F.lit(None).cast("long").alias("idx"), "elected")
+    below = Window.partitionBy("range_id", "server", "b.level", "b.block").orderBy("term", F.col("elected").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = a.unionByName(b).withColumn("least", F.min("idx").over(below)).filter("elected is not null and least is not null")
+    return met.groupBy("range_id", F.col("term").alias("led"), "server").agg(F.min("least").alias("idx"), F.min("elected").alias("seq"))
+
+
 def commit_majority(commits: DataFrame, entries: DataFrame, configs: DataFrame, floor: DataFrame | None = None) -> DataFrame:
     """A commit of an index that no majority of the voters (old, and new if joint) holds at that moment.
 

@@ -33,7 +33,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 of five-word shingles), that of the smallest doc_id."""
+    """One document of each group of near copies, that of the smallest doc_id: SimHash and segment popcounts name candidates,
+    MinHash bands those beyond the grid's reach, and Jaccard 0.8 of five-word shingles links them."""
     return near_copies.near_dedup(docs, words=5, similarity=0.8)
 
 

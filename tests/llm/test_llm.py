@@ -631,6 +631,21 @@ def test_near_copies_equal_brute_force_at_jaccard(spark, small, block):
     assert found == want and 6 < len(set(want.values())) < len(texts)
 
 
+def test_near_copies_are_found_by_simhash_alone(spark, monkeypatch):
+    """Without any agreement of minima, the grid of segment popcounts still names copies within three bits; those below 0.8 stay apart."""
+    monkeypatch.setattr(near_copies, "band_minima", lambda hashes, at: np.arange((len(at) - 1) * near_copies.BANDS, dtype=np.uint64).reshape(-1, near_copies.BANDS) + near_copies.mix(hashes[at[:-1]])[:, None])
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(reversed(words)), " ".join(words[:250])]
+    fps = near_copies.set_fingerprints(*near_copies.shingle_sets([t.encode() for t in texts]))
+    hashes, at = near_copies.shingle_sets([t.encode() for t in texts])
+    for k, fp in enumerate(fps.tolist()):
+        own = [int(h) for h in near_copies.mix(hashes[at[k] : at[k + 1]])]
+        assert fp == sum((2 * sum(h >> b & 1 for h in own) > len(own)) << b for b in range(64))
+    assert (int(fps[0]) ^ int(fps[1])).bit_count() <= 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.component_id) for r in near_copies.near_duplicates(docs).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 def test_the_pipeline_drops_near_copies_beyond_three_bits(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     random = np.random.default_rng(3)

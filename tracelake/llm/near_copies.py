@@ -1,11 +1,14 @@
-"""Near copies by Jaccard similarity: MinHash bands name candidates, exact similarity of shingle sets links them.
+"""Near copies by SimHash and segment popcounts, completed by MinHash bands; exact Jaccard similarity links them.
 
 A document's set holds the 64-bit hashes of its shingles of WORDS words, case of ASCII aside (all its
 words are one shingle where it has fewer). Rows with equal sets are one node, named fp. Two nodes are
-linked if their Jaccard similarity is at least SIMILARITY; no link stands on an estimate. Candidates
-agree in one of BANDS bands of ROWS minima: a pair at 0.8 is missed with probability
-(1 - 0.8**5)**20 = 0.04 %, one at 0.9 with 1e-8. A SimHash can't do that: at 0.8, fingerprints
-of 64 bits differ in some ten bits on average, too many to look up by equal cells.
+linked if their Jaccard similarity is at least SIMILARITY; no link stands on an estimate.
+
+Candidates share a cell. First, each set's SimHash is embedded by the bit counts of its segments and looked up in the
+projections of simhash's grid, which name every pair within three bits and many beyond. At 0.8, though, fingerprints
+of 64 bits differ in some ten bits on average, more than the grid can promise. So pairs that agree in one of BANDS
+bands of ROWS minima are candidates too: one at 0.8 is missed by those with probability
+(1 - 0.8**5)**20 = 0.04 %, one at 0.9 with 1e-8.
 
 Cells of up to SMALL_CELL nodes verify all their pairs. In larger ones, as a hot group of near copies
 makes, every node is first verified against a few pivots; where that leaves a cell in several
@@ -30,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import BLOCK_BYTES, hash_side, joined, mix, quoted, run_hashes, shared_checkpoint, text_blocks
 from .components import connected_components
-from .simhash import kept_rows, shingles, word_runs
+from .simhash import grid_projections, groups_for, kept_rows, shingles, unary_counts, word_runs
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -39,6 +42,8 @@ ROWS = 5
 SMALL_CELL = 16
 BLOCK = 256
 PIVOTS = 4
+#: Hashes whose bits are counted at a time.
+BIT_ROWS = 1 << 16
 MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -71,6 +76,18 @@ def set_names(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return fp
 
 
+def set_fingerprints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash of each set: bit k is set if set in over half of its (mixed) hashes; zero for the empty one."""
+    size = np.diff(at)
+    owner, sums = np.repeat(np.arange(len(size)), size), np.zeros((len(size), 64), dtype=np.int64)
+    for first in range(0, len(hashes), BIT_ROWS):
+        part = owner[first : first + BIT_ROWS]
+        bits = np.unpackbits(mix(hashes[first : first + BIT_ROWS]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sums[part[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def band_minima(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of the minima in each band, for each set; zeros for the empty one."""
     bands = np.zeros((len(at) - 1, BANDS), dtype=np.uint64)
@@ -81,7 +98,7 @@ def band_minima(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signature_rows(df: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """(id, fp, bands: array<long>) of every row."""
+    """(id, fp, sim: the SimHash, bands: array<long>) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +106,10 @@ def signature_rows(df: DataFrame, id_col: str, text_col: str, words: int = WORDS
                 hashes, at = shingle_sets(texts, words)
                 fp, bands = set_names(hashes, at), band_minima(hashes, at)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(fp.view(np.int64), pa.int64()), lists], ["id", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(fp.view(np.int64), pa.int64()), pa.array(set_fingerprints(hashes, at).view(np.int64), pa.int64()), lists], ["id", "fp", "sim", "bands"])
 
     narrow = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp long, bands array<long>")
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp long, sim long, bands array<long>")
 
 
 def with_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -166,7 +183,7 @@ def _block_links(similarity: float):
 
 
 def links(cells: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_CELL, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between the nodes of ``cells`` (band, cell, fp, n) that connect all of a cell with at least that similarity."""
+    """(u, v): links between the nodes of ``cells`` (of projections and bands: band, cell, fp, n) that connect all of a cell with at least that similarity."""
     order = Window.partitionBy("band", "cell").orderBy("fp")
     few = cells.filter(F.col("n") <= small).select("fp", F.collect_list("fp").over(order.rowsBetween(1, small - 1)).alias("next"))
     few = few.select(F.col("fp").alias("u"), F.explode("next").alias("v"))
@@ -190,8 +207,9 @@ def links(cells: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, sma
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL_CELL, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, fp (long), component_id, the smallest doc_id reachable by links, and root, the smallest such fp."""
     docs = shared_checkpoint(signature_rows(df, id_col, text_col, words))
-    nodes = docs.groupBy("fp").agg(F.min("id").alias("least_id"), F.any_value("bands").alias("bands"))
-    cells = nodes.select("fp", F.posexplode("bands").alias("band", "cell"))
+    nodes = docs.groupBy("fp").agg(F.min("id").alias("least_id"), F.any_value("sim").alias("sim"), F.any_value("bands").alias("bands"))
+    grid = grid_projections(F.col("unary"), groups=groups_for(nodes.count()))
+    cells = nodes.withColumn("unary", unary_counts(F.col("sim"))).select("fp", F.posexplode(F.concat(grid, "bands")).alias("band", "cell"))
     cells = shared_checkpoint(cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "cell"))).filter("n > 1"))
     wanted = cells.select("fp").distinct()
     # a node's set is made from one of its rows; rows without an id can't be looked up by it, so they all are

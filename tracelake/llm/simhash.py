@@ -149,12 +149,17 @@ def groups_for(nodes: int, max_bits: int = MAX_BITS) -> int:
     return next((g for g in range(GROUPS, MAX_GROUPS) if g > max_bits and SEGMENT_BITS * 32 * (g - max_bits) / g >= bits), MAX_GROUPS)
 
 
-def grid_cells(nodes: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> DataFrame:
-    """(grid, cell, fp): each fingerprint's cell in every projection of the grid."""
+def grid_projections(unary: Column, max_bits: int = MAX_BITS, groups: int = GROUPS) -> Column:
+    """The cell of unary_counts() in every projection of the grid, as an array."""
     group_masks = [sum(3 << (2 * k) for k in range(32) if k % groups == g) for g in range(groups)]
     masks = [sum(group_masks[g] for g in kept) for kept in combinations(range(groups), groups - max_bits)]
+    return F.array(*[unary.bitwiseAND(_long(m)) for m in masks])
+
+
+def grid_cells(nodes: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> DataFrame:
+    """(grid, cell, fp): each fingerprint's cell in every projection of the grid."""
     embedded = nodes.select("fp", unary_counts(F.col("fp")).alias("u"))
-    return embedded.select("fp", F.posexplode(F.array(*[F.col("u").bitwiseAND(_long(m)) for m in masks])).alias("grid", "cell"))
+    return embedded.select("fp", F.posexplode(grid_projections(F.col("u"), max_bits, groups)).alias("grid", "cell"))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

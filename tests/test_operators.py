@@ -199,6 +199,37 @@ def test_log_view_equals_brute_force_without_pairs(spark, kinds):
     assert not joins_of(view)
 
 
+def test_numbering_in_buckets_is_row_number(spark):
+    random.seed(5)
+    places = random.sample(range(-300, 900), 400)
+    made = spark.createDataFrame([(k % 3 or None, p) for k, p in enumerate(places)], "k long, seq long")
+    want = [(k, p, sum(1 for m, q in enumerate(places) if (m % 3 or None) == k and q <= p)) for k, p in ((n % 3 or None, p) for n, p in enumerate(places))]
+    assert sorted(rows(intervals.numbered(made, ["k"], "seq", "n", width=64)), key=str) == sorted(want, key=str)
+
+
+def test_no_window_of_the_log_view_takes_a_replica_whole(spark):
+    """Windows over all of a replica hold its cuts, or a row a bucket; entries, which have a hash, go by index or by buckets of lines."""
+    appends = spark.range(1000).selectExpr("id % 2 as range_id", "1L as server", "id as idx", "1L as term", "id as hash", "id * 1000 as seq")
+    cuts = spark.range(50).selectExpr("id % 2 as range_id", "1L as server", "id * 20 as from_idx", "id * 20000 + 1 as seq")
+    view = checks.log_view(appends, cuts)
+    assert view.count() == 1000
+    windows = [line for line in view._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    by = [line.split("windowspecdefinition(")[1].split(" ASC")[0].split(" DESC")[0] for line in windows]
+    assert any("bucket#" in b for b in by) and any("idx#" in b for b in by)
+    assert not [line for line, b in zip(windows, by, strict=True) if "row#" in line and "bucket#" not in b]
+
+
+def test_what_lies_below_the_floor_need_not_be_viewed(spark):
+    entry = "range_id long, server long, idx long, term long, hash long, seq long"
+    appends = spark.createDataFrame([(0, s, i, 1, 10 * i + s, 10 * i + s) for s in (1, 2) for i in range(1, 9)] + [(0, 1, 7, 2, 99, 200)], entry)
+    cuts = spark.createDataFrame([(0, 2, 6, 150), (0, 1, 8, 100)], "range_id long, server long, from_idx long, seq long")
+    floors = checks.floors(spark.createDataFrame([(0, 1, 5, 1, 60, True)], "range_id long, server long, last_idx long, term long, seq long, taken boolean"))
+    above = replica.above_floor(appends, floors)
+    assert above.count() == 12
+    want = rows(replica.retained(checks.log_view(appends, cuts), floors))
+    assert sorted(rows(replica.retained(checks.log_view(above, cuts), floors))) == sorted(want) and len(want) == 7
+
+
 def test_log_matching_needs_both_at_once(spark):
     cols = "range_id long, server long, idx long, term long, hash long, from_seq long, to_seq long"
     apart = spark.createDataFrame([(0, 1, 3, 1, 10, 0, 5), (0, 2, 3, 1, 11, 5, None)], cols)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.intervals import as_of, bucket_width, covering, dealt, levels_of, overlapping, point_blocks, running, span_blocks, span_width
+from ..functions.intervals import BUCKET_LINES, as_of, bucket_width, covering, dealt, levels_of, overlapping, point_blocks, running, span_blocks, span_width
 from ..functions.scalar import joint_majority
 
 #: Fixed value: the order in which the checks of one trace are judged.
@@ -42,33 +42,45 @@ def election_safety(leaders: DataFrame) -> DataFrame:
     return second.groupBy("range_id", "term").agg(F.first("leaders").alias("leaders"), F.min("seq").alias("seq"))
 
 
+#: Before any line.
+FIRST = -(1 << 63)
+
+
 def log_view(appends: DataFrame, truncates: DataFrame, installs: DataFrame | None = None, created: DataFrame | None = None) -> DataFrame:
     """Entries with the seq where they end (null: never): at the next append of their index, or the next truncate at
     or below it, install at or above it, or creation of their replica.
 
-    Truncates and installs reach many indices. One window over a replica's entries and cuts, backwards in time,
-    tells which entries any later cut reaches, and ends those that the very next one does. The others look for
-    theirs by blocks of indices (_first_reaching), so no entry is compared with all cuts of its replica.
+    Truncates and installs reach many indices. Entries meet the next cut of their replica by buckets of time, and with it
+    how far all cuts from there on reach. Where a cut reaches further than the one before it, some entries end at a later
+    one; they look for it by blocks of indices (_first_reaching), so no entry is compared with all cuts of its replica.
     """
-    next_same = F.lead("seq").over(Window.partitionBy("range_id", "server", "idx").orderBy("seq"))
-    entries = appends.select("range_id", "server", "idx", "term", "hash", "seq").withColumn("same", next_same)
-    cuts = truncates.select("range_id", "server", F.col("from_idx").alias("low"), F.lit(None).cast("long").alias("high"), F.lit(None).cast("long").alias("whole"), F.col("seq").alias("cut"))
+    same = F.lead("seq").over(Window.partitionBy("range_id", "server", "idx").orderBy("seq"))
+    none = F.lit(None).cast("long")
+    entries = appends.select("range_id", "server", "idx", "term", "hash", "seq")
+    cuts = truncates.select("range_id", "server", F.col("from_idx").alias("low"), none.alias("high"), none.alias("whole"), F.col("seq").alias("cut"))
     if installs is not None:
-        cuts = cuts.unionByName(installs.filter("not taken").select("range_id", "server", F.lit(None).cast("long").alias("low"), F.col("last_idx").alias("high"), F.lit(None).cast("long").alias("whole"), F.col("seq").alias("cut")))
+        cuts = cuts.unionByName(installs.filter("not taken").select("range_id", "server", none.alias("low"), F.col("last_idx").alias("high"), none.alias("whole"), F.col("seq").alias("cut")))
     if created is not None:
-        cuts = cuts.unionByName(created.select("range_id", "server", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), F.col("seq").alias("whole"), F.col("seq").alias("cut")))
-    both = entries.select("*", *[F.lit(None).cast("long").alias(n) for n in ("low", "high", "whole", "cut")])
-    both = both.unionByName(cuts.select("range_id", "server", *[F.lit(None).cast(entries.schema[n].dataType).alias(n) for n in ("idx", "term", "hash")], F.col("cut").alias("seq"), F.lit(None).cast("long").alias("same"), "low", "high", "whole", "cut"))
-    later = Window.partitionBy("range_id", "server").orderBy(F.desc("seq"), F.col("cut").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    following = F.last(F.when(F.col("cut").isNotNull(), F.struct("low", "high", "cut")), ignorenulls=True)
-    seen = both.select(*entries.columns, "cut", F.min("low").over(later).alias("least"), F.max("high").over(later).alias("most"), F.last("whole", ignorenulls=True).over(later).alias("whole"), following.over(later).alias("next")).filter("cut is null")
-    reached = (F.col("next.low") <= F.col("idx")) | (F.col("next.high") >= F.col("idx"))
-    ever = F.coalesce((F.col("least") <= F.col("idx")) | (F.col("most") >= F.col("idx")), F.lit(False))
-    direct = F.when(reached, F.col("next.cut"))
-    searched = ever & ~F.coalesce(reached, F.lit(False))
-    kept = ["range_id", "server", "idx", "term", "hash", "seq", "same", "whole"]
-    settled = seen.filter(~searched).select(*kept, direct.alias("cut"))
-    found = settled.unionByName(_first_reaching(seen.filter(searched).select(*kept), cuts))
+        cuts = cuts.unionByName(created.select("range_id", "server", none.alias("low"), none.alias("high"), F.col("seq").alias("whole"), F.col("seq").alias("cut")))
+    by = Window.partitionBy("range_id", "server").orderBy(F.desc("cut"))  # backwards, since Spark folds a frame that only loses rows anew for each
+    on = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = cuts.select("range_id", "server", F.coalesce(F.lead("cut").over(by), F.lit(FIRST)).alias("start"), "cut", F.struct("cut", "low", "high", F.min("low").over(on).alias("least"), F.max("high").over(on).alias("most"), F.min("whole").over(on).alias("whole")).alias("next"))
+    further = F.coalesce(F.col("next.least") < F.col("next.low"), F.col("next.least").isNotNull()) | F.coalesce(F.col("next.most") > F.col("next.high"), F.col("next.most").isNotNull())
+    renewed = F.coalesce(F.col("next.whole") == F.col("next.cut"), F.lit(False))
+    deep = not spans.filter(further & ~renewed).isEmpty()
+    if deep:  # before the search, which takes rows for the same only if they are in this too
+        entries = entries.withColumn("same", same)
+    kept = [*entries.columns, "whole"]
+    seen = as_of(entries, spans.withColumnRenamed("start", "seq"), ["range_id", "server"], "seq", width=BUCKET_LINES)
+    seen = seen.select(*entries.columns, F.when(F.col("seq") < F.col("found.cut"), F.col("found.next")).alias("next")).withColumn("whole", F.col("next.whole"))
+    reached = F.coalesce((F.col("next.low") <= F.col("idx")) | (F.col("next.high") >= F.col("idx")), F.lit(False))
+    found = seen.select(*kept, F.when(reached, F.col("next.cut")).alias("cut"), "next")
+    if deep:
+        ever = F.coalesce((F.col("next.least") <= F.col("idx")) | (F.col("next.most") >= F.col("idx")), F.lit(False))
+        searched = ever & ~reached & ~renewed
+        found = found.filter(~searched).drop("next").unionByName(_first_reaching(seen.filter(searched).select(*kept), cuts))
+    else:  # last, so that joins by replica and index need no other shuffle
+        found = found.drop("next").withColumn("same", same)
     return found.select("range_id", "server", "idx", "term", "hash", F.col("seq").alias("from_seq"), F.least("same", "cut", "whole").alias("to_seq"))
 
 
@@ -192,7 +204,7 @@ def commit_majority(commits: DataFrame, entries: DataFrame, configs: DataFrame,
 
     ``commits``: a row per committed index, with the entry's term; ``configs``: range_id, seq, voters, joining.
     """
-    placed = as_of(commits.select("range_id", "server", "idx", "term", "seq"), configs.select("range_id", "seq", "voters", "joining"), ["range_id"], "seq")
+    placed = as_of(commits.select("range_id", "server", "idx", "term", "seq"), configs.select("range_id", "seq", "voters", "joining"), ["range_id"], "seq", width=BUCKET_LINES)
     c = placed.select("range_id", "server", "idx", "term", "seq", F.col("found.voters").alias("voters"), F.col("found.joining").alias("joining"))
     e = entries.select(F.col("range_id").alias("e_range"), F.col("server").alias("holder"), F.col("idx").alias("e_idx"), F.col("term").alias("e_term"), "from_seq", "to_seq")
     held = c.join(e, (c["range_id"] == e["e_range"]) & (c["idx"] == e["e_idx"]) & (c["term"] == e["e_term"]) & _alive(e, c["seq"]), "left")

@@ -65,6 +65,13 @@ def reads_at(batches: DataFrame, reads: DataFrame) -> DataFrame:
     return found.groupBy("read_id", "range_id").agg(F.max(F.when(F.col("part") == 0, value)).alias("value"), F.coalesce(F.max(F.when(F.col("part") == 1, value)), F.lit(0).cast("long")).alias("applied"))
 
 
+def above_floor(appends: DataFrame, floors: DataFrame) -> DataFrame:
+    """The appends of indices above their replica's last floor. What ends an entry is another of its index or a cut, so
+    log_view() of these alone has the same entries above it."""
+    last = floors.filter("to_seq is null").select("range_id", "server", "floor")
+    return appends.join(F.broadcast(last), ["range_id", "server"], "left").filter("floor is null or idx > floor").drop("floor")  # a row a replica
+
+
 def retained(entries: DataFrame, floors: DataFrame) -> DataFrame:
     """What a replica's log holds at the end: entries alive (``entries``: log_view()) above its last floor (``floors``)."""
     last = floors.filter("to_seq is null").select("range_id", "server", "floor")

@@ -49,7 +49,8 @@ def log_apply_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     floors = checks.floors(fixture(spark, sf_dir, "snapshots"))
-    entries = checks.log_view(fixture(spark, sf_dir, "appends"), fixture(spark, sf_dir, "truncates"))
+    appends = replica.above_floor(fixture(spark, sf_dir, "appends"), floors)
+    entries = checks.log_view(appends, fixture(spark, sf_dir, "truncates"))
     return replica.retained(entries, floors), floors
 
 

@@ -893,3 +893,11 @@ def test_every_row_reaches_every_shard_alike(spark):
             hits[r.doc_id, r.shard] += 1
     assert (hits.sum(axis=0) == 60 * 8).all()
     assert ((hits - 20) ** 2 / 20).sum() < 48 + 5 * (2 * 48) ** 0.5  # chi square of 48 degrees
+
+
+def test_near_copies_put_only_close_fingerprints_in_the_grid(spark):
+    sims = [0, 0b111, (1 << 63) - 1, 0x5555555555555555, 0x5555555555555555]
+    nodes = spark.createDataFrame([(k, v, [100 + k] * 2) for k, v in enumerate(sims)], "fp long, sim long, bands array<long>")
+    cells = near_copies._cells(nodes, 6).collect()
+    assert {c.fp for c in cells if c.band < 20} == {0, 1, 3, 4}  # the third has no other within three bits
+    assert sorted((c.band, c.fp) for c in cells if c.band >= 20) == [(b, k) for b in (20, 21) for k in range(5)]

@@ -5,7 +5,8 @@ words are one shingle where it has fewer). Rows with equal sets are one node, na
 linked if their Jaccard similarity is at least SIMILARITY; no link stands on an estimate.
 
 Candidates share a cell. First, each set's SimHash is embedded by the bit counts of its segments and looked up in the
-projections of simhash's grid, which name every pair within three bits and many beyond. At 0.8, though, fingerprints
+projections of simhash's grid with its exact check (simhash.links); sets with another's SimHash within three bits share
+the grid's cells, which name every such pair and many beyond. At 0.8, though, fingerprints
 of 64 bits differ in some ten bits on average, more than the grid can promise. So pairs that agree in one of BANDS
 bands of ROWS minima are candidates too: one at 0.8 is missed by those with probability
 (1 - 0.8**5)**20 = 0.04 %, one at 0.9 with 1e-8.
@@ -23,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLOCK_BYTES, hash_side, joined, mix, quoted, run_hashes, shared_checkpoint, text_blocks
+from .common import BLOCK_BYTES, drop_table, hash_side, joined, mix, quoted, run_hashes, shared_checkpoint, text_blocks
 from .components import connected_components
-from .simhash import grid_projections, groups_for, kept_rows, shingles, unary_counts, word_runs
+from .simhash import MAX_BITS, grid_projections, groups_for, kept_rows, shingles, unary_counts, word_runs
+from .simhash import links as close_fingerprints
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -204,12 +207,23 @@ def links(cells: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, sma
     return first.unionByName(rest)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL_CELL, block: int = BLOCK) -> DataFrame:
+def _cells(nodes: DataFrame, groups: int) -> DataFrame:
+    """(band, cell, fp) of every node's bands and, if another's SimHash is within MAX_BITS of its own, of the grid."""
+    sims = nodes.groupBy("sim").agg(F.count(F.lit(1)).alias("n"))
+    found = close_fingerprints(sims.select(F.col("sim").alias("fp")), groups=groups).filter("u <> v")
+    found = found.select(F.explode(F.array("u", "v")).alias("sim")).unionByName(sims.filter("n > 1").select("sim")).distinct()
+    close = nodes.join(hash_side(found), "sim", "left_semi").withColumn("unary", unary_counts(F.col("sim")))
+    grid = close.select("fp", F.posexplode(grid_projections(F.col("unary"), groups=groups)).alias("band", "cell"))
+    bands = nodes.select("fp", F.posexplode("bands").alias("band", "cell")).withColumn("band", F.col("band") + comb(groups, MAX_BITS))
+    return grid.unionByName(bands)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL_CELL, block: int = BLOCK, made: list[DataFrame] | None = None) -> DataFrame:
     """One row per input row: doc_id, fp (long), component_id, the smallest doc_id reachable by links, and root, the smallest such fp."""
     docs = shared_checkpoint(signature_rows(df, id_col, text_col, words))
     nodes = docs.groupBy("fp").agg(F.min("id").alias("least_id"), F.any_value("sim").alias("sim"), F.any_value("bands").alias("bands"))
-    grid = grid_projections(F.col("unary"), groups=groups_for(nodes.count()))
-    cells = nodes.withColumn("unary", unary_counts(F.col("sim"))).select("fp", F.posexplode(F.concat(grid, "bands")).alias("band", "cell"))
+    nodes = shared_checkpoint(nodes)
+    cells = _cells(nodes, groups_for(nodes.count()))
     cells = shared_checkpoint(cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band", "cell"))).filter("n > 1"))
     wanted = cells.select("fp").distinct()
     # a node's set is made from one of its rows; rows without an id can't be looked up by it, so they all are
@@ -217,6 +231,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     rows = texts.join(hash_side(by_id.select("id").distinct()), "id", "left_semi").unionByName(texts.filter("id is null"))
     sets = shared_checkpoint(with_sets(rows, words).join(hash_side(wanted), "fp", "left_semi").dropDuplicates(["fp"]))
+    if made is not None:
+        made += [nodes, cells, sets]
     roots = connected_components(links(cells, sets, similarity, small, block)).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -225,4 +241,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` that stay, with its columns: one row of each component, that of the smallest doc_id; shared and null doc_ids as in simhash.near_dedup."""
-    return kept_rows(df, near_duplicates(df, id_col, text_col, words, similarity), id_col, text_col, lambda texts: set_names(*shingle_sets(texts, words)))
+    made: list[DataFrame] = []
+    report = shared_checkpoint(near_duplicates(df, id_col, text_col, words, similarity, made=made))
+    for table in made:  # the report no longer reads them
+        drop_table(table)
+    return kept_rows(df, report, id_col, text_col, lambda texts: set_names(*shingle_sets(texts, words)))
